@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, mixing, quality
+from orderlake.llm import chat, exact, language, mixing, pieces, quality, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_language_id": language.op2_language_id,
     "op3_exact_dedup": exact.op3_exact_dedup,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
+    "op9_token_output": tokens.op9_token_output,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
