@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, language, mixing, pieces, quality, tokens
+from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
+    "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op9_token_output": tokens.op9_token_output,
     "op10_quality_rules": quality.op10_quality_rules,
 }
