@@ -107,16 +107,21 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def library(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word, from one text of them all; a token belongs to the word in which it starts."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+        cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)).tolist()
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, parts = self.known, [WORDS.findall(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in known})
+        new = [w for w in set().union(*parts) if w not in known]
         long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
             for w, ids in zip(some, self.library(some), strict=True):
                 (known if len(w) <= LONGEST else long)[w] = ids
         return [b"".join([known[w] if w in known else long[w] for w in p]) if long else b"".join(map(known.__getitem__, p)) for p in parts]
