@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, tokens
+from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
+    "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_token_output": tokens.op9_token_output,
     "op10_quality_rules": quality.op10_quality_rules,
 }
