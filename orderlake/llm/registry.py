@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens
+from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens, wrappers
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_exact_dedup": exact.op3_exact_dedup,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_mixing": mixing.op5_mixing,
+    "op6_html_extraction": wrappers.op6_html_extraction,
     "op7_ngram_jaccard": jaccard.op7_ngram_jaccard,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_token_output": tokens.op9_token_output,
