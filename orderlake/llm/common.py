@@ -45,3 +45,19 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE), lambda w: w != "")
+
+
+#: Bits of the map of identifiers that ``among`` sends to all tasks: 1 MB.
+MAP_BITS = 1 << 23
+
+
+def among(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose ``column`` may be one of ``ids``, told by a bitmap of hashes of fixed size: all that are, and a few
+    others. Put before a join with few of many identifiers, it keeps the rest from being shuffled; where the
+    identifiers fill the map, everything passes."""
+    place = F.pmod(F.xxhash64(F.col(column)), F.lit(MAP_BITS))
+    bits = ids.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = df.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("__bucket"))  # MAP_BITS / 32768 rows at most
+    return told.where(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1).select(*df.columns)

@@ -11,7 +11,8 @@
    copies costs a comparison for each of them, and still no link between different components is lost.
 4. A comparison first bounds the overlap from above by bitmap signatures: a bit that is set in one and not in the other
    tells of a shingle that isn't shared. Bitmaps have a power of two of bits that follows the size, and are folded to the
-   smaller of two. Pairs that pass have their sorted arrays intersected.
+   smaller of two. Pairs that pass have their sorted arrays intersected. Equal digests of two runs' members would only
+   bring more pairs to compare.
 
 Defined results: null, empty and blank texts have an empty set, which links with nothing; repeated rows with the same id
 are one document; rows with a null id come out with component null and link with nothing; further columns are ignored;
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from orderlake.llm.common import cut, table
+from orderlake.llm.common import among, cut, table
 from orderlake.llm.graph import components
 from orderlake.llm.pieces import chunks
 from orderlake.llm.shingles import sets
@@ -36,6 +37,8 @@ from orderlake.llm.shingles import sets
 REPORTED, FREQUENT = 16_384, 65_536
 #: Lists longer than this are known by their shingle, not by a digest of their members.
 LONG_RUN = 100_000
+#: Pairs of one set that a task compares at most.
+PAIRS_AT_ONCE = 1000
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -117,16 +120,16 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
         out: list[tuple] = []
         key, members = None, []  # of the run at hand: (n, id, first)
 
-        def close(name: str | None = None) -> None:
-            if len(members) > 1 or name:
-                tag = name or (None if len(members) == 2 else hashlib.blake2b(np.array([m[1] for m in members], "<i8").tobytes(), digest_size=12).hexdigest())
+        def close(name: int | None = None) -> None:
+            if len(members) > 1 or name is not None:
+                tag = name if name is not None else (None if len(members) == 2 else int.from_bytes(hashlib.blake2b(np.array([m[1] for m in members], "<i8").tobytes(), digest_size=8).digest(), "little", signed=True))
                 out.extend((tag, m[2], m[1], m[0]) for m in members)
             members.clear()
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             out.clear()
-            return pa.record_batch([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["run", "first", "id", "n"])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["run", "first", "id", "n"])
 
         long = False
         for batch in batches:
@@ -138,21 +141,21 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
                 busy[0] = busy[-1] = True  # a run may go on in the next batch
             for kk, nn, ii in zip(k[busy].tolist(), n[busy].tolist(), i[busy].tolist(), strict=True):
                 if kk != key:
-                    close(str(key) if long else None)
+                    close(key if long else None)
                     key, long = kk, False
                     first = (nn, ii)
                 elif num * nn > den * first[0]:
                     first = (nn, ii)
                 members.append((nn, ii, first[1]))
                 if len(members) >= LONG_RUN:
-                    close(str(key))
+                    close(key)
                     long = True
             if len(out) > 200_000:
                 yield flush()
-        close(str(key) if long else None)
+        close(key if long else None)
         yield flush()
 
-    return entered.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "run string, first long, id long, n long")
+    return entered.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "run long, first long, id long, n long")
 
 
 def across(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -202,47 +205,38 @@ def bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return min(na - int(np.bitwise_count(x & ~y).sum()), nb - int(np.bitwise_count(y & ~x).sum()))
 
 
-def stored_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, n, bits, shingles of the given ids, written to the shared folder."""
+def linked(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The pairs a, b that link. Texts go to their pairs, not sets, which are larger: first by identifier, then, beside
+    the text of ``a``, by ``a``. An ``a`` of many pairs is dealt over as many tasks as it has thousands of them."""
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("salts"))
+    one = counts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    other = pairs.join(counts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    needs = cut(one.unionByName(other))
+    texts = among(docs, needs.select("id")).join(needs, "id").select("a", "salt", "role", "id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, bits = None, None, b""
         for batch in batches:
             for part in chunks(batch, "t", 500_000):
-                found = sets(utf8(part.column("t")), size)
-                yield pa.record_batch([part.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "n", "bits", "shingles"])
+                a, b = [], []
+                for aa, salt, role, i, s in zip(*(part.column(c).to_pylist() for c in ("a", "salt", "role", "id")), sets(utf8(part.column("t")), size), strict=True):
+                    if role == 0:
+                        at, first, bits = (aa, salt), s, bitmap(s)
+                    elif at == (aa, salt):
+                        top = bound(bits, bitmap(s), len(first), len(s))
+                        if den * top >= num * (len(first) + len(s) - top) and overlap_links(first, s, num, den):
+                            a.append(aa)
+                            b.append(i)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return cut(docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(run, "id long, n long, bits binary, shingles binary"))
+    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, stored: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b that link."""
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return stored.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
-
-    def test(columns: list[str], good) -> callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [good(*x) for x in zip(*(batch.column(c).to_pylist() for c in columns), strict=True)]
-                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-        return run
-
-    def may(x: bytes, y: bytes, na: int, nb: int) -> bool:
-        top = bound(x, y, na, nb)
-        return den * top >= num * (na + nb - top)
-
-    def does(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        return den * both >= num * (len(a) + len(b) - both)
-
-    signed = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    maybe = cut(signed.mapInArrow(test(["bits_a", "bits_b", "n_a", "n_b"], may), "a long, b long"))
-    full = maybe.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a")
-    return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(test(["shingles_a", "shingles_b"], does), "a long, b long")
+def overlap_links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
+    return den * both >= num * (len(a) + len(b) - both)
 
 
 def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,10 +257,8 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     meets = by_rep(by_rep(tiled.where("first <> id").groupBy("first", "id").agg(F.count("*").alias("times")), "first"), "id").where("first <> id")
     meets = cut(meets.groupBy(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).agg(F.sum("times").alias("times")))
     members = cut(by_rep(tiled.where("run IS NOT NULL").select("run", "id", "n").distinct(), "id").distinct())
-    ids = meets.select(F.col("a").alias("id")).unionByName(meets.select(F.col("b").alias("id"))).unionByName(members.select("id")).distinct()
-    stored = stored_sets(docs, ids, size)
     best = meets.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("times"), "a"))).where("r = 1").select("a", "b")
-    links = cut(linked(best, stored, num, den))
+    links = cut(linked(docs, best, size, num, den))
     comp = cut(components(links))
 
     def with_comp(frame: DataFrame, column: str, name: str) -> DataFrame:
@@ -276,7 +268,7 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     several = with_comp(members, "id", "comp")
     mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
     rest = left.unionByName(across(several.join(mixed, "run", "left_semi"), num, den)).distinct()
-    more = cut(linked(cut(rest.join(best, ["a", "b"], "left_anti")), stored, num, den))
+    more = cut(linked(docs, cut(rest.join(best, ["a", "b"], "left_anti")), size, num, den))
     comp = cut(components(links.unionByName(more)))
     final = same.withColumnRenamed("rep", "id")
     final = with_comp(final, "id", "component").where("copies > 1 OR component <> id").select("n", "digest", "component")
