@@ -1,17 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next one's
+docs. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderlake.llm.common import table
+from orderlake.llm import exact, jaccard, mixing, pieces, quality
+from orderlake.llm.common import fresh_path, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy rejects go."""
+    return quality.reject(docs.select(*COLUMNS))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the smallest doc_id stays."""
+    return exact.drop(docs.select(*COLUMNS))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links on five-word shingles at 0.8 connect, the smallest doc_id stays."""
+    return jaccard.drop(docs.select(*COLUMNS))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated by a Poisson count of their source's mean rate."""
+    return mixing.mix(docs.select(*COLUMNS))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every copy: doc_id, n_tokens, ids_sha256, decoded_sha256, n_corrected."""
+    return pieces.digests(docs, pieces.model_path())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("mixing sources to target weights", mixing_sources),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
 
-STAGES: list = []
+#: SQL can't express the encoding; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(path := fresh_path(spark, "stage"))
+            docs = spark.read.parquet(path)
     return docs

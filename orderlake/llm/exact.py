@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orderlake.llm.common import ascii_lower, cut, table
+from orderlake.llm.common import ascii_lower, cut, table, without
 
 KEYS = ["digest", "n_bytes", "check"]
 
@@ -50,10 +50,9 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 
 def drop(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows that stay, with their columns as they came. Identifiers of rows that go are told apart by id and digest
-    only among groups of two and more; all other rows are not looked up."""
-    gone = groups(df, id_col, text_col, keep).where("NOT kept").select(F.col(id_col).alias("__gone_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    """The rows that stay, with their columns as they came; rows with a null identifier, which can't be told apart, stay."""
+    gone = cut(groups(df, id_col, text_col, keep).where("NOT kept").select(id_col))
+    return without(df, gone, id_col)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

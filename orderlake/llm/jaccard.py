@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from orderlake.llm.common import among, cut, table
+from orderlake.llm.common import among, cut, table, without
 from orderlake.llm.graph import components
 from orderlake.llm.pieces import chunks
 from orderlake.llm.shingles import sets
@@ -275,5 +275,11 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     return rows.join(final.hint("merge"), ["n", "digest"], "left").select(F.col("id").cast(dict(df.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def drop(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of one document of each component, the smallest, with their columns as they came."""
+    gone = cut(classes(df, size, num, den, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(id_col))
+    return without(df, gone, id_col)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
