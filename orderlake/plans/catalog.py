@@ -1,4 +1,7 @@
 """The registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from orderlake.plans import marts
+
+MODULES = [marts]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
