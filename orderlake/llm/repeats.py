@@ -2,6 +2,7 @@
 
 1. Every window of 200 bytes has an anchor (see ``anchors``); equal windows have theirs at the same place. A row for each
    anchor has the hashes of its string and of its context; rows are sorted by both.
+   Of equal contexts in one task, one row goes on for all.
 2. Anchors that stand alone are done. Where a whole context occurs twice, all its windows do. Contexts that occur once,
    and one of each repeated context, are left to compare where a string is anchor in several contexts.
 3. Those contexts are read from the texts and dealt by their anchor's string. Aligned on their anchors and cut in blocks
@@ -29,7 +30,7 @@ from orderlake.llm.anchors import LEFT, OTHER, WINDOW, anchors, spans, sums
 from orderlake.llm.common import cut, table
 from orderlake.llm.jaccard import utf8
 from orderlake.llm.pieces import chunks
-from orderlake.llm.shingles import BYTES
+from orderlake.llm.shingles import BYTES, mix
 from orderlake.llm.suffixes import suffix_array
 
 STRIDE = 40
@@ -41,15 +42,36 @@ AT_ONCE = 4096
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """anchor, context, id, place."""
+    """anchor, context, id, place, n. Of a context that a task finds more than once, one row stands for all (n is 2) and
+    the others are done: they come out with n 0 and, dealt by their own place, burden nobody. So a context sends a row
+    from each task at most, however common it is."""
+    names = ["anchor", "context", "id", "place", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            gram, around, ids, place = (np.concatenate([h[k] for h in held]) for k in range(4)) if held else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            held.clear()
+            order = np.lexsort((around, gram))
+            gram, around, ids, place = gram[order], around[order], ids[order], place[order]
+            again = np.zeros(len(gram), bool)
+            again[1:] = (gram[1:] == gram[:-1]) & (around[1:] == around[:-1])
+            n = np.ones(len(gram), np.int8)
+            n[:-1][again[1:]] = 2
+            n[again] = 0
+            gram = np.where(again, mix(ids.view(np.uint64) * np.uint64(STRIDE) + place.view(np.uint64)), gram)
+            return pa.record_batch([pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), pa.array(ids), pa.array(place.astype(np.int32)), pa.array(n)], names)
+
         for batch in batches:
             for part in chunks(batch, "t", 1_000_000):
                 owner, place, gram, around = anchors(utf8(part.column("t")))
-                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(around.view(np.int64)), part.column("id").take(pa.array(owner)), pa.array(place.astype(np.int32))], ["anchor", "context", "id", "place"])
+                held.append((gram, around, part.column("id").to_numpy()[owner], place))
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                yield flush()
+        yield flush()
 
-    return docs.where("octet_length(t) >= 200").mapInArrow(run, "anchor long, context long, id long, place int")
+    return docs.where("octet_length(t) >= 200").mapInArrow(run, "anchor long, context long, id long, place int, n tinyint")
 
 
 def sorted_out(rows: DataFrame) -> DataFrame:
@@ -78,29 +100,35 @@ def sorted_out(rows: DataFrame) -> DataFrame:
                 pending = None
 
         for batch in batches:
+            done = batch.column("n").to_numpy() == 0
+            if done.any():
+                some = batch.filter(pa.array(done))
+                yield pa.record_batch([some.column("id"), some.column("place"), pa.array(np.ones(some.num_rows, bool)), pa.nulls(some.num_rows, pa.int64())], names)
+                batch = batch.filter(pa.array(~done))
             k, c = batch.column("anchor").to_numpy(), batch.column("context").to_numpy()
             same = k[1:] == k[:-1]
             busy = np.zeros(len(k), bool)
             busy[1:] |= same
             busy[:-1] |= same
+            busy |= batch.column("n").to_numpy() > 1
             busy[:1] = busy[-1:] = True  # runs may go on in the next batch
             at = np.flatnonzero(busy)
             picked = batch.take(pa.array(at))
-            for kk, cc, row in zip(k[at].tolist(), c[at].tolist(), zip(picked.column("id").to_pylist(), picked.column("place").to_pylist(), strict=True), strict=True):
+            for kk, cc, row, n in zip(k[at].tolist(), c[at].tolist(), zip(picked.column("id").to_pylist(), picked.column("place").to_pylist(), strict=True), picked.column("n").to_pylist(), strict=True):
                 if kk != anchor:
                     end_context()
                     if not several and single is not None and single[1] > 1:
                         put(single[0], True, None)
-                    anchor, context, pending, several, single = kk, cc, (row, 1), False, None
+                    anchor, context, pending, several, single = kk, cc, (row, n), False, None
                 elif cc != context:
                     end_context()
                     if not several:
                         several = True
                         put(single[0], single[1] > 1, anchor)
                         single = None
-                    context, pending = cc, (row, 1)
+                    context, pending = cc, (row, n)
                 else:
-                    pending = (pending[0], pending[1] + 1)
+                    pending = (pending[0], pending[1] + n)
                     put(row, True, None)  # the first of its context is put at its end
             if len(out[0]) > 100_000:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
