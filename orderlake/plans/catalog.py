@@ -1,7 +1,7 @@
 """The registered queries and their SQL twins."""
 
-from orderlake.plans import analyses, marts
+from orderlake.plans import analyses, marts, tables, texts
 
-MODULES = [marts, analyses]
+MODULES = [marts, analyses, tables, texts]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
