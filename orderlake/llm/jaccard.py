@@ -9,6 +9,7 @@
 3. Every set is compared with the first of its bands that it meets most often. What links is contracted; then all pairs
    within a tile's reach of sizes that are still in different components are compared. So a group of thousands of near
    copies costs a comparison for each of them, and still no link between different components is lost.
+   In such a tile, bitmaps are compared first, where they are, and only pairs that pass leave it.
 4. A comparison first bounds the overlap from above by bitmap signatures: a bit that is set in one and not in the other
    tells of a shingle that isn't shared. Bitmaps have a power of two of bits that follows the size, and are folded to the
    smaller of two. Pairs that pass have their sorted arrays intersected. Equal digests of two runs' members would only
@@ -159,32 +160,66 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a < b of one run, in different components, of sizes that can link. members: run, comp, n, id."""
+    """Pairs a < b of one run, in different components, whose sizes and bitmaps let them link. members: run, comp, n, id, bits.
+    A tile's bitmaps are compared where they are; only what passes leaves the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            comp, n, i = (np.array(x, np.int64) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-            if not len(comp) or comp[0] == comp[-1]:
-                return
-            ends = np.searchsorted(comp, comp, side="right")  # sorted by component: partners stand after one's own
-            for at in range(len(comp)):
-                o = slice(ends[at], len(comp))
-                good = (num * np.maximum(n[o], n[at]) <= den * np.minimum(n[o], n[at]))
-                if good.any():
-                    other = i[o][good]
-                    yield pa.record_batch([pa.array(np.minimum(other, i[at])), pa.array(np.maximum(other, i[at]))], ["a", "b"])
-
         for batch in batches:
-            for r, c, n, i in zip(*(batch.column(x).to_pylist() for x in ("run", "comp", "n", "id")), strict=True):
+            for r, *member in zip(*(batch.column(x).to_pylist() for x in ("run", "comp", "n", "id", "bits")), strict=True):
                 if r != name:
-                    yield from pairs()
+                    yield from survivors(held, num, den)
                     name, held = r, []
-                held.append((c, n, i))
-        yield from pairs()
+                held.append(member)
+        yield from survivors(held, num, den)
+
+    return members.repartition("run").sortWithinPartitions("run", "n", "id").select("run", "comp", "n", "id", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def survivors(members: list[list], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of a tile, given as (component, size, id, bitmap) by size, that may link."""
+    if len({m[0] for m in members}) < 2:
+        return
+    comp, n, ids = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    width = np.array([len(m[3]) for m in members])
+    rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+    maps = {w: np.frombuffer(b"".join(members[i][3] for i in at), np.uint8).reshape(-1, w) for w, at in rows.items()}
+    half = {w: m[:, : w // 2] | m[:, w // 2 :] for w, m in maps.items()}
+    place = np.zeros(len(members), np.int64)
+    for at in rows.values():
+        place[at] = np.arange(len(at))
+    a, b = [], []
+    for i in range(len(members) - 1):
+        end = int(np.searchsorted(n, den * n[i] // num, side="right"))  # sizes rise: the band ends here
+        for w in (width[i], 2 * width[i]):  # a larger set has a bitmap as long, or twice as long
+            at = rows.get(int(w))
+            if at is None:
+                continue
+            lo, hi = np.searchsorted(at, [i + 1, end])
+            some = at[lo:hi]
+            some = some[comp[some] != comp[i]]
+            if not len(some):
+                continue
+            x = maps[int(width[i])][place[i]]
+            y = (maps if w == width[i] else half)[int(w)][place[some]]
+            top = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[some] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+            good = some[den * top >= num * (n[i] + n[some] - top)]
+            a.append(np.minimum(ids[good], ids[i]))
+            b.append(np.maximum(ids[good], ids[i]))
+    if a:
+        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+
+def signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n, bits of the given ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "t", 1_000_000):
+                found = sets(utf8(part.column("t")), size)
+                yield pa.record_batch([part.column("id"), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary())], ["id", "n", "bits"])
 
-    return members.repartition("run").sortWithinPartitions("run", "comp", "n", "id").select("run", "comp", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    return among(docs, ids).mapInArrow(run, "id long, n long, bits binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -264,10 +299,14 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
     def with_comp(frame: DataFrame, column: str, name: str) -> DataFrame:
         return frame.join(comp.select(F.col("node").alias(column), F.col("component").alias("__c")), column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
-    left = with_comp(with_comp(meets.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    several = with_comp(members, "id", "comp")
+    # what is left to compare: runs over several components, and firsts of bands other than the one compared, as runs of two
+    left = with_comp(with_comp(meets.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+    twos = left.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("id"), F.col("cb").alias("comp")))).alias("m")).select("run", "m.*")
+    several = with_comp(members.select("run", "id"), "id", "comp").select("run", "id", "comp")
     mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-    rest = left.unionByName(across(several.join(mixed, "run", "left_semi"), num, den)).distinct()
+    open_ = cut(several.join(mixed, "run", "left_semi").unionByName(twos))
+    signed = open_.join(signatures(docs, open_.select("id").distinct(), size), "id")
+    rest = across(signed, num, den)
     more = cut(linked(docs, cut(rest.join(best, ["a", "b"], "left_anti")), size, num, den))
     comp = cut(components(links.unionByName(more)))
     final = same.withColumnRenamed("rep", "id")
