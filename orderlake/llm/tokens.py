@@ -36,7 +36,9 @@ from orderlake.llm.pieces import chunks, model_path
 BLOCK, CHUNK, STEP = 1 << 20, 8, 512
 END = 1
 MODEL = "word_bpe_49k.json"
-REMEMBERED, LONGEST = 700_000, 48
+#: About 200 bytes each.
+REMEMBERED, LONGEST = 1_300_000, 48
+MARK = "\x01"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LEVELS = "array<struct<chunks:binary,bitmap:binary,ranks:binary>>"
 
@@ -106,13 +108,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+        found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = found[0] if len(found) == 1 else None
+
     def library(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one text of them all; a token belongs to the word in which it starts."""
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-        cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)).tolist()
-        ids = np.array(found.ids, "<u4").tobytes()
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        """Ids of each word. Words go to the library in one text with a mark between them, a control character whose id no
+        other text has, and the ids are cut at the marks."""
+        plain = [w for w in words if MARK not in w] if self.mark is not None else []
+        out = {}
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            raw = ids.tobytes()
+            parts = [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)]
+            out = dict(zip(plain, parts, strict=True))
+        rest = [w for w in words if w not in out]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return [out[w] for w in words]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
