@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from orderlake.llm.common import table
 
@@ -149,7 +149,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The frame with the library's decoding of its ids; null ids give null."""
-    schema = df.schema.add(out_col, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
