@@ -9,7 +9,9 @@
 3. Every set is compared with the first of its bands that it meets most often. What links is contracted; then all pairs
    within a tile's reach of sizes that are still in different components are compared. So a group of thousands of near
    copies costs a comparison for each of them, and still no link between different components is lost.
-   In such a tile, bitmaps are compared first, where they are, and only pairs that pass leave it.
+   In such a tile, bitmaps are compared first, where they are; of the pairs that pass, a spanning forest of its components
+   leaves it and is compared, then, while pairs are open, more forests of what is left, round by round. What a tile sends is in
+   proportion to its sets, not their pairs.
 4. A comparison first bounds the overlap from above by bitmap signatures: a bit that is set in one and not in the other
    tells of a shingle that isn't shared. Bitmaps have a power of two of bits that follows the size, and are folded to the
    smaller of two. Pairs that pass have their sorted arrays intersected. Equal digests of two runs' members would only
@@ -40,6 +42,8 @@ REPORTED, FREQUENT = 16_384, 65_536
 LONG_RUN = 100_000
 #: Pairs of one set that a task compares at most.
 PAIRS_AT_ONCE = 1000
+#: Each round takes so many times as many forests as the one before.
+FOREST_GROWTH = 8
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -159,28 +163,62 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
     return entered.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "run long, first long, id long, n long")
 
 
-def across(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs a < b of one run, in different components, whose sizes and bitmaps let them link. members: run, comp, n, id, bits.
-    A tile's bitmaps are compared where they are; only what passes leaves the task."""
+def across(members: DataFrame, num: int, den: int, forests: int) -> DataFrame:
+    """Pairs a < b of one run, in different components, whose sizes and bitmaps let them link and that haven't been compared
+    yet; of each run, so many spanning forests. members: run, comp, n, id, bits, not (ids that it doesn't link with). A
+    tile's bitmaps are compared where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
         for batch in batches:
-            for r, *member in zip(*(batch.column(x).to_pylist() for x in ("run", "comp", "n", "id", "bits")), strict=True):
+            for r, *member in zip(*(batch.column(x).to_pylist() for x in ("run", "comp", "n", "id", "bits", "not")), strict=True):
                 if r != name:
-                    yield from survivors(held, num, den)
+                    yield from spanning(held, num, den, forests)
                     name, held = r, []
                 held.append(member)
-        yield from survivors(held, num, den)
+        yield from spanning(held, num, den, forests)
 
-    return members.repartition("run").sortWithinPartitions("run", "n", "id").select("run", "comp", "n", "id", "bits").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("run").sortWithinPartitions("run", "n", "id").select("run", "comp", "n", "id", "bits", "not").mapInArrow(run, "a long, b long").distinct()
 
 
-def survivors(members: list[list], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of a tile, given as (component, size, id, bitmap) by size, that may link."""
+def spanning(members: list[list], num: int, den: int, forests: int) -> Iterator[pa.RecordBatch]:
+    """Of a tile's open pairs, those that spanning forests of its components take, the likeliest first: a forest has fewer
+    pairs than the tile has sets. Pairs that no forest takes stay open for the next round, if they are still needed."""
     if len({m[0] for m in members}) < 2:
         return
-    comp, n, ids = (np.array([m[k] for m in members], np.int64) for k in range(3))
+    i, j, top = open_pairs(members, num, den)
+    if not len(i):
+        return
+    ids = np.array([m[2] for m in members], np.int64)
+    comp = [m[0] for m in members]
+    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    tested = [set(m[4] or ()) for m in members]
+    trees: list[dict[int, int]] = [{} for _ in range(forests)]
+
+    def find(up: dict[int, int], x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    out: list[tuple[int, int]] = []
+    for k in np.lexsort((b, a, -top)).tolist():
+        x, y = int(i[k]), int(j[k])
+        if int(ids[y]) in tested[x] or int(ids[x]) in tested[y]:
+            continue
+        for up in trees:
+            p, q = find(up, comp[x]), find(up, comp[y])
+            if p != q:
+                up[p] = q
+                out.append((int(a[k]), int(b[k])))
+                break
+    if out:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def open_pairs(members: list[list], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile, given as (component, size, id, bitmap, ...) by size, that are in different components
+    and may link, and how likely: the bound of their similarity."""
+    comp, n = (np.array([m[k] for m in members], np.int64) for k in range(2))
     width = np.array([len(m[3]) for m in members])
     rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
     maps = {w: np.frombuffer(b"".join(members[i][3] for i in at), np.uint8).reshape(-1, w) for w, at in rows.items()}
@@ -188,7 +226,7 @@ def survivors(members: list[list], num: int, den: int) -> Iterator[pa.RecordBatc
     place = np.zeros(len(members), np.int64)
     for at in rows.values():
         place[at] = np.arange(len(at))
-    a, b = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(len(members) - 1):
         end = int(np.searchsorted(n, den * n[i] // num, side="right"))  # sizes rise: the band ends here
         for w in (width[i], 2 * width[i]):  # a larger set has a bitmap as long, or twice as long
@@ -203,11 +241,12 @@ def survivors(members: list[list], num: int, den: int) -> Iterator[pa.RecordBatc
             x = maps[int(width[i])][place[i]]
             y = (maps if w == width[i] else half)[int(w)][place[some]]
             top = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[some] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
-            good = some[den * top >= num * (n[i] + n[some] - top)]
-            a.append(np.minimum(ids[good], ids[i]))
-            b.append(np.maximum(ids[good], ids[i]))
-    if a:
-        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            union = n[i] + n[some] - top
+            good = den * top >= num * union
+            out.append((np.full(int(good.sum()), i), some[good], (top / union)[good]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -300,15 +339,24 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
         return frame.join(comp.select(F.col("node").alias(column), F.col("component").alias("__c")), column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
     # what is left to compare: runs over several components, and firsts of bands other than the one compared, as runs of two
-    left = with_comp(with_comp(meets.join(best, ["a", "b"], "left_anti").select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
-    twos = left.select(F.xxhash64("a", "b").alias("run"), F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("comp")), F.struct(F.col("b").alias("id"), F.col("cb").alias("comp")))).alias("m")).select("run", "m.*")
-    several = with_comp(members.select("run", "id"), "id", "comp").select("run", "id", "comp")
-    mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-    open_ = cut(several.join(mixed, "run", "left_semi").unionByName(twos))
-    signed = open_.join(signatures(docs, open_.select("id").distinct(), size), "id")
-    rest = across(signed, num, den)
-    more = cut(linked(docs, cut(rest.join(best, ["a", "b"], "left_anti")), size, num, den))
-    comp = cut(components(links.unionByName(more)))
+    twos = meets.join(best, ["a", "b"], "left_anti").select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("id"))
+    runs = members.select("run", "id").unionByName(twos)
+    signed, forests = None, 1
+    while True:  # until no open pair is left: rounds link components or rule pairs out, and take ever more pairs
+        several = with_comp(runs, "id", "comp").select("run", "id", "comp")
+        mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
+        still = cut(several.join(mixed, "run", "left_semi"))
+        runs = still.select("run", "id")
+        if signed is None:
+            signed = cut(signatures(docs, runs.select("id").distinct(), size))
+        refused = best.join(links, ["a", "b"], "left_anti").groupBy("a").agg(F.collect_list("b").alias("not")).withColumnRenamed("a", "id")
+        rest = cut(across(still.join(signed, "id").join(refused, "id", "left"), num, den, forests))
+        if rest.isEmpty():
+            break
+        best = cut(best.unionByName(rest))  # all pairs ever compared
+        links = cut(links.unionByName(linked(docs, rest, size, num, den)))
+        comp = cut(components(links))
+        forests *= FOREST_GROWTH
     final = same.withColumnRenamed("rep", "id")
     final = with_comp(final, "id", "component").where("copies > 1 OR component <> id").select("n", "digest", "component")
     return rows.join(final.hint("merge"), ["n", "digest"], "left").select(F.col("id").cast(dict(df.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
