@@ -44,6 +44,7 @@ LONG_RUN = 100_000
 PAIRS_AT_ONCE = 1000
 #: Each round takes so many times as many forests as the one before.
 FOREST_GROWTH = 8
+PAIRS_IN_MEMORY = 1_000_000
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -186,38 +187,39 @@ def spanning(members: list[list], num: int, den: int, forests: int) -> Iterator[
     pairs than the tile has sets. Pairs that no forest takes stay open for the next round, if they are still needed."""
     if len({m[0] for m in members}) < 2:
         return
-    i, j, top = open_pairs(members, num, den)
-    if not len(i):
-        return
     ids = np.array([m[2] for m in members], np.int64)
     comp = [m[0] for m in members]
-    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
     tested = [set(m[4] or ()) for m in members]
-    trees: list[dict[int, int]] = [{} for _ in range(forests)]
+    kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def find(up: dict[int, int], x: int) -> int:
         while (y := up.get(x, x)) != x:
             up[x] = x = up.get(y, y)
         return x
 
-    out: list[tuple[int, int]] = []
-    for k in np.lexsort((b, a, -top)).tolist():
-        x, y = int(i[k]), int(j[k])
-        if int(ids[y]) in tested[x] or int(ids[x]) in tested[y]:
-            continue
-        for up in trees:
-            p, q = find(up, comp[x]), find(up, comp[y])
-            if p != q:
-                up[p] = q
-                out.append((int(a[k]), int(b[k])))
-                break
-    if out:
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
-
-
-def open_pairs(members: list[list], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    for some in open_pairs(members, num, den):  # a block at a time; of each, and of what was kept, the forests stay
+        i, j, top = (np.concatenate(c) for c in zip(kept, some, strict=True))
+        trees: list[dict[int, int]] = [{} for _ in range(forests)]
+        taken = []
+        for k in np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), -top)).tolist():
+            x, y = int(i[k]), int(j[k])
+            if int(ids[y]) in tested[x] or int(ids[x]) in tested[y]:
+                continue
+            for up in trees:
+                p, q = find(up, comp[x]), find(up, comp[y])
+                if p != q:
+                    up[p] = q
+                    taken.append(k)
+                    break
+        kept = (i[taken], j[taken], top[taken])
+    i, j, _ = kept
+    if len(i):
+        yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+
+
+def open_pairs(members: list[list], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of the pairs of a tile, given as (component, size, id, bitmap, ...) by size, that are in different components
-    and may link, and how likely: the bound of their similarity."""
+    and may link, and how likely: the bound of their similarity. In blocks of about PAIRS_IN_MEMORY."""
     comp, n = (np.array([m[k] for m in members], np.int64) for k in range(2))
     width = np.array([len(m[3]) for m in members])
     rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
@@ -227,6 +229,7 @@ def open_pairs(members: list[list], num: int, den: int) -> tuple[np.ndarray, np.
     for at in rows.values():
         place[at] = np.arange(len(at))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
     for i in range(len(members) - 1):
         end = int(np.searchsorted(n, den * n[i] // num, side="right"))  # sizes rise: the band ends here
         for w in (width[i], 2 * width[i]):  # a larger set has a bitmap as long, or twice as long
@@ -243,10 +246,14 @@ def open_pairs(members: list[list], num: int, den: int) -> tuple[np.ndarray, np.
             top = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), n[some] - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
             union = n[i] + n[some] - top
             good = den * top >= num * union
-            out.append((np.full(int(good.sum()), i), some[good], (top / union)[good]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            if good.any():
+                out.append((np.full(int(good.sum()), i), some[good], (top / union)[good]))
+                held += len(out[-1][0])
+        if held > PAIRS_IN_MEMORY:
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out, held = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def signatures(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:

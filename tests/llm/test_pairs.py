@@ -47,6 +47,24 @@ def test_chain_across_a_group(spark):
     assert got == H.classes(list(enumerate(texts)), 4, 85, 100) and got[7][1] == 0
 
 
+def test_forests_in_blocks(monkeypatch):
+    """A tile of near sets gives a pair while one is open, fewer than it has sets for a forest, however it is cut in blocks."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[: 200 - k % 9], rng.integers(0, 2**63, k % 9).astype(np.uint64)])) for k in range(40)]
+    members = sorted([[k, len(s), k, jaccard.bitmap(s), None] for k, s in enumerate(sets)], key=lambda m: (m[1], m[2]))
+    got = {}
+    for most in (10, 10**6):
+        monkeypatch.setattr(jaccard, "PAIRS_IN_MEMORY", most)
+        got[most] = [r for b in jaccard.spanning(members, 85, 100, 1) for r in b.to_pylist()]
+    assert len(got[10]) == len(got[10**6]) == 39
+    for m in members:
+        m[4] = list(range(40))
+    assert not list(jaccard.spanning(members, 85, 100, 8))
+
+
 def test_classes_odd_rows(spark):
     assert jaccard.classes(H.docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b C d e f")]
