@@ -40,6 +40,7 @@ MODEL = "word_bpe_49k.json"
 REMEMBERED, LONGEST = 1_300_000, 48
 MARK = "\x01"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 LEVELS = "array<struct<chunks:binary,bitmap:binary,ranks:binary>>"
 
 
@@ -127,16 +128,35 @@ class Encoder:
             out[w] = np.array(e.ids, "<u4").tobytes()
         return [out[w] for w in words]
 
+    def words(self, text: str) -> list[str]:
+        """The text between white space. Python's split() takes other characters for white space, too; it is used where a
+        text has none of them."""
+        return WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, parts = self.known, [WORDS.findall(t) for t in texts]
+        known, parts = self.known, [self.words(t) for t in texts]
         new = [w for w in set().union(*parts) if w not in known]
-        long = {}
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            for w, ids in zip(some, self.library(some), strict=True):
-                (known if len(w) <= LONGEST else long)[w] = ids
+        # letters of ASCII and the punctuation after them are tokens apart, and case is folded
+        split = {}
+        for w in new:
+            if w.isascii():
+                low = w.lower()
+                core = low.rstrip(".,;:!?")
+                if core != w and core.isalpha():
+                    split[w] = (core, low[len(core) :])
+        want = {w for w in new if w not in split}.union(*split.values()) if split else set(new)
+        fresh = {"": b""}
+        ask = [w for w in want if w and w not in known]
+        for at in range(0, len(ask), 2048):
+            some = ask[at : at + 2048]
+            fresh |= zip(some, self.library(some), strict=True)
+        get = lambda w: fresh[w] if w in fresh else known[w]
+        for w, (core, tail) in split.items():
+            fresh[w] = get(core) + get(tail)
+        long = {w: x for w, x in fresh.items() if len(w) > LONGEST}
+        known.update((w, x) for w, x in fresh.items() if 0 < len(w) <= LONGEST)
         return [b"".join([known[w] if w in known else long[w] for w in p]) if long else b"".join(map(known.__getitem__, p)) for p in parts]
 
 

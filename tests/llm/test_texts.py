@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orderlake.llm import dom, language, pieces, tokens, wrappers
 from orderlake.llm.common import fresh_path, table
 
-ODD = [None, "", " ", "\n\n x\ny", "  a  b ", "a\tb\x00c", "日本語 テキスト", "\U0001f600x\U0001f600", "<s> </s> <0x41> <|endoftext|>", "x" * 3000, " " * 77, "▁a ▁", "é" * 50 + " 12345", "a\r\nb\x85c\xa0d", "it's ΟΔΟΣ İI", "\x01 a\x01b \x01", H.LONG]
+ODD = [None, "", " ", "\n\n x\ny", "  a  b ", "a\tb\x00c", "日本語 テキスト", "\U0001f600x\U0001f600", "<s> </s> <0x41> <|endoftext|>", "x" * 3000, " " * 77, "▁a ▁", "é" * 50 + " 12345", "a\r\nb\x85c\xa0d", "it's ΟΔΟΣ İI", "\x01 a\x01b \x01", "Abc. abc ABC!? Abc.'s it'S. a.b. ... .,; É. É", H.LONG]
 
 
 def sha(b):
