@@ -53,7 +53,7 @@ SILVER = {
     c.name: c
     for c in (
         contract("geo_coord", {"zip_code": I}, {"lat": D, "lng": D}, False),
-        contract("olist_user", {"user_type": S, "user_id": S}, {"zip_code": I}, False),
+        contract("user", {"user_type": S, "user_id": S}, {"zip_code": I}, False),
         contract("order_event", {"order_id": S, "data_type": S, "timestamp": TS}, {}, False),
         contract("product_metadata", {"product_id": S, "seller_id": S}, {"category": S}, False),
         contract("customer_order", {"order_id": S, "product_id": S, "customer_id": S, "seller_id": S}, {"quantity": L, "unit_price": D}, False),

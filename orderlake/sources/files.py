@@ -20,7 +20,7 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
 
 def table_name(path: str) -> str:
     """A table's name from its file's: without folders, suffix and the data set's prefix and ending."""
-    return re.sub(r"^olist_|_dataset$", "", re.sub(r"\.[^.]+$", "", path.rstrip("/").rpartition("/")[2]))
+    return re.sub(r"^raw_|_dataset$", "", re.sub(r"\.[^.]+$", "", path.rstrip("/").rpartition("/")[2]))
 
 
 def dedup_files(spark: SparkSession, paths: list[str], out: str) -> list[str]:

@@ -63,8 +63,8 @@ def test_corrupt_payload_is_kept_apart(spark):
 
 def test_composite_key_comes_back(spark):
     u = spark.createDataFrame([("customer", "7", 3)], "user_type string, user_id string, zip_code int")
-    log = envelope.encode(u, "silver.olist_user", ["user_type", "user_id"])
-    assert tuple(envelope.decode(log, "silver.olist_user", contracts.SILVER["olist_user"]).select("user_type", "user_id", "zip_code").first()) == ("customer", "7", 3)
+    log = envelope.encode(u, "silver.user", ["user_type", "user_id"])
+    assert tuple(envelope.decode(log, "silver.user", contracts.SILVER["user"]).select("user_type", "user_id", "zip_code").first()) == ("customer", "7", 3)
 
 
 def test_contract_key_is_last_and_not_null(spark):
@@ -75,9 +75,9 @@ def test_contract_key_is_last_and_not_null(spark):
 
 def test_files(spark):
     folder = fresh(spark, "csv")
-    for name in ("olist_orders_dataset", "olist_items_dataset"):
+    for name in ("raw_orders_dataset", "raw_items_dataset"):
         spark.createDataFrame([("a", "n/a"), ("a", "n/a"), ("b", "2")], "k string, v string").coalesce(1).write.csv(f"{folder}/{name}", header=True)
-    made = files.dedup_files(spark, [f"{folder}/olist_orders_dataset", f"{folder}/olist_items_dataset"], fresh(spark, "out"))
+    made = files.dedup_files(spark, [f"{folder}/raw_orders_dataset", f"{folder}/raw_items_dataset"], fresh(spark, "out"))
     assert [m.rpartition("/")[2] for m in made] == ["orders", "items"]
     assert sorted(tuple(r) for r in spark.read.parquet(made[0]).collect()) == [("a", "n/a"), ("b", "2")]
     assert len(files.list_files(spark, folder, "*.csv")) == 2
