@@ -44,7 +44,9 @@ LONG_RUN = 100_000
 PAIRS_AT_ONCE = 1000
 #: Each round takes so many times as many forests as the one before.
 FOREST_GROWTH = 8
-PAIRS_IN_MEMORY = 1_000_000
+PAIRS_IN_MEMORY = 250_000
+#: Bytes of text whose sets are made at once.
+TEXT_AT_ONCE = 500_000
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -71,7 +73,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
             held, count = [], 0
 
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "t", TEXT_AT_ONCE):
                 n, digest = [], []
                 for s in sets(utf8(part.column("t")), size):
                     n.append(len(s))
@@ -80,7 +82,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
                         known.add(d)
                         held.append(s)
                         count += len(s)
-                if count > 4_000_000:
+                if count > 2_000_000:
                     add_up()
                 yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["id", "n", "digest"])
         add_up()
@@ -96,7 +98,7 @@ def entries(docs: DataFrame, size: int, num: int, den: int, frequent: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in batches:
-            for part in chunks(batch, "t"):
+            for part in chunks(batch, "t", TEXT_AT_ONCE):
                 keys, ids, n = [], [], []
                 for i, s in zip(part.column("id").to_pylist(), sets(utf8(part.column("t")), size), strict=True):
                     if i is None or not len(s) or (d := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in known:
@@ -156,7 +158,7 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
                 if len(members) >= LONG_RUN:
                     close(key)
                     long = True
-            if len(out) > 200_000:
+            if len(out) > 50_000:
                 yield flush()
         close(key if long else None)
         yield flush()
