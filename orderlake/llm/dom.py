@@ -19,6 +19,8 @@ ENDS |= {x: (frozenset(["dd", "dt", "p"]), frozenset(["dl"])) for x in ("dd", "d
 ASIDE = frozenset("nav header footer aside form menu dialog search head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-?list|respond|replies|cookies?|consent|gdpr|notice|notices|alert|newsletter|subscribe|signup|promo\w*|sponsor\w*|share|sharing|social|sidebar|side|widget|related|recommend\w*|popular|trending|nav|navbar|navigation|menu|footer|header|masthead|topbar|toolbar|pagination|pager|popup|modal|overlay|login|search|tags|disclaimer|copyright)(?:$|[\s_-])", re.I)
+#: Classes by which an article is a reader's comment, whole words.
+COMMENT = re.compile(r"(?:^|\s)(?:comments?|comment-?(?:body|content|entry|item|list)|reply|replies|respond)(?:$|\s)", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z/][^<>]*\Z", re.S)
@@ -46,7 +48,7 @@ def judged(tag: str, attributes: str) -> tuple[str, bool]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
     name = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    aside = tag in ASIDE or found.get("role", "").lower() in ROLES or hidden or (tag not in ("body", "html", "article", "main") and bool(MARKS.search(name)))
+    aside = tag in ASIDE or found.get("role", "").lower() in ROLES or hidden or (tag not in ("body", "html", "article", "main") and bool(MARKS.search(name))) or (tag == "article" and bool(COMMENT.search(name)))
     return f"{tag}.{' '.join(re.sub(r'[0-9]+', '0', name).split())}", aside
 
 
@@ -196,14 +198,25 @@ def text_of(root: Node, leave: set[int]) -> str:
     return "\n".join(lines)
 
 
-def own_root(page: Node) -> Node:
-    """Where the article is, by the page alone: the largest article, else main, else a block whose name says content, else
-    the body."""
-    size = {}
-    for node in reversed(list(walk(page))):
+def own_roots(page: Node) -> list[Node]:
+    """Where the article is, by the page alone: its outermost articles, else the largest main, else a block whose name says
+    content, else the body. What lies in a part marked as aside is none."""
+    order, aside, size = list(walk(page)), {}, {}
+    for node in order:
+        aside[id(node)] = node.aside or (node.parent is not None and aside[id(node.parent)])
+    for node in reversed(order):
         size[id(node)] = sum(len(x) if type(x) is str else size[id(x)] for x in node.parts)
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.key.startswith("main"), lambda n: n.tag in ("div", "section", "td") and CONTENT.search(n.key.partition(".")[2]) is not None):
-        found = [n for n in walk(page) if test(n) and not n.aside]
-        if found:
-            return max(found, key=lambda n: size[id(n)])
-    return next((n for n in walk(page) if n.tag == "body"), page)
+    fine = [n for n in order if not aside[id(n)]]
+    inner, articles = set(), []
+    for node in order:
+        if node.parent is not None and id(node.parent) in inner:
+            inner.add(id(node))
+        elif node.tag == "article" and not aside[id(node)]:
+            inner.add(id(node))
+            articles.append(node)
+    if articles:
+        return articles
+    for test in (lambda n: n.tag == "main" or n.key.startswith("main"), lambda n: n.tag in ("div", "section", "td") and CONTENT.search(n.key.partition(".")[2]) is not None):
+        if found := [n for n in fine if test(n)]:
+            return [max(found, key=lambda n: size[id(n)])]
+    return [next((n for n in order if n.tag == "body"), page)]

@@ -5,8 +5,9 @@ matching, and Spark counts, for every node of a reference, the pages that have i
 length. That is the host's wrapper: nodes whose text hardly ever changes are template, the others are slots; the content
 root is the innermost node that holds most of the text in slots, menus, forms and the like not counted. A page is then
 aligned once more: its text is what lies under the node aligned with the content root, without template nodes and without
-parts that their element, role, class or id marks as something else. What was never aligned, as further paragraphs,
-is content. Texts are told apart by number of different ones, so that a group of copies doesn't make an article template.
+parts that their element, role, class or id marks as something else. What was never aligned, as further paragraphs or
+further nodes beside the content root with its label, is content. Texts are told apart by number of different ones, so
+that a group of copies doesn't make an article template.
 
 A host of fewer than ``LEAST`` pages, or a page that doesn't have the content root, is judged by its own marks alone.
 
@@ -124,24 +125,19 @@ def judged(ref: str, nodes: tuple[tuple[int, int, int, int, int], ...]) -> tuple
 
 def main_text(text: str, ref: str | None, nodes: tuple | None) -> str:
     page = dom.parse(text)
-    start, leave = None, set()
+    starts, leave = [], set()
     if ref is not None and nodes:
         root, content, fixed = judged(ref, nodes)
         if content is not None:
-            for node, other in dom.match(page, root)[1]:
-                if id(other) == content:
-                    start = node
-                if id(other) in fixed:
-                    leave.add(id(node))
-    own = dom.own_root(page)
-    if start is None:
-        return dom.text_of(own, set())
-    # a page's own article within the root, or around it, says more exactly where it ends
-    inside = own if own.tag == "article" else start
-    for node in dom.walk(inside):
-        if node.tag in ("h1", "h2", "h3", "p", "article") or node is inside:
-            leave.discard(id(node))  # an article's own lines may be common ones
-    return dom.text_of(inside, leave)
+            pairs = dom.match(page, root)[1]
+            start = next((node for node, other in pairs if id(other) == content), None)
+            leave = {id(node) for node, other in pairs if id(other) in fixed and node is not start}
+            if start is not None:
+                met = {id(node) for node, _ in pairs}
+                starts = [c for c in start.parent.children() if c is start or (c.key == start.key and id(c) not in met and not c.aside)]
+    if not starts:
+        starts, leave = dom.own_roots(page), set()
+    return "\n".join(filter(None, (dom.text_of(x, leave) for x in starts)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -165,6 +165,26 @@ def test_copies_are_no_template(spark):
     assert all(got[100 + i].startswith("Title 7 & more\nFirst 7 para") for i in range(40))
 
 
+def extracted(spark, htmls, host="h"):
+    rows = [(i, f"http://{host}/p{i}", h) for i, h in enumerate(htmls)]
+    return [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_wrapper_says_where_the_text_is_not_the_article_tag(spark):
+    page = "<body><div class=x1><h2>Fixed heading</h2><article><p>First part {i}, long enough to be text of this page</article><article><p>Second part {i}, also long enough to be such a text</article></div><div class=x3><article><p>On all pages</article></div></body>"
+    assert extracted(spark, [page.format(i=i) for i in range(12)]) == [f"First part {i}, long enough to be text of this page\nSecond part {i}, also long enough to be such a text" for i in range(12)]
+    some = "<body><div class=x1><article><p>Part {i}.0, long enough to be a text of this page<p>And {i}</article>{more}</div></body>"
+    more = "<article><p>Part {i}.{k}, long enough to be a text of this page</article>"
+    got = extracted(spark, [some.format(i=i, more="".join(more.format(i=i, k=k) for k in range(1, 1 + i % 3))) for i in range(12)])
+    assert [t.count("Part") for t in got] == [1 + i % 3 for i in range(12)]
+
+
+def test_articles_of_readers_and_several_articles_without_a_wrapper(spark):
+    long = "a reader says so " * 20
+    got = extracted(spark, [f"<body><div class=content><p>Text</div><div class=comments><article><p>{long}</article></div>", f"<article><p>One</article><article><p>Two two</article><article class=comment><p>{long}</article>"])
+    assert got == ["Text", "One\nTwo two"]
+
+
 def test_salted_references_give_the_same(spark, monkeypatch):
     want = H.collected(wrappers.extract(pages(spark, 12)), "page_id", "text")
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", 0)
