@@ -6,8 +6,8 @@ length. That is the host's wrapper: nodes whose text hardly ever changes are tem
 root is the innermost node that holds most of the text in slots, menus, forms and the like not counted. A page is then
 aligned once more: its text is what lies under the node aligned with the content root, without template nodes and without
 parts that their element, role, class or id marks as something else. What was never aligned, as further paragraphs or
-further nodes beside the content root with its label, is content. Texts are told apart by number of different ones, so
-that a group of copies doesn't make an article template.
+further nodes beside the content root with its label, is content. Statistics are over different pages, told apart by
+their longer texts, so that a group of copies, however large, doesn't make an article template.
 
 A host of fewer than ``LEAST`` pages, or a page that doesn't have the content root, is judged by its own marks alone.
 
@@ -35,6 +35,8 @@ LEAST = 5
 CONSTANT_PERCENT = 2
 #: The share of a host's slot text that the content root holds, in percent.
 ROOT_PERCENT = 60
+#: Texts of so many characters tell pages apart; shorter ones, as dates, only in pages that have no others.
+LONG_TEXT = 40
 BROADCAST_ROWS, BROADCAST_CHARS, SALTS = 10_000, 8_000_000, 64
 
 
@@ -57,43 +59,61 @@ def reference(text: str) -> tuple[dom.Node, dict[int, int]]:
     return root, {id(n): i for i, n in enumerate(dom.walk(root))}
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def identity(page: dom.Node) -> int:
+    """Equal for copies: of the page's longer texts outside parts marked as aside."""
+    texts, stack = [], [page]
+    while stack:
+        node = stack.pop()
+        if not node.aside:
+            texts.append(node.own())
+            stack.extend(reversed(node.children()))
+    return digest("\n".join([t for t in texts if len(t) >= LONG_TEXT] or texts))
+
+
 def aligned(joined: DataFrame) -> DataFrame:
-    """host, node, value (a hash of the text), n, chars, links: of every node of a reference, summed in each task."""
+    """host, node, value (a hash of the text), page (its identity), chars, links: of every node of a reference, once in
+    each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, list[int]] = {}
+        found: dict[tuple, tuple[int, int]] = {}
 
         def flush() -> pa.RecordBatch:
             keys, sums = list(found), list(found.values())
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))]
-            columns += [pa.array([s[i] for s in sums], pa.int64()) for i in range(3)]
+            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))]
+            columns += [pa.array([s[i] for s in sums], pa.int64()) for i in range(2)]
             found.clear()
-            return pa.record_batch(columns, ["host", "node", "value", "n", "chars", "links"])
+            return pa.record_batch(columns, ["host", "node", "value", "page", "chars", "links"])
 
         for batch in batches:
             for part in chunks(batch, "html", 4_000_000):
                 for name, text, ref in zip(*(part.column(c).to_pylist() for c in ("host", "html", "ref")), strict=True):
                     root, number = reference(ref)
-                    for node, other in dom.match(dom.parse(text), root)[1]:
+                    page = dom.parse(text)
+                    same = identity(page)
+                    for node, other in dom.match(page, root)[1]:
                         own = node.own()
-                        value = int.from_bytes(hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                        sums = found.setdefault((name, number[id(other)], value), [0, 0, 0])
-                        sums[0] += 1
-                        sums[1] += len(own)
-                        sums[2] += min(node.links, len(own))
+                        key = (name, number[id(other)], digest(own), same)
+                        found[key] = max(found.get(key, (0, 0)), (len(own), min(node.links, len(own))))
                 if len(found) > 200_000:
                     yield flush()
         yield flush()
 
-    return joined.select("host", "html", "ref").mapInArrow(run, "host string, node int, value long, n long, chars long, links long")
+    return joined.select("host", "html", "ref").mapInArrow(run, "host string, node int, value long, page long, chars long, links long")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, ref, nodes (array of node, n, values, chars, links). pages: host, salt, page_id, html."""
+    """host, ref, nodes (array of node, n, values, chars, links; n is the different pages). pages: host, salt, page_id,
+    html."""
     refs = cut(pages.where("html IS NOT NULL AND host <> ''").groupBy("host").agg(F.min_by("html", "page_id").alias("ref"), F.count("*").alias("pages")).where(F.col("pages") >= LEAST))
     joined = with_host(pages.where("html IS NOT NULL"), refs.withColumn("c", F.length("ref")), "c").where("ref IS NOT NULL")
-    values = aligned(joined).groupBy("host", "node", "value").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    nodes = values.groupBy("host", "node").agg(F.sum("n").alias("n"), F.count("*").alias("values"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    found = aligned(joined).groupBy("host", "node", "value", "page").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+    found = cut(found)
+    sums = found.groupBy("host", "node", "value").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).groupBy("host", "node").agg(F.count("*").alias("values"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    nodes = found.select("host", "node", "page").distinct().groupBy("host", "node").agg(F.count("*").alias("n")).join(sums, ["host", "node"])
     lists = nodes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "n", "values", "chars", "links"))).alias("nodes"))
     return refs.select("host", "ref").join(lists, "host")
 

@@ -185,6 +185,15 @@ def test_articles_of_readers_and_several_articles_without_a_wrapper(spark):
     assert got == ["Text", "One\nTwo two"]
 
 
+@pytest.mark.parametrize("first", [100, 0])
+def test_a_thousand_copies_are_no_template(spark, first):
+    page = "<body><div class=top>Site</div><div class=x1><span>Day {d}</span><div>Body {i} begins and is long enough to be told from others</div><ul><li>Point {i} of the list</ul></div></body>"
+    copies = 100 - first
+    rows = [(first + i, "http://h/p", page.format(d=i, i=i)) for i in range(12)] + [(copies + 1000 * (not first) + k, "http://h/c", page.format(d=1000 + k, i=77)) for k in range(1000)]
+    got = [r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == 1012 and all("Body" in t and "Point" in t and "Site" not in t for t in got)
+
+
 def test_salted_references_give_the_same(spark, monkeypatch):
     want = H.collected(wrappers.extract(pages(spark, 12)), "page_id", "text")
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", 0)
