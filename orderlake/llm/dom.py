@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 #: Fixed values of the HTML standard: elements that start a block, that have no content, that hold no text for a reader.
@@ -140,35 +140,94 @@ def slots(node: Node) -> list[tuple[str, list[Node]]]:
     return out
 
 
+def shapes(*roots: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """By id() of each node: a number that subtrees of the same labels share, and how many nodes it holds."""
+    names: dict[tuple, int] = {}
+    shape: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for root in roots:
+        for node in reversed(list(walk(root))):
+            below = node.children()
+            shape[id(node)] = names.setdefault((node.key, *[shape[id(c)] for c in below]), len(names))
+            size[id(node)] = 1 + sum(size[id(c)] for c in below)
+    return shape, size
+
+
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the largest number of pairs that keep order and parents, and the pairs. A row of childless
-    nodes counts as many as both rows have."""
-    pairs = [(a, b)]
-    x, y = slots(a), slots(b)
-    if not x or not y:
-        return 1, pairs
-    sub: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, (kx, nx) in enumerate(x):
-        row, above = best[i + 1], best[i]
-        for j, (ky, ny) in enumerate(y):
-            w = max(row[j], above[j + 1])
-            if kx.strip() == ky.strip():
-                sub[i, j] = found = (min(len(nx), len(ny)), list(zip(nx, ny, strict=False))) if kx == ky and kx[-1] != " " else match(nx[0], ny[0])
-                w = max(w, above[j] + found[0])
-            row[j + 1] = w
-    i, j, taken = len(x), len(y), []
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+    nodes counts as many as both rows have. Nothing recurses, and only numbers are kept of what isn't on the best path;
+    subtrees of one shape match whole, and so do those that both nodes begin with."""
+    shape, size = shapes(a, b)
+    known: dict[tuple[int, int], int] = {}  # by shapes
+
+    def compare(a: Node, b: Node, path: list[tuple[Node, Node]] | None) -> Generator[tuple[Node, Node], int, int]:
+        """How many pairs; it asks for those of inner nodes by yielding them. The best path's children go to ``path``."""
+        x, y = slots(a), slots(b)
+        total = begin = 0
+        for (kx, nx), (ky, ny) in zip(x, y, strict=False):
+            if kx != ky or len(nx) != len(ny) or shape[id(nx[0])] != shape[id(ny[0])]:
+                break
+            begin += 1
+            total += size[id(nx[0])] * len(nx)
+            if path is not None:
+                path += zip(nx, ny, strict=True)
+        x, y = x[begin:], y[begin:]
+        row, steps = [0] * (len(y) + 1), []
+        for kx, nx in x:
+            above, row = row, [0] * (len(y) + 1)
+            step = bytearray(len(y))  # 0: without x's, 1: without y's, 2: both
+            for j, (ky, ny) in enumerate(y):
+                w = max(row[j], above[j + 1])
+                if kx.strip() == ky.strip():
+                    if kx == ky and kx[-1] != " ":
+                        found = min(len(nx), len(ny))
+                    elif (s := shape[id(nx[0])]) == (t := shape[id(ny[0])]):
+                        found = size[id(nx[0])]
+                    elif (found := known.get((s, t))) is None:
+                        found = known[s, t] = yield nx[0], ny[0]
+                    w = max(w, above[j] + found)
+                row[j + 1] = w
+                step[j] = 0 if w == above[j + 1] else 1 if w == row[j] else 2
+            if path is not None:
+                steps.append(step)
+        if path is not None:
+            i, j, taken = len(x), len(y), []
+            while i and j:
+                step = steps[i - 1][j - 1]
+                i, j = i - (step != 1), j - (step != 0)
+                if step == 2:
+                    nx, ny = x[i][1], y[j][1]
+                    taken.append(list(zip(nx, ny, strict=False)))
+            for some in reversed(taken):
+                path += some
+        return 1 + total + row[-1]
+
+    def solve(a: Node, b: Node, path: list[tuple[Node, Node]]) -> int:
+        stack, answer = [compare(a, b, path)], None
+        while stack:
+            try:
+                ask = stack[-1].send(answer)
+                stack.append(compare(*ask, None))
+                answer = None
+            except StopIteration as done:
+                stack.pop()
+                answer = done.value
+        return answer
+
+    pairs: list[tuple[Node, Node]] = []
+    whole, todo = None, [(a, b)]
+    while todo:
+        m, n = todo.pop()
+        if shape[id(m)] == shape[id(n)]:
+            pairs += zip(walk(m), walk(n), strict=True)
+            whole = size[id(m)] if whole is None else whole
         else:
-            i, j = i - 1, j - 1
-            taken.append(sub[i, j][1])
-    for some in reversed(taken):
-        pairs += some
-    return 1 + best[-1][-1], pairs
+            pairs.append((m, n))
+            inner: list[tuple[Node, Node]] = []
+            found = solve(m, n, inner)
+            whole = found if whole is None else whole
+            todo.extend(reversed(inner))
+    return whole, pairs
 
 
 def text_of(root: Node, leave: set[int]) -> str:

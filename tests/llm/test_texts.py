@@ -194,6 +194,38 @@ def test_a_thousand_copies_are_no_template(spark, first):
     assert len(got) == 1012 and all("Body" in t and "Point" in t and "Site" not in t for t in got)
 
 
+def test_deep_and_wide_references(spark):
+    deep = ["<div>" * 2000 + f"text {i}" + "</div>" * 2000 for i in range(5)]
+    assert extracted(spark, deep) == [f"text {i}" for i in range(5)]
+    a, b = (dom.parse("<table>" + "".join(f"<tr><td>{k}<td>b<td><p>c</p>" for k in range(n)) + "</table>") for n in (3000, 2900))
+    n, pairs = dom.match(a, b)
+    assert n == len(pairs) == 2 + 5 * 2900
+
+
+def plain_match(a, b):
+    x, y = dom.slots(a), dom.slots(b)
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, (kx, nx) in enumerate(x):
+        for j, (ky, ny) in enumerate(y):
+            w = 0 if kx.strip() != ky.strip() else min(len(nx), len(ny)) if kx == ky and kx[-1] != " " else plain_match(nx[0], ny[0])
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+    return 1 + best[-1][-1]
+
+
+def test_matching_equals_plain_matching():
+    rng = np.random.default_rng(1)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}</{t}>" for t in rng.choice(["div", "section", "ul"], rng.integers(0, 5))) if depth else ""
+
+    for _ in range(200):
+        a, b = dom.parse(tree(3)), dom.parse(tree(3))
+        n, pairs = dom.match(a, b)
+        assert n == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == plain_match(a, b)
+        met = {(id(x), id(y)) for x, y in pairs}
+        assert all((id(x.parent), id(y.parent)) in met for x, y in pairs[1:])
+
+
 def test_salted_references_give_the_same(spark, monkeypatch):
     want = H.collected(wrappers.extract(pages(spark, 12)), "page_id", "text")
     monkeypatch.setattr(wrappers, "BROADCAST_ROWS", 0)
