@@ -11,7 +11,8 @@
    copies costs a comparison for each of them, and still no link between different components is lost.
    In such a tile, bitmaps are compared first, where they are; of the pairs that pass, a spanning forest of its components
    leaves it and is compared, then, while pairs are open, more forests of what is left, round by round. What a tile sends is in
-   proportion to its sets, not their pairs.
+   proportion to its sets, not their pairs. A run of many sets is cut by size, then by hash, into cells of bounded number;
+   each pair of cells whose sizes may link is a tile of its own, so no task holds more than two cells.
 4. A comparison first bounds the overlap from above by bitmap signatures: a bit that is set in one and not in the other
    tells of a shingle that isn't shared. Bitmaps have a power of two of bits that follows the size, and are folded to the
    smaller of two. Pairs that pass have their sorted arrays intersected. Equal digests of two runs' members would only
@@ -25,6 +26,8 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +48,10 @@ PAIRS_AT_ONCE = 1000
 #: Each round takes so many times as many forests as the one before.
 FOREST_GROWTH = 8
 PAIRS_IN_MEMORY = 250_000
+#: Members of a run, above which it is cut into cells of about so many, and pairs of cells go to tasks.
+CELL = 2000
+#: Ids that a set didn't link with, beyond which they go to the tiles as rows, not in a list.
+LISTED = 100
 #: Bytes of text whose sets are made at once.
 TEXT_AT_ONCE = 500_000
 
@@ -166,32 +173,65 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
     return entered.repartition("key").sortWithinPartitions("key", "n", "id").mapInArrow(run, "run long, first long, id long, n long")
 
 
-def across(members: DataFrame, num: int, den: int, forests: int) -> DataFrame:
-    """Pairs a < b of one run, in different components, whose sizes and bitmaps let them link and that haven't been compared
-    yet; of each run, so many spanning forests. members: run, comp, n, id, bits, not (ids that it doesn't link with). A
+def placed(still: DataFrame, num: int, den: int) -> DataFrame:
+    """run, id, comp, and the tiles p, q that the row is in, from ``cell``. still: run, id, comp, n, total (of the run).
+    Sizes that may link are in one class or in classes next to each other."""
+    width = math.log(den / num) * 1.001 if num < den else 1.0  # wider than a band, so that rounding loses no neighbour
+    small = still.where(F.col("total") <= CELL).select("run", "id", "comp", *[F.lit(0).cast("long").alias(c) for c in ("cell", "p", "q")])
+    large = still.where(F.col("total") > CELL).withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long"))
+    cells = large.groupBy("run", "class").agg(F.ceil(F.count("*") / CELL).cast("long").alias("k"))
+    # a run has few classes, as they rise as the powers of den / num
+    cells = cells.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("class", "k"))).alias("ks"))
+    large = large.join(cells, "run").withColumn("cell", F.col("class") * (1 << 32) + F.pmod(F.xxhash64("id"), F.element_at("ks", F.col("class"))))
+
+    def beside(step: int) -> F.Column:
+        c = F.col("class") + F.lit(step)
+        k = F.coalesce(F.try_element_at("ks", c), F.lit(0).cast("long"))
+        return F.when(k > 0, F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda h: c * (1 << 32) + h)).otherwise(F.array().cast("array<bigint>"))
+
+    large = large.withColumn("other", F.explode(F.concat(*[beside(step) for step in (-1, 0, 1)])))
+    return small.unionByName(large.select("run", "id", "comp", "cell", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q")))
+
+
+def across(tiled: DataFrame, signed: DataFrame, refused: DataFrame, num: int, den: int, forests: int) -> DataFrame:
+    """Pairs a < b of one tile, in different components, whose sizes and bitmaps let them link and that haven't been compared
+    yet; of each tile, so many spanning forests. tiled: run, id, comp, cell, p, q; signed: id, n, bits; refused: pairs a, b
+    that were compared and don't link, which go beside ``a`` where it has few of them, else to the tiles of both. A
     tile's bitmaps are compared where they are."""
+    key = ["run", "p", "q"]
+    count = refused.groupBy("a").agg(F.count("*").alias("c"))
+    lists = refused.join(count.where(F.col("c") <= LISTED), "a").groupBy("a").agg(F.collect_list("b").alias("not")).withColumnRenamed("a", "id")
+    many = refused.join(count.where(F.col("c") > LISTED), "a").select("a", "b")
+    met = tiled.select(*key, F.col("id").alias("a")).join(many, "a").join(tiled.select(*key, F.col("id").alias("b")), [*key, "b"], "left_semi")
+    members = tiled.join(signed, "id").join(lists, "id", "left").select(*key, F.lit(1).alias("role"), "comp", "n", "id", "bits", "not", "cell")
+    tested = met.select(*key, F.lit(0).alias("role"), F.lit(None).cast("long").alias("comp"), F.col("b").alias("n"), F.col("a").alias("id"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("array<bigint>").alias("not"), F.lit(None).cast("long").alias("cell"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held = None, []
+        name, held, done = None, [], {}
         for batch in batches:
-            for r, *member in zip(*(batch.column(x).to_pylist() for x in ("run", "comp", "n", "id", "bits", "not")), strict=True):
-                if r != name:
-                    yield from spanning(held, num, den, forests)
-                    name, held = r, []
-                held.append(member)
-        yield from spanning(held, num, den, forests)
+            for r, p, q, role, *member in zip(*(batch.column(x).to_pylist() for x in (*key, "role", "comp", "n", "id", "bits", "not", "cell")), strict=True):
+                if (r, p, q) != name:
+                    yield from spanning(held, num, den, forests, done, name is not None and name[1] != name[2])
+                    name, held, done = (r, p, q), [], {}
+                if role == 0:
+                    done.setdefault(member[2], array("q")).append(member[1])
+                else:
+                    held.append(member)
+        yield from spanning(held, num, den, forests, done, name is not None and name[1] != name[2])
 
-    return members.repartition("run").sortWithinPartitions("run", "n", "id").select("run", "comp", "n", "id", "bits", "not").mapInArrow(run, "a long, b long").distinct()
+    rows = members.unionByName(tested).repartition(*key).sortWithinPartitions(*key, "role", "n", "id")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def spanning(members: list[list], num: int, den: int, forests: int) -> Iterator[pa.RecordBatch]:
+def spanning(members: list[list], num: int, den: int, forests: int, done: dict[int, array] | None = None, apart: bool = False) -> Iterator[pa.RecordBatch]:
     """Of a tile's open pairs, those that spanning forests of its components take, the likeliest first: a forest has fewer
-    pairs than the tile has sets. Pairs that no forest takes stay open for the next round, if they are still needed."""
+    pairs than the tile has sets. Pairs that no forest takes stay open for the next round, if they are still needed.
+    done: of some ids, others that they don't link with; apart: only pairs of different cells count."""
     if len({m[0] for m in members}) < 2:
         return
     ids = np.array([m[2] for m in members], np.int64)
     comp = [m[0] for m in members]
-    tested = [set(m[4] or ()) for m in members]
+    tested = [{*(m[4] or ()), *(done or {}).get(m[2], ())} for m in members]
     kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def find(up: dict[int, int], x: int) -> int:
@@ -199,9 +239,9 @@ def spanning(members: list[list], num: int, den: int, forests: int) -> Iterator[
             up[x] = x = up.get(y, y)
         return x
 
-    for some in open_pairs(members, num, den):  # a block at a time; of each, and of what was kept, the forests stay
+    for some in open_pairs(members, num, den, apart):  # a block at a time; of each, and of what was kept, the forests stay
         i, j, top = (np.concatenate(c) for c in zip(kept, some, strict=True))
-        trees: list[dict[int, int]] = [{} for _ in range(forests)]
+        trees: list[dict[int, int]] = [{} for _ in range(min(forests, len(members)))]
         taken = []
         for k in np.lexsort((np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j]), -top)).tolist():
             x, y = int(i[k]), int(j[k])
@@ -219,10 +259,11 @@ def spanning(members: list[list], num: int, den: int, forests: int) -> Iterator[
         yield pa.record_batch([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
 
-def open_pairs(members: list[list], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def open_pairs(members: list[list], num: int, den: int, apart: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of the pairs of a tile, given as (component, size, id, bitmap, ...) by size, that are in different components
     and may link, and how likely: the bound of their similarity. In blocks of about PAIRS_IN_MEMORY."""
     comp, n = (np.array([m[k] for m in members], np.int64) for k in range(2))
+    cell = np.array([m[5] for m in members], np.int64) if apart else None
     width = np.array([len(m[3]) for m in members])
     rows = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
     maps = {w: np.frombuffer(b"".join(members[i][3] for i in at), np.uint8).reshape(-1, w) for w, at in rows.items()}
@@ -241,6 +282,8 @@ def open_pairs(members: list[list], num: int, den: int) -> Iterator[tuple[np.nda
             lo, hi = np.searchsorted(at, [i + 1, end])
             some = at[lo:hi]
             some = some[comp[some] != comp[i]]
+            if apart:
+                some = some[cell[some] != cell[i]]
             if not len(some):
                 continue
             x = maps[int(width[i])][place[i]]
@@ -348,18 +391,18 @@ def classes(df: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col:
         return frame.join(comp.select(F.col("node").alias(column), F.col("component").alias("__c")), column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
     # what is left to compare: runs over several components, and firsts of bands other than the one compared, as runs of two
-    twos = meets.join(best, ["a", "b"], "left_anti").select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("id"))
-    runs = members.select("run", "id").unionByName(twos)
+    twos = meets.join(best, ["a", "b"], "left_anti").select(F.xxhash64("a", "b").alias("run"), F.explode(F.array("a", "b")).alias("id"), F.lit(0).cast("long").alias("n"))
+    runs = members.select("run", "id", "n").unionByName(twos)
     signed, forests = None, 1
     while True:  # until no open pair is left: rounds link components or rule pairs out, and take ever more pairs
-        several = with_comp(runs, "id", "comp").select("run", "id", "comp")
-        mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("run")
-        still = cut(several.join(mixed, "run", "left_semi"))
-        runs = still.select("run", "id")
+        several = with_comp(runs, "id", "comp").select("run", "id", "comp", "n")
+        mixed = several.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("total")).where("lo <> hi").select("run", "total")
+        still = cut(several.join(mixed, "run"))
+        runs = still.select("run", "id", "n")
         if signed is None:
             signed = cut(signatures(docs, runs.select("id").distinct(), size))
-        refused = best.join(links, ["a", "b"], "left_anti").groupBy("a").agg(F.collect_list("b").alias("not")).withColumnRenamed("a", "id")
-        rest = cut(across(still.join(signed, "id").join(refused, "id", "left"), num, den, forests))
+        refused = best.join(links, ["a", "b"], "left_anti")
+        rest = cut(across(placed(still, num, den), signed, refused, num, den, forests))
         if rest.isEmpty():
             break
         best = cut(best.unionByName(rest))  # all pairs ever compared

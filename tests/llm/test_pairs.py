@@ -65,6 +65,25 @@ def test_forests_in_blocks(monkeypatch):
     assert not list(jaccard.spanning(members, 85, 100, 8))
 
 
+def test_runs_in_cells(spark, monkeypatch):
+    """A run of more sets than a cell: no tile has more than two cells, and no link is lost."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base[: 60 + rng.randrange(60)] + [f"y{k}_{j}" for j in range(rng.randrange(30))]) for k in range(120)] + corpus(3)[:60]
+    want = H.classes(list(enumerate(texts)), 4, 85, 100)
+    monkeypatch.setattr(jaccard, "CELL", 15)
+    monkeypatch.setattr(jaccard, "LISTED", 2)
+    assert H.collected(jaccard.classes(H.docs(spark, texts), 4, 85, 100), "doc_id", "n_shingles", "component_id") == want
+    sizes = {i: rng.randrange(50, 400) for i in range(600)}
+    still = spark.createDataFrame([(1, i, i, n, 600) for i, n in sizes.items()] + [(2, 1, 1, 50, 2), (2, 2, 2, 50, 2)], "run long, id long, comp long, n long, total long")
+    tiles = {}
+    for r in jaccard.placed(still, 85, 100).collect():
+        tiles.setdefault((r["run"], r["p"], r["q"]), set()).add(r["id"])
+    assert max(len(t) for t in tiles.values()) < 90 and {1, 2} in tiles.values()
+    together = {(a, b) for t in tiles.values() for a in t for b in t}
+    assert all((a, b) in together for a in sizes for b in sizes if 85 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]))
+
+
 def test_classes_odd_rows(spark):
     assert jaccard.classes(H.docs(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b C d e f")]
