@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orderlake.llm import exact, jaccard, mixing, pieces, quality
-from orderlake.llm.common import fresh_path, table
+from orderlake.llm.common import table
+from orderlake.sources.paths import fresh
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,6 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(path := fresh_path(spark, "stage"))
+            docs.write.parquet(path := fresh(spark, "stage"))
             docs = spark.read.parquet(path)
     return docs
