@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from orderlake.llm.common import cut
+from orderlake.llm.common import cut, forget
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,17 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     hands them back can be split.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
     while True:
+        # at the end every node but the smallest has one edge, to the smallest
+        seen = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if seen["n"] == seen["nodes"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = cut(small.where("u <> v").distinct())
-        # at the end every node but the smallest has one edge, to the smallest
-        seen = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
-        if seen == state:
-            break
-        state = seen
+        old, now = now, cut(small.where("u <> v").distinct())
+        forget(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

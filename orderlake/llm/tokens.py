@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from orderlake.llm.common import fresh_path, table
+from orderlake.llm.common import table
 from orderlake.llm.pieces import chunks, model_path
+from orderlake.sources.paths import fresh
 
 BLOCK, CHUNK, STEP = 1 << 20, 8, 512
 END = 1
@@ -222,6 +223,6 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "tokens")
+    path = fresh(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path, model_path(MODEL))
     return digests(spark, path)

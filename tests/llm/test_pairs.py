@@ -54,11 +54,12 @@ def test_forests_in_blocks(monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
     sets = [np.unique(np.concatenate([base[: 200 - k % 9], rng.integers(0, 2**63, k % 9).astype(np.uint64)])) for k in range(40)]
-    members = sorted([[k, len(s), k, jaccard.bitmap(s), None] for k, s in enumerate(sets)], key=lambda m: (m[1], m[2]))
+    members = sorted([[k, len(s), k, jaccard.bitmap(s), None, 0, len(s)] for k, s in enumerate(sets)], key=lambda m: (m[1], m[2]))
     got = {}
     for most in (10, 10**6):
         monkeypatch.setattr(jaccard, "PAIRS_IN_MEMORY", most)
-        got[most] = [r for b in jaccard.spanning(members, 85, 100, 1) for r in b.to_pylist()]
+        got[most] = [r for b in jaccard.spanning(members, 85, 100, 1, run=7) for r in b.to_pylist()]
+        assert got[most].pop() == {"a": 7, "b": None}  # more pairs are open
     assert len(got[10]) == len(got[10**6]) == 39
     for m in members:
         m[4] = list(range(40))
@@ -75,13 +76,24 @@ def test_runs_in_cells(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LISTED", 2)
     assert H.collected(jaccard.classes(H.docs(spark, texts), 4, 85, 100), "doc_id", "n_shingles", "component_id") == want
     sizes = {i: rng.randrange(50, 400) for i in range(600)}
-    still = spark.createDataFrame([(1, i, i, n, 600) for i, n in sizes.items()] + [(2, 1, 1, 50, 2), (2, 2, 2, 50, 2)], "run long, id long, comp long, n long, total long")
+    comp = {i: 0 if i < 300 else i for i in sizes}
+    still = spark.createDataFrame([(1, i, comp[i], n, n, 600) for i, n in sizes.items()] + [(2, 1, 1, 50, 50, 2), (2, 2, 2, 50, 50, 2)], "run long, id long, comp long, n long, left long, total long")
     tiles = {}
     for r in jaccard.placed(still, 85, 100).collect():
         tiles.setdefault((r["run"], r["p"], r["q"]), set()).add(r["id"])
+    assert not any(r["p"] == r["q"] and r["comp"] == 0 for r in jaccard.placed(still.where("run = 1"), 85, 100).collect())
     assert max(len(t) for t in tiles.values()) < 90 and {1, 2} in tiles.values()
     together = {(a, b) for t in tiles.values() for a in t for b in t}
-    assert all((a, b) in together for a in sizes for b in sizes if 85 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]))
+    assert all((a, b) in together for a in sizes for b in sizes if comp[a] != comp[b] and 85 * max(sizes[a], sizes[b]) <= 100 * min(sizes[a], sizes[b]))
+
+
+def test_shingle_in_parts(spark, monkeypatch):
+    """A frequent shingle's entries in several tasks, and runs that are sent in pieces, give the same links."""
+    rng = random.Random(5)
+    texts = corpus(5) + [" ".join([f"h{i}" for i in range(30)] + [f"z{k}_{j}" for j in range(rng.randrange(0, 3))]) for k in range(150)]
+    for name, value in (("SPLIT", 20), ("LONG_RUN", 7), ("CLOSE_LOOK", 3), ("FIRSTS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert H.collected(jaccard.classes(H.docs(spark, texts).repartition(3), 4, 85, 100), "doc_id", "n_shingles", "component_id") == H.classes(list(enumerate(texts)), 4, 85, 100)
 
 
 def test_classes_odd_rows(spark):

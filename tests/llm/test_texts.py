@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlake.llm import dom, language, pieces, tokens, wrappers
-from orderlake.llm.common import fresh_path, table
+from orderlake.llm.common import table
+from orderlake.sources.paths import fresh
 
 ODD = [None, "", " ", "\n\n x\ny", "  a  b ", "a\tb\x00c", "日本語 テキスト", "\U0001f600x\U0001f600", "<s> </s> <0x41> <|endoftext|>", "x" * 3000, " " * 77, "▁a ▁", "é" * 50 + " 12345", "a\r\nb\x85c\xa0d", "it's ΟΔΟΣ İI", "\x01 a\x01b \x01", "Abc. abc ABC!? Abc.'s it'S. a.b. ... .,; É. É", H.LONG]
 
@@ -51,13 +52,13 @@ def test_token_files(spark):
         ids = [*tk.encode(r["text"] or "", add_special_tokens=False).ids, 1]
         want[r["doc_id"]] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    path = fresh_path(spark, "tokens")
+    path = fresh(spark, "tokens")
     tokens.write(H.clashing(d).repartition(5), path, tokens.model_path(tokens.MODEL))
     assert H.collected(tokens.digests(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
-    tokens.write(H.docs(spark, []), path := fresh_path(spark, "tokens"), tokens.model_path(tokens.MODEL))
+    tokens.write(H.docs(spark, []), path := fresh(spark, "tokens"), tokens.model_path(tokens.MODEL))
     assert tokens.digests(spark, path).count() == 0
     with pytest.raises(Exception, match="null identifier"):
-        tokens.write(H.docs(spark, [(None, "a")]), fresh_path(spark, "tokens"), tokens.model_path(tokens.MODEL))
+        tokens.write(H.docs(spark, [(None, "a")]), fresh(spark, "tokens"), tokens.model_path(tokens.MODEL))
 
 
 @pytest.mark.parametrize("high", [200, 70_000, 2**32 - 1])
