@@ -68,12 +68,14 @@ def spans(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
     t = t.withColumn("start", F.col("seg_before") + F.coalesce("before", F.lit(0)) - F.when(F.col("idx") > 0, F.col("sys")).otherwise(0))
     t = t.withColumn("stride", F.greatest(F.floor((F.lit(budget - history) - F.col("sys")) / 2), F.lit(1)))
     t = t.withColumn("own", F.floor(F.col("start") / F.col("stride")))
-    last = F.greatest(F.floor((F.col("all_tokens") - F.col("sys") - 1) / F.col("stride")), F.lit(0))
     again = F.col("start") >= (F.col("own") + 1) * F.col("stride") - history
     own = F.struct(F.col("own").alias("window"), F.lit(False).alias("repeated"))
-    where = F.when(F.col("is_sys"), F.transform(F.sequence(F.lit(0).cast("long"), last), lambda w: F.struct(w.alias("window"), (w > 0).alias("repeated"))))
-    where = where.when(again, F.array(own, F.struct((F.col("own") + 1).alias("window"), F.lit(True).alias("repeated")))).otherwise(F.array(own))
-    return t.select("conv_id", F.inline(where), "idx", "role", "text")
+    where = F.when(again, F.array(own, F.struct((F.col("own") + 1).alias("window"), F.lit(True).alias("repeated")))).otherwise(F.array(own))
+    turns = t.where("NOT is_sys").select("conv_id", F.inline(where), "idx", "role", "text")
+    # the system turn goes to windows that own a turn, and to the first of a conversation without any other
+    owned = t.where("NOT is_sys").select(F.col("conv_id").alias("c"), F.col("own").alias("window")).distinct()
+    system = t.where("is_sys").select("conv_id", "idx", "role", "text").join(owned, F.col("conv_id").eqNullSafe(F.col("c")), "left").withColumn("window", F.coalesce("window", F.lit(0).cast("long")))
+    return turns.unionByName(system.select("conv_id", "window", (F.col("window") > 0).alias("repeated"), "idx", "role", "text"))
 
 
 def windows(conv: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
