@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from orderlake.llm.common import among, cut, forget, table, without
 from orderlake.llm.graph import components
-from orderlake.llm.pieces import chunks
+from orderlake.llm.vocabulary import chunks
 from orderlake.llm.shingles import sets
 
 #: The table of counts has 2**SLOT_BITS slots, in blocks that tasks add up apart.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from orderlake.llm.anchors import LEFT, OTHER, WINDOW, anchors, spans, sums
 from orderlake.llm.common import cut, table
 from orderlake.llm.jaccard import utf8
-from orderlake.llm.pieces import chunks
+from orderlake.llm.vocabulary import chunks
 from orderlake.llm.shingles import BYTES, mix
 from orderlake.llm.suffixes import suffix_array
 

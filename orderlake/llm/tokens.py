@@ -6,42 +6,43 @@ The place of an id on the next level is the rank of its bit, so any token, or an
 bytes of each level, and nothing else is decoded.
 
 File format: a Parquet table of blocks, written by Spark and thus by its commit protocol, in ascending order of document:
-``part`` and ``block`` (their order), ``doc_ids`` (little-endian signed 64-bit), ``ends`` (unsigned 64-bit: ids up to the
-end of each document in the block), ``n_ids``, ``part_start`` (ids of the part before the block) and ``levels``, for each
-level its chunks, bitmap and directory. A block ends with the document that takes it past ``BLOCK`` ids.
+``part`` and ``block`` (their order), ``doc_ids`` (little-endian signed 64-bit), ``n_null`` (so many of them, at the
+front, stand for a null), ``ends`` (unsigned 64-bit: ids up to the end of each document in the block), ``n_ids``,
+``part_start`` (ids of the part before the block) and ``levels``, for each level its chunks, bitmap and directory. A block
+ends with the document that takes it past ``BLOCK`` ids.
 
-Ids come from the tokenizers library. Its vocabulary drops white space and splits there, so words are encoded one by one
-and those of usual length are remembered, in a dictionary of bounded size.
+Ids come from the tokenizers library. Its vocabulary drops white space and splits there, so each distinct word of a slice
+of texts is encoded once, and words met lately are remembered in a memory of bounded size. Where the library is seen to fold
+case and to part ASCII punctuation from the letters before it, words that differ so lend each other their ids. One whole
+text of each slice is held against the library; if it differs, the slice is encoded by whole texts.
 
 Defined results: a null text counts as empty and has the end id alone; rows of equal doc_id stand beside each other, in
-any order, and a null doc_id, which the format can't hold, raises an error; further columns are ignored; an empty table
-gives a table without blocks.
+any order; rows with a null doc_id come first; further columns are ignored; an empty table gives a table without blocks.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from orderlake.llm.common import table
-from orderlake.llm.pieces import chunks, model_path
+from orderlake.llm.pieces import model_path
+from orderlake.llm.vocabulary import Memory, Words, chunks
 from orderlake.sources.paths import fresh
 
 BLOCK, CHUNK, STEP = 1 << 20, 8, 512
 END = 1
 MODEL = "word_bpe_49k.json"
-#: About 200 bytes each.
-REMEMBERED, LONGEST = 1_300_000, 48
-MARK = "\x01"
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words of each of two generations, about 140 bytes each.
+REMEMBERED, LONGEST = 350_000, 40
+MARK, TAIL = "\x01", ".,;:!?#$%&"
 LEVELS = "array<struct<chunks:binary,bitmap:binary,ranks:binary>>"
 
 
@@ -108,10 +109,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
+        self.known = Memory(REMEMBERED, LONGEST)
         found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = found[0] if len(found) == 1 else None
+        one = lambda w: self.tokenizer.encode(w, add_special_tokens=False).ids
+        self.folds = one("Hello") == one("hello") and all(one(f"hello{x}{x}{y}") == one("hello") + one(x + x + y) for x in TAIL for y in TAIL)
 
     def library(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words go to the library in one text with a mark between them, a control character whose id no
@@ -129,36 +131,44 @@ class Encoder:
             out[w] = np.array(e.ids, "<u4").tobytes()
         return [out[w] for w in words]
 
-    def words(self, text: str) -> list[str]:
-        """The text between white space. Python's split() takes other characters for white space, too; it is used where a
-        text has none of them."""
-        return WORDS.findall(text) if OTHER_SPACE.search(text) else text.split()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, parts = self.known, [self.words(t) for t in texts]
-        new = [w for w in set().union(*parts) if w not in known]
-        # letters of ASCII and the punctuation after them are tokens apart, and case is folded
-        split = {}
-        for w in new:
-            if w.isascii():
-                low = w.lower()
-                core = low.rstrip(".,;:!?")
-                if core != w and core.isalpha():
-                    split[w] = (core, low[len(core) :])
-        want = {w for w in new if w not in split}.union(*split.values()) if split else set(new)
-        fresh = {"": b""}
-        ask = [w for w in want if w and w not in known]
-        for at in range(0, len(ask), 2048):
-            some = ask[at : at + 2048]
-            fresh |= zip(some, self.library(some), strict=True)
-        get = lambda w: fresh[w] if w in fresh else known[w]
+    def make(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known."""
+        made, ask, split = {"": b""}, dict.fromkeys(new), {}
+        if self.folds:
+            for w in new:
+                if w.isascii():
+                    low = w.lower()
+                    core = low.rstrip(TAIL)
+                    if core != w and core.isalpha():
+                        split[w] = core, low[len(core) :]
+                        del ask[w]
+            for x in {x for both in split.values() for x in both if x}:
+                if (ids := self.known.get(x)) is not None:
+                    made[x] = ids
+                else:
+                    ask[x] = None
+        ask.pop("", None)
+        want = list(ask)
+        for at in range(0, len(want), 2048):
+            some = want[at : at + 2048]
+            made |= zip(some, self.library(some), strict=True)
+        for core in {core for core, _ in split.values()}:
+            self.known.put(core, made[core])
         for w, (core, tail) in split.items():
-            fresh[w] = get(core) + get(tail)
-        long = {w: x for w, x in fresh.items() if len(w) > LONGEST}
-        known.update((w, x) for w, x in fresh.items() if 0 < len(w) <= LONGEST)
-        return [b"".join([known[w] if w in known else long[w] for w in p]) if long else b"".join(map(known.__getitem__, p)) for p in parts]
+            made[w] = made[core] + made[tail]
+        return made
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text begins and the last ends."""
+        words = Words(pc.ascii_split_whitespace(texts))
+        ids, ends = words.put_together(self.known.all(words.distinct, self.make), 4)
+        if len(texts):  # one whole text, the shortest that isn't trivial
+            size = pc.utf8_length(texts).to_pylist()
+            i = min(range(len(texts)), key=lambda i: (size[i] < 20, size[i]))
+            if not np.array_equal(ids[ends[i] : ends[i + 1]], np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")):
+                each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+                return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+        return ids, ends
 
 
 @lru_cache(maxsize=2)
@@ -170,37 +180,36 @@ def encoder(path: str) -> Encoder:
 def write(df: DataFrame, path: str, model: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode the texts and write them as blocks, in ascending order of the identifier."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = rows.repartitionByRange("id").sortWithinPartitions("id")  # nulls first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, part = encoder(model), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        enc, end, part = encoder(model), np.array([end_id], "<u4"), TaskContext.get().partitionId()
         state = {"block": 0, "start": 0, "n": 0, "ids": [], "docs": []}
 
         def block() -> pa.RecordBatch:
-            n = np.array([len(x) // 4 for x in state["ids"]], np.uint64)
-            levels = pack(np.frombuffer(b"".join(state["ids"]), "<u4"))
-            docs = np.array(state["docs"], "<i8")
-            out = [part, state["block"], docs.tobytes(), np.cumsum(n).astype("<u8").tobytes(), int(n.sum()), state["start"], [to_row(x) for x in levels]]
+            n = np.array([len(x) for x in state["ids"]], np.uint64)
+            levels = pack(np.concatenate(state["ids"]))
+            nulls = sum(d is None for d in state["docs"])
+            docs = np.array([d or 0 for d in state["docs"]], "<i8")
+            out = [part, state["block"], docs.tobytes(), nulls, np.cumsum(n).astype("<u8").tobytes(), int(n.sum()), state["start"], [to_row(x) for x in levels]]
             state.update(block=state["block"] + 1, start=state["start"] + state["n"], n=0, ids=[], docs=[])
             return pa.record_batch([pa.array([x], t) for x, t in zip(out, types, strict=True)], names)
 
-        types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())]))]
-        names = ["part", "block", "doc_ids", "ends", "n_ids", "part_start", "levels"]
+        types = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())]))]
+        names = ["part", "block", "doc_ids", "n_null", "ends", "n_ids", "part_start", "levels"]
         for batch in batches:
-            for some in chunks(batch, "t"):
-                docs = some.column("id").to_pylist()
-                if None in docs:
-                    raise ValueError("a null identifier can't be written")
-                for doc, ids in zip(docs, enc.encode_batch(some.column("t").to_pylist()), strict=True):
+            for some in chunks(batch, "t", 4_000_000):
+                ids, at = enc.encode_batch(some.column("t"))
+                for doc, a, b in zip(some.column("id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     state["docs"].append(doc)
-                    state["ids"].append(ids + end)
-                    state["n"] += len(ids) // 4 + 1
+                    state["ids"].append(np.concatenate([ids[a:b], end]))
+                    state["n"] += b - a + 1
                     if state["n"] >= BLOCK:
                         yield block()
         if state["docs"]:
             yield block()
 
-    rows.mapInArrow(run, f"part int, block int, doc_ids binary, ends binary, n_ids long, part_start long, levels {LEVELS}").write.parquet(path)
+    rows.mapInArrow(run, f"part int, block int, doc_ids binary, n_null long, ends binary, n_ids long, part_start long, levels {LEVELS}").write.parquet(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +217,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
     sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
     before = sums.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = blocks.join(F.broadcast(before), "part").select("doc_ids", "ends", (F.col("before") + F.col("part_start")).alias("start"), "levels")
+    rows = blocks.join(F.broadcast(before), "part").select("doc_ids", "n_null", "ends", (F.col("before") + F.col("part_start")).alias("start"), "levels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +226,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
                 docs, ends = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["ends"], "<u8").astype(np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(read(levels, int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(begins, ends, strict=True)]
-                yield pa.record_batch([pa.array(docs), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(docs, mask=np.arange(len(docs)) < row["n_null"]), pa.array(begins + row["start"]), pa.array(ends - begins), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

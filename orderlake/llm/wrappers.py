@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlake.llm import dom
 from orderlake.llm.common import cut, table
-from orderlake.llm.pieces import chunks
+from orderlake.llm.vocabulary import chunks
 
 LEAST = 5
 #: Different texts in a hundred pages of a node that is template.

@@ -78,6 +78,20 @@ def test_chat_odd_rows(spark):
         chat.windows(turns(spark, rows), 10, 10)
 
 
+def test_chat_long_system_turn_goes_to_windows_with_turns_only(spark):
+    rows = [(1, 0, "system", "s " * 20_000), (1, 1, "user", "q"), (1, 2, "assistant", "a " * 40_000), (1, 3, "user", "r")]
+    s = chat.spans(turns(spark, rows))
+    owned = s.where("role <> 'system' AND NOT repeated").select("window").distinct().count()
+    assert s.where("role = 'system'").count() == owned <= 3
+    assert read(chat.windows(turns(spark, rows)))[1] == ([(r[2], r[3]) for r in rows], rows[2][3])
+
+
+def test_exact_rounds_sort_and_do_not_hash(spark):
+    rows = exact.digests(H.docs(spark, [f"t{i % 10}" for i in range(200)]).repartition(9))
+    plan = exact.merge_runs(rows, "min", fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("Sort [run") >= 3 and plan.count("Window [row_number") == 3
+
+
 def test_exact_groups(spark):
     texts = ["Ab", "aB", "ab ", None, "", "É", "é", H.LONG, H.LONG, (2, "ab ")]
     for keep, best in (("min", min), ("max", max)):
@@ -94,7 +108,7 @@ def test_exact_groups(spark):
 @pytest.mark.parametrize("parts,fan_in", [(1, 2), (7, 2), (7, 64)])
 def test_exact_tree_of_any_shape(spark, parts, fan_in):
     rows = exact.digests(H.docs(spark, [f"t{i % 10}" for i in range(200)]).repartition(parts))
-    got = exact.merge_runs(rows, "min", leaves=64, fan_in=fan_in)
+    got = exact.merge_runs(rows, "min", fan_in=fan_in)
     assert sorted(r["keep_id"] for r in got.collect()) == list(range(10)) and {r["group_size"] for r in got.collect()} == {20}
 
 

@@ -57,8 +57,10 @@ def test_token_files(spark):
     assert H.collected(tokens.digests(spark, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
     tokens.write(H.docs(spark, []), path := fresh(spark, "tokens"), tokens.model_path(tokens.MODEL))
     assert tokens.digests(spark, path).count() == 0
-    with pytest.raises(Exception, match="null identifier"):
-        tokens.write(H.docs(spark, [(None, "a")]), fresh(spark, "tokens"), tokens.model_path(tokens.MODEL))
+    tokens.write(H.docs(spark, [(5, "a"), (None, "a b"), (-3, "a"), (None, None)]), path := fresh(spark, "tokens"), tokens.model_path(tokens.MODEL))
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in tokens.digests(spark, path).collect())
+    n = len(tk.encode("a", add_special_tokens=False).ids) + 1
+    assert {x[1] for x in got[:2]} == {None} and [x[1:] for x in got[2:]] == [(-3, n), (5, n)]
 
 
 @pytest.mark.parametrize("high", [200, 70_000, 2**32 - 1])
