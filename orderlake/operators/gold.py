@@ -40,9 +40,9 @@ def sales_period(ts: str) -> Column:
 
 
 def monthly_sales(lead_days: DataFrame, detail: DataFrame) -> DataFrame:
-    """Sales of delivered orders by product and month, each product's quadrant among its category's in that month.
+    """Sales of delivered orders by product and month of delivery, each product's quadrant among its category's in that month.
     Medians are window aggregates on the partitioning of the sums' category and month: no join back."""
-    period = lead_days.where("delivered_customer IS NOT NULL AND purchase IS NOT NULL").select("order_id", sales_period("purchase").alias("sales_period"))
+    period = lead_days.where("delivered_customer IS NOT NULL").select("order_id", sales_period("delivered_customer").alias("sales_period"))
     sums = detail.join(period, "order_id").groupBy("category", "product_id", "sales_period").agg(F.sum("quantity").alias("total_sales_quantity"), F.sum(F.col("quantity") * F.col("unit_price")).alias("total_sales_amount"))
     sums = sums.withColumn("mean_sales", F.col("total_sales_amount") / F.col("total_sales_quantity"))
     w = W.partitionBy("category", "sales_period")
@@ -54,6 +54,18 @@ def review_answer_days(review: DataFrame) -> DataFrame:
     return review.withColumn("until_answer_lead_days", F.date_diff("review_answer_timestamp", "review_creation_date"))
 
 
+def open_orders(batch: DataFrame, stream: DataFrame) -> DataFrame:
+    """Lead days of orders not delivered yet: the batch's, and the stream's of orders that the whole batch doesn't know. What
+    the batch has as delivered isn't open, whatever the stream says."""
+    known = batch.select("order_id").distinct()
+    return batch.where("delivered_customer IS NULL").unionByName(stream.where("delivered_customer IS NULL").join(known, "order_id", "left_anti").select(*batch.columns))
+
+
+def known_locations(batch: DataFrame, stream: DataFrame) -> DataFrame:
+    """Users with coordinates, batch first: a user that the batch has, even without coordinates, isn't taken from the stream."""
+    return batch_first(batch, stream, ["user_type", "user_id"]).where("lat IS NOT NULL AND lng IS NOT NULL")
+
+
 def batch_first(batch: DataFrame, stream: DataFrame, keys: list[str]) -> DataFrame:
     """The batch rows, and stream rows whose key the batch doesn't have."""
     return batch.unionByName(stream.join(batch.select(*keys).distinct(), keys, "left_anti").select(*batch.columns))

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: The country's bounds: kept inside the first box; the second, wider one tells rejects.
-LAT, LNG = (-33.75, 5.27), (-73.99, -34.79)
-WIDE_LAT, WIDE_LNG = (-35.0, 6.0), (-75.0, -33.0)
+#: Fixed values. The country's bounds: kept inside the first box; the second, wider one tells rejects.
+LAT, LNG = (-33.69111, 2.81972), (-72.89583, -34.80861)
+WIDE_LAT, WIDE_LNG = (-33.75, 5.27), (-73.98, -34.79)
 
 
 def in_bounds(lat: str = "lat", lng: str = "lng", box=(LAT, LNG)) -> Column:
@@ -41,9 +41,10 @@ def integrity(before: DataFrame, after: DataFrame, key: str, lat: str = "lat", l
     return both.select("*", share.alias("kept_share"), ((F.col("n_nulls") == 0) & (F.col("n_outside") == 0)).alias("is_sound"))
 
 
-def portfolio(quantity: Column, price: Column, quantity_cut: Column, price_cut: Column) -> Column:
-    """The four quadrants: volume counts as high above its cut, price at its cut or above."""
-    high_q, high_p = quantity > quantity_cut, price >= price_cut
+def portfolio(quantity: Column, price: Column, quantity_cut: Column, price_cut: Column, at_cut: bool = False) -> Column:
+    """The four quadrants: volume counts as high above its cut (with ``at_cut``: at its cut or above), price at its cut
+    or above."""
+    high_q, high_p = quantity >= quantity_cut if at_cut else quantity > quantity_cut, price >= price_cut
     return F.when(high_q & high_p, "Star Products").when(high_q & ~high_p, "Volume Drivers").when(~high_q & high_p, "Niche Gems").otherwise("Question Marks")
 
 

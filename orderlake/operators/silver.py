@@ -8,21 +8,21 @@ from orderlake.operators import quality
 
 
 def geo_coord(geolocation: DataFrame) -> DataFrame:
-    """Coordinates inside the country, one of each zip code."""
-    return geolocation.where(quality.in_bounds()).select(F.col("zip_code").cast("int").alias("zip_code"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    """Coordinates inside the country, once each."""
+    return geolocation.where(quality.in_bounds()).select(F.col("zip_code").cast("int").alias("zip_code"), F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).dropDuplicates()
 
 
 def users(customer: DataFrame, seller: DataFrame) -> DataFrame:
     one = lambda df, key, kind: df.select(F.lit(kind).alias("user_type"), F.col(key).alias("user_id"), "zip_code")
-    return one(customer, "customer_id", "customer").unionByName(one(seller, "seller_id", "seller"))
+    return one(customer, "customer_id", "customer").unionByName(one(seller, "seller_id", "seller")).dropDuplicates()
 
 
 def order_events(status: DataFrame, estimated: DataFrame, items: DataFrame) -> DataFrame:
-    """order_id, data_type, timestamp: of statuses, of estimated deliveries and of shipping limits."""
+    """order_id, data_type, timestamp: of statuses, of estimated deliveries and of shipping limits, once each."""
     a = status.select("order_id", F.col("status").alias("data_type"), "timestamp").replace({"approved": "approve"}, subset=["data_type"])
     b = estimated.select("order_id", F.lit("estimated_delivery").alias("data_type"), F.col("estimated_delivery_date").alias("timestamp"))
     c = items.select("order_id", F.lit("shipping_limit").alias("data_type"), F.col("shipping_limit_date").alias("timestamp"))
-    return a.unionByName(b).unionByName(c)
+    return a.unionByName(b).unionByName(c).dropDuplicates()
 
 
 def product_metadata(product: DataFrame, items: DataFrame) -> DataFrame:
@@ -40,4 +40,4 @@ def customer_orders(items: DataFrame, payment: DataFrame) -> DataFrame:
 
 
 def review_metadata(review: DataFrame) -> DataFrame:
-    return review.drop("review_comment_title", "review_comment_message")
+    return review.drop("review_comment_title", "review_comment_message").dropDuplicates()

@@ -57,7 +57,7 @@ def sales_stats(df: DataFrame) -> DataFrame:
 def portfolio_group(stats: DataFrame) -> DataFrame:
     """Quadrants by global cuts: the upper quartile of counts, the median of means. The cuts are one row, joined, not collected."""
     cuts = stats.agg(F.percentile_approx("order_count", 0.75).alias("cq"), F.percentile_approx("mean_sales", 0.5).alias("cp"))
-    return stats.crossJoin(F.broadcast(cuts)).select("product_id", "category", "seller_id", "order_count", "mean_sales", quality.portfolio(F.col("order_count"), F.col("mean_sales"), F.col("cq"), F.col("cp")).alias("group"))
+    return stats.crossJoin(F.broadcast(cuts)).select("product_id", "category", "seller_id", "order_count", "mean_sales", quality.portfolio(F.col("order_count"), F.col("mean_sales"), F.col("cq"), F.col("cp"), at_cut=True).alias("group"))
 
 
 def purchase_stats(spark, sf):
@@ -304,7 +304,7 @@ ORACLE_SQL = {
     "gather_timestamps": sql("SELECT order_id, order_purchase_timestamp AS purchase, order_approved_timestamp AS approved, order_delivered_carrier_timestamp AS delivered_carrier, order_delivered_customer_timestamp AS delivered_customer, order_estimated_delivery_timestamp AS estimated_delivery FROM b_times WHERE order_delivered_customer_timestamp IS NOT NULL AND order_approved_timestamp IS NOT NULL"),
     "delivered_items_semi": sql("SELECT * EXCLUDE (shipping_limit_date) FROM b_item WHERE order_id IN (SELECT order_id FROM b_times WHERE order_status = 'F')"),
     "sales_stats": sql(STATS),
-    "portfolio_group": sql("SELECT product_id, category, seller_id, order_count, mean_sales, CASE WHEN order_count > cq AND mean_sales >= cp THEN 'Star Products' WHEN order_count > cq THEN 'Volume Drivers' WHEN mean_sales >= cp THEN 'Niche Gems' ELSE 'Question Marks' END AS \"group\" FROM a_stats, (SELECT quantile_disc(order_count, 0.75) AS cq, quantile_disc(mean_sales, 0.5) AS cp FROM a_stats)", a_stats=STATS),
+    "portfolio_group": sql("SELECT product_id, category, seller_id, order_count, mean_sales, CASE WHEN order_count >= cq AND mean_sales >= cp THEN 'Star Products' WHEN order_count >= cq THEN 'Volume Drivers' WHEN mean_sales >= cp THEN 'Niche Gems' ELSE 'Question Marks' END AS \"group\" FROM a_stats, (SELECT quantile_disc(order_count, 0.75) AS cq, quantile_disc(mean_sales, 0.5) AS cp FROM a_stats)", a_stats=STATS),
     "purchase_stats": sql("SELECT customer_id, count(*) AS n_payments, count(DISTINCT order_id) AS n_orders, min(timestamp) AS first_purchase, max(timestamp) AS last_purchase FROM b_payment GROUP BY 1"),
     "purchase_intervals": sql("SELECT customer_id, count(*) AS n_intervals, round(avg(s), 2) AS mean_interval_seconds FROM (SELECT customer_id, date_diff('second', lag(timestamp) OVER (PARTITION BY customer_id ORDER BY timestamp, order_id), timestamp) AS s FROM b_payment) WHERE s IS NOT NULL GROUP BY 1"),
     "status_pivot": sql("SELECT order_id, " + ", ".join(f"min(CASE WHEN status = '{s}' THEN timestamp END) AS {s}" for s in A.STATUS) + " FROM b_status GROUP BY 1"),

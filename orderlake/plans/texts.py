@@ -26,9 +26,10 @@ def clean_basic(spark, sf):
 
 
 def outliers(spark, sf):
-    """Texts whose cleaning takes more than so many characters off, or that are that much longer than their title."""
-    r = A.review(spark, sf).select("review_id", F.length("review_comment_message").alias("n_message"), F.length("review_comment_title").alias("n_title"))
-    return r.withColumn("difference", F.col("n_message") - F.col("n_title")).where(F.col("difference") > LONG)
+    """Texts whose cleaned form differs from them by more than so many characters."""
+    both = text.clean_rows(messages(spark, sf).withColumn("source", F.col("text")), "text", text.BASIC)
+    sizes = both.select("review_id", "message_type", F.length("source").alias("n_source"), F.length("text").alias("n_output"))
+    return sizes.withColumn("difference", F.abs(F.col("n_source") - F.col("n_output"))).where(F.col("difference") > LONG)
 
 
 def score_batches(spark, sf):
@@ -56,13 +57,14 @@ QUERIES = {
     "argmax_label": argmax_label,
 }
 MELT = "SELECT review_id, 'title' AS message_type, review_comment_title AS text FROM b_review WHERE review_comment_title IS NOT NULL UNION ALL SELECT review_id, 'message', review_comment_message FROM b_review WHERE review_comment_message IS NOT NULL"
+CLEANED = "regexp_replace(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '[\r\n]', ' ', 'g'), '[`´\"“”‘’''*^]', '''', 'g'), '!', '.'), '\\s+([!?.,])', '\\1', 'g'), '\\s+', ' ', 'g')), '[.,+]+$', '')"
 SCORES = "length(text) % 7 / 7 AS negative, length(text) % 5 / 5 AS neutral, length(text) % 3 / 3 AS positive"
 ROUNDED = "round(length(text) % 7 / 7, 6) AS negative, round(length(text) % 5 / 5, 6) AS neutral, round(length(text) % 3 / 3, 6) AS positive"
 ORACLE_SQL = {
     "review_melt": sql(MELT),
-    "clean_text_basic": sql("SELECT review_id, message_type, t AS text FROM (SELECT review_id, message_type, regexp_replace(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '[\r\n]', ' ', 'g'), '[`´\"“”‘’''*^]', '''', 'g'), '!', '.'), '\\s+([!?.,])', '\\1', 'g'), '\\s+', ' ', 'g')), '[.,+]+$', '') AS t FROM t_melt) WHERE t <> ''", t_melt=MELT),
+    "clean_text_basic": sql(f"SELECT review_id, message_type, t AS text FROM (SELECT review_id, message_type, {CLEANED} AS t FROM t_melt) WHERE t <> ''", t_melt=MELT),
     "keyword_counts": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+')) AS word FROM documents) WHERE length(word) > 2 AND word NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ") GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
-    "text_outliers": sql(f"SELECT review_id, length(review_comment_message)::INT AS n_message, length(review_comment_title)::INT AS n_title, (length(review_comment_message) - length(review_comment_title))::INT AS difference FROM b_review WHERE length(review_comment_message) - length(review_comment_title) > {LONG}"),
+    "text_outliers": sql(f"SELECT * FROM (SELECT review_id, message_type, length(text)::INT AS n_source, length(t)::INT AS n_output, abs(length(text) - length(t))::INT AS difference FROM (SELECT *, {CLEANED} AS t FROM t_melt) WHERE t <> '') WHERE difference > {LONG}", t_melt=MELT),
     "score_batches": sql(f"SELECT md5(text) AS text_md5, {ROUNDED} FROM (SELECT DISTINCT text FROM t_melt)", t_melt=MELT),
     "score_join_back": sql(f"SELECT review_id, message_type, {ROUNDED} FROM t_melt", t_melt=MELT),
     "argmax_label": sql(f"SELECT review_id, message_type, CASE WHEN positive >= neutral AND positive >= negative THEN 'positive' WHEN neutral >= negative THEN 'neutral' ELSE 'negative' END AS label FROM (SELECT *, {SCORES} FROM t_melt)", t_melt=MELT),

@@ -21,4 +21,4 @@ def sql(body: str, **extra: str) -> str:
                 needed.append(name)
 
     need(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in needed) + "\n" if needed else "") + body
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in needed) + "\n" if needed else "") + body

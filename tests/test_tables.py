@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlake.functions import scoring
-from orderlake.operators import quality, shapes, silver
+from orderlake.operators import gold, quality, shapes, silver
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -47,7 +47,29 @@ def test_compact_and_expire(spark):
     t.compact(2, DAYS[4])
     assert ids(t.read()) == whole and ids(t.as_of(2)) == [0, 1, 2, 10, 11, 12]
     t.expire(3)
-    assert ids(t.read()) == [20, 21, 22]
+    assert ids(t.read()) == whole and [r["commit_id"] for r in t.log().collect()] == [3]
+
+
+def test_compaction_keeps_batches_known(spark):
+    t = commits(spark, 1)
+    assert t.commit(spark.range(5), DAYS[1], "app", 7) == 2
+    t.compact(2, DAYS[2])
+    assert t.commit(spark.range(5), DAYS[3], "app", 7) == 2 and t.read().count() == 8
+
+
+def test_a_number_taken_meanwhile(spark, monkeypatch):
+    """Another writer commits between reading the log and writing the line."""
+    t, other = commits(spark, 1), []
+    put = t.put
+
+    def late(number, *rest):
+        if not other:
+            other.append(snapshots.Table(spark, t.path, t.schema).commit(spark.range(100, 103), DAYS[1]))
+        put(number, *rest)
+
+    monkeypatch.setattr(t, "put", late)
+    assert t.commit(spark.range(50, 53), DAYS[2], wait=0.01) == 3 and other == [2]
+    assert ids(t.read()) == [0, 1, 2, 50, 51, 52, 100, 101, 102]
 
 
 def test_last_processed(spark):
@@ -97,7 +119,7 @@ def test_tables_and_namespaces(spark):
 
 
 def test_geography_edges(spark):
-    df = spark.createDataFrame([(1, 5.27, -73.99), (2, 5.28, -50.0), (3, None, -50.0)], "zip_code int, lat double, lng double")
+    df = spark.createDataFrame([(1, 2.81972, -72.89583), (2, 2.82, -50.0), (3, None, -50.0)], "zip_code int, lat double, lng double")
     assert ids(silver.geo_coord(df).select("zip_code")) == [1]
     assert df.where(~quality.in_bounds()).count() == 1
 
@@ -138,3 +160,37 @@ def test_conflicting_labels_fail(spark):
     s = spark.createDataFrame([("a", "p"), ("a", "n")], "text string, label string")
     with pytest.raises(Exception, match="conflicting labels"):
         scoring.combine(s, spark.createDataFrame([("a", "b")], "text string, por string"), "text", "label").collect()
+
+
+def test_what_the_batch_knows_as_delivered_is_not_open(spark):
+    batch = spark.createDataFrame([("1", "2024-02-03", "2024-01-30"), ("2", None, "2024-01-02")], "order_id string, d string, p string").selectExpr("order_id", "CAST(d AS timestamp) AS delivered_customer", "CAST(p AS timestamp) AS purchase")
+    stream = spark.createDataFrame([("1",), ("2",), ("3",)], "order_id string").selectExpr("order_id", "CAST(NULL AS timestamp) AS delivered_customer", "CAST(NULL AS timestamp) AS purchase")
+    assert sorted(r["order_id"] for r in gold.open_orders(batch, stream).collect()) == ["2", "3"]
+
+
+def test_sales_month_is_that_of_delivery(spark):
+    lead = spark.createDataFrame([("1", "2024-02-03", "2024-01-30"), ("2", None, "2024-01-02"), ("3", "2024-02-09", None)], "order_id string, d string, p string").selectExpr("order_id", "CAST(d AS timestamp) AS delivered_customer", "CAST(p AS timestamp) AS purchase")
+    detail = spark.createDataFrame([("1", "p", "c", 2, 5.0), ("2", "p", "c", 1, 5.0), ("3", "q", "c", 1, 9.0)], "order_id string, product_id string, category string, quantity long, unit_price double")
+    got = sorted((r["product_id"], r["sales_period"], r["total_sales_quantity"], r["total_sales_amount"], r["group"]) for r in gold.monthly_sales(lead, detail).collect())
+    assert got == [("p", "2024-02", 2, 10.0, "Star Products"), ("q", "2024-02", 1, 9.0, "Niche Gems")]
+
+
+def test_locations_of_the_batch_come_first(spark):
+    kind = "user_type string, user_id string, zip_code int, lat double, lng double"
+    batch = spark.createDataFrame([("customer", "1", 5, 1.0, 1.0), ("customer", "2", 5, None, 1.0)], kind)
+    stream = spark.createDataFrame([("customer", "1", 5, 9.0, 9.0), ("customer", "2", 5, 9.0, 9.0), ("seller", "1", 5, 3.0, 3.0), ("seller", "2", 5, 3.0, None)], kind)
+    got = sorted((r["user_type"], r["user_id"], r["lat"]) for r in gold.known_locations(batch, stream).collect())
+    assert got == [("customer", "1", 1.0), ("seller", "1", 3.0)]
+
+
+def test_silver_rows_come_once(spark):
+    geo = spark.createDataFrame([(1, -10.0, -50.0)] * 2 + [(2, 3.0, -50.0), (3, -10.0, -73.5), (4, 2.81972, -34.80861)], "zip_code int, lat double, lng double")
+    assert sorted(r["zip_code"] for r in silver.geo_coord(geo).collect()) == [1, 4]
+    u = spark.createDataFrame([("a", 1), ("a", 1)], "customer_id string, zip_code int")
+    assert silver.users(u, u.withColumnRenamed("customer_id", "seller_id")).count() == 2
+
+
+def test_portfolio_at_the_cut(spark):
+    df = spark.createDataFrame([(4, 1.0), (5, 1.0), (5, 0.5)], "q long, p double")
+    got = [r[0] for r in df.select(quality.portfolio(F.col("q"), F.col("p"), F.lit(5), F.lit(1.0), at_cut=True)).collect()]
+    assert got == ["Niche Gems", "Star Products", "Volume Drivers"]
