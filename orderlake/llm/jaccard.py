@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from orderlake.llm.common import among, cut, forget, table, without
 from orderlake.llm.graph import components
-from orderlake.llm.vocabulary import chunks
+from orderlake.llm.vocabulary import chunks, tidy
 from orderlake.llm.shingles import sets
 
 #: The table of counts has 2**SLOT_BITS slots, in blocks that tasks add up apart.
@@ -106,7 +106,7 @@ def summaries(docs: DataFrame, size: int) -> DataFrame:
                         known.add(d)
                         held.append(s)
                         n_held += len(s)
-                if n_held > 2_000_000:
+                if n_held > 500_000:
                     add_up()
                     n_held = 0
                 none = pa.nulls(len(n))
@@ -275,6 +275,7 @@ def tiles(entered: DataFrame, num: int, den: int) -> DataFrame:
             else:
                 take(*held)
         yield flush()
+        tidy()
 
     return entered.repartition("key").sortWithinPartitions("key", "meta", "id").mapInArrow(run, "run long, first long, id long, n long, left long, split boolean")
 
@@ -352,6 +353,8 @@ def across(tiled: DataFrame, signed: DataFrame, refused: DataFrame, num: int, de
                 else:
                     held.append(member)
         yield from end()
+        held, done = [], {}
+        tidy()
 
     rows = members.unionByName(tested).repartition(*key).sortWithinPartitions(*key, "role", "n", "id")
     return rows.mapInArrow(run, "a long, b long").distinct()

@@ -35,7 +35,7 @@ from orderlake.llm.vocabulary import Memory, Words, chunks
 
 SPACE = "▁"
 #: Words of each of two generations, about 140 bytes each.
-REMEMBERED, LONGEST = 250_000, 40
+REMEMBERED, LONGEST = 180_000, 40
 #: Words of up to so many characters share arrays.
 WIDTHS = (8, 12, 16, 24, 40)
 MODEL = "piece_bpe_32k.model"
@@ -241,7 +241,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for batch in batches:
-            for part in chunks(batch, "t", 4_000_000):
+            for part in chunks(batch, "t", 1_500_000):
                 ids, ends, corrected = p.encode_batch(part.column("t"))
                 yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in p.with_ends(ids, ends)], pa.binary()), pa.array(corrected, pa.int32())], [id_col, "ids", "n_corrected"])
 
@@ -271,7 +271,7 @@ def digests(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
         p = pieces(model)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for part in chunks(batch, "t", 4_000_000):
+            for part in chunks(batch, "t", 1_500_000):
                 flat, ends, corrected = p.encode_batch(part.column("t"))
                 ids = p.with_ends(flat, ends)
                 decoded = [sha(p.sp.decode(x.tolist()).encode("utf-8")) for x in ids]

@@ -1,7 +1,8 @@
-"""The distinct words of a batch of texts, and memory of what was made of them."""
+"""What tasks on texts share: slices of batches, giving memory back, the distinct words of a slice and what was made of them."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,16 +69,27 @@ class Memory:
         return out
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, as workers live on beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text, so that what a task holds doesn't follow the batch size."""
     if not batch.num_rows:
         return
-    texts = batch.column(column).cast(pa.large_binary())
+    texts = batch.column(column)
     at = size = 0
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + batch.num_rows + 1]
+    ends = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32)[texts.offset : texts.offset + batch.num_rows + 1]
     for i, n in enumerate(np.diff(ends).tolist()):
         if size and size + n > most:
             yield batch.slice(at, i - at)
             at, size = i, 0
         size += n
     yield batch.slice(at)
+    del texts, ends
+    tidy()
