@@ -14,6 +14,8 @@ from orderlake.llm.shingles import BYTES, mix, powers
 WINDOW, GRAM = 200, 32
 LEFT = WINDOW - GRAM
 OTHER = mix(BYTES)
+#: Windows looked at together, and the bits of a place among their strings; the other bits are the hash's.
+BLOCK, PLACE = 1 << 22, np.uint64((1 << 23) - 1)
 
 
 def sums(raw: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -37,18 +39,22 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     total = sums(raw, BYTES)
     at = np.arange(len(raw) - GRAM + 1)
     gram = spans(total, at, at + GRAM)
-    # 36 bits of the hash, then the place: the least is the first of the smallest
-    low = (gram & np.uint64(~((1 << 28) - 1) & (2**64 - 1))) | at.astype(np.uint64)
-    width = 1
-    while 2 * width <= LEFT + 1:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < LEFT + 1:
-        low = np.minimum(low[: len(low) - (LEFT + 1 - width)], low[LEFT + 1 - width :])
-    starts = np.arange(len(low))
-    owner = np.searchsorted(ends, starts, side="right")
-    whole = starts + WINDOW <= ends[owner]
-    chosen = (low[whole] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    n, found = len(raw) - WINDOW + 1, []
+    for s in range(0, n, BLOCK):  # windows that start in a block
+        e = min(s + BLOCK, n)
+        low = gram[s : e + LEFT]
+        # the upper bits of the hash, then the place in the block: the least is the first of the smallest
+        low = (low & ~PLACE) | np.arange(len(low), dtype=np.uint64)
+        width = 1
+        while 2 * width <= LEFT + 1:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if width < LEFT + 1:
+            low = np.minimum(low[: len(low) - (LEFT + 1 - width)], low[LEFT + 1 - width :])
+        starts = np.arange(s, e)
+        whole = starts + WINDOW <= ends[np.searchsorted(ends, starts, side="right")]
+        found.append(s + (low[whole] & PLACE).astype(np.int64))
+    chosen = np.concatenate(found)
     chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
     owner = np.searchsorted(ends, chosen, side="right")
     begin, end = (ends - [len(t) for t in texts])[owner], ends[owner]

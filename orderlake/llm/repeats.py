@@ -12,8 +12,8 @@
 
 All hashes have 64 bits, and windows are held equal on two of them, independent of each other.
 
-Defined results: a null text counts as empty; texts under 200 bytes lose nothing; rows with the same id count as the same
-text, repeated; texts of rows with a null id take no part and are kept; a cut inside a character leaves its other bytes,
+Defined results: a null text counts as empty; texts under 200 bytes lose nothing; every row is a text of its own, also those
+that repeat an id or have none (rows are told apart by a 64-bit hash of id and text, which repeated rows share); a cut inside a character leaves its other bytes,
 as the contract is on bytes; further columns are ignored; an empty table gives no rows.
 """
 
@@ -258,13 +258,13 @@ def joined(spans_: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, spans (array of lo, hi in bytes; maximal runs to remove), bytes (the whole text)."""
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    named = docs.where("id IS NOT NULL")
-    found = cut(sorted_out(anchored(named)))
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.xxhash64(F.col(id_col), t).alias("id"), F.col(id_col).cast("long").alias("doc"), t.alias("t"))
+    found = cut(sorted_out(anchored(docs.drop("doc"))))
     wholes = found.where("whole").select("id", (F.col("place") - LEFT).cast("long").alias("lo"), (F.col("place") + WINDOW).cast("long").alias("hi"))
-    some = cut(compared(contexts(named, found.where("anchor IS NOT NULL").select("anchor", "id", "place"))))
+    some = cut(compared(contexts(docs.drop("doc"), found.where("anchor IS NOT NULL").select("anchor", "id", "place"))))
     lists = wholes.unionByName(some).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    return docs.join(lists, "id", "left")
+    return docs.join(lists, "id", "left").select(F.col("doc").alias("id"), "t", "found")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

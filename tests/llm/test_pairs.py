@@ -168,7 +168,25 @@ def test_repeats_odd_rows(spark):
     assert repeats.removed(H.docs(spark, [])).count() == 0
     t = "".join(chr(97 + (i * i) % 26) for i in range(300)) + "tail"
     got = sorted(((r["doc_id"], r["n_removed"]) for r in repeats.removed(H.docs(spark, [(1, t), (1, t), (None, t), (2, "x" + H.LONG)])).collect()), key=repr)
-    assert [x for x in got if x[0] == 1] == [(1, len(t)), (1, len(t))] and (None, 0) in got and (2, 0) in got
+    assert [x for x in got if x[0] == 1] == [(1, len(t)), (1, len(t))] and (None, len(t)) in got and (2, 0) in got
+
+
+def test_repeats_of_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(9)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(600)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a[100:500]), (None, c), (None, b[:150] + c[50:300])]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.removed(H.docs(spark, rows)).collect()}
+    assert got == {(1, 600, 400), (1, 600, 0), (2, 400, 400), (None, 600, 250), (None, 400, 250)}
+
+
+def test_anchors_in_blocks(monkeypatch):
+    from orderlake.llm import anchors
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab ") for _ in range(rng.randrange(0, 2000))).encode() for _ in range(30)]
+    whole = anchors.anchors(texts)
+    monkeypatch.setattr(anchors, "BLOCK", 333)
+    assert all((x == y).all() for x, y in zip(whole, anchors.anchors(texts), strict=True))
 
 
 def test_split_of_contexts(spark, monkeypatch):
