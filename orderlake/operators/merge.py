@@ -16,6 +16,11 @@ def single(source: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
 
 def insert_only(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
     """The target and the source's rows of new keys; of several with one key, the least of their values."""
+    return target.unionByName(new_rows(target, source, on))
+
+
+def new_rows(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
+    """What an insert-only merge adds to its target; an append-only table needs no more."""
     rest = [c for c in target.columns if c not in on]
     keyed = F.lit(True)
     for c in on:
@@ -23,7 +28,15 @@ def insert_only(target: DataFrame, source: DataFrame, on: list[str]) -> DataFram
     rows = source.select(*target.columns)
     one = rows.where(keyed).groupBy(*on).agg(F.min(F.struct(*rest)).alias("__v")).select(*on, "__v.*") if rest else rows.where(keyed).distinct()
     new = one.select(*target.columns).join(target.select(*on), on, "left_anti").select(*target.columns)
-    return target.unionByName(new).unionByName(rows.where(~keyed))
+    return new.unionByName(rows.where(~keyed))
+
+
+def latest(rows: DataFrame, on: list[str], order: str) -> DataFrame:
+    """The state after coalescing merges of ``rows`` one after another by ``order``: per key and column the last value that
+    isn't null. One aggregation at the reader instead of a rewritten target for each merge; null keys are one key here."""
+    rest = [c for c in rows.columns if c not in (*on, order)]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+    return rows.groupBy(*on).agg(*[last(c) for c in rest])
 
 
 def update(target: DataFrame, source: DataFrame, on: list[str], value, when: Column | None = None) -> DataFrame:

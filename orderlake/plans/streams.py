@@ -110,30 +110,26 @@ def stream_union_events(spark, sf):
 def stream_lead_days(spark, sf):
     """The stateful timeline in update mode; of each order, its last row, which is the one that knows most."""
     path = fresh(spark, "lead-days")
-    updates = timeline(stream_events(spark, sf))
+    updates = timeline(stream_events(spark, sf), "first")
     start(updates, "stream_lead_days", mode="update", each=lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()
     rows = spark.read.parquet(path)
     return unzoned(shapes.best(rows, ["order_id"], [F.desc("batch")]).select("order_id", *gold.STAGES, *gold.DURATIONS))
 
 
 def stream_merge_matches_batch(spark, sf):
-    """Micro-batches of order events merged into the lead-days mart by the batch merge; a batch is merged once."""
+    """Micro-batches of order events merged into the lead-days mart. Each is committed once, as the rows that it changes; the
+    reader merges them, so that no micro-batch rewrites the mart, and a restart finds everything in the table's log."""
     folder = fresh(spark, "event-files")
     events = zoned(silver.order_events(A.order_status(spark, sf), A.estimated_delivery_date(spark, sf), A.order_item(spark, sf)), "timestamp")
-    events.repartition(3, "order_id").write.parquet(folder)
-    columns = ["order_id", *gold.STAGES]
-    where = {"now": None, "batch": -1}
+    events.write.parquet(folder)
+    wide = lambda rows: gold.order_lead_days(rows).select("order_id", *gold.STAGES)
+    mart = snapshots.Table(spark, fresh(spark, "mart"), wide(events).withColumn("batch", F.lit(0).cast("long")).schema)
 
     def merge_in(batch, number):
-        if number <= where["batch"]:
-            return
-        wide = gold.order_lead_days(batch).select(*columns)
-        target = spark.read.parquet(where["now"]) if where["now"] else wide.limit(0)
-        merge.coalesce(target, wide, ["order_id"]).write.parquet(new := fresh(spark, "mart"))
-        where.update(now=new, batch=number)
+        mart.commit(wide(batch).withColumn("batch", F.lit(number)), "2024-01-01 00:00:00", "stream_merge", number)
 
-    start(folder_stream(spark, folder, events.schema, 1), "stream_merge", each=merge_in).awaitTermination()
-    return unzoned(gold.durations(spark.read.parquet(where["now"])))
+    start(folder_stream(spark, folder, events.schema, 2), "stream_merge", each=merge_in).awaitTermination()
+    return unzoned(gold.durations(merge.latest(mart.read(), ["order_id"], "batch")))
 
 
 def stream_chain(spark, sf):
@@ -154,11 +150,11 @@ def stream_reviews(spark, sf):
 
 
 def stream_late_rows(spark, sf):
-    """Events by day, read a day's file at a time from the newest to the oldest: how many of each day the watermark let in."""
+    """Events by day, the newer half written before the older: how many of each day the watermark let in."""
     folder, e = fresh(spark, "events-by-age"), zoned(A.raw(spark, sf, "events"), "ts")
     mid = e.agg(F.percentile_approx(F.unix_seconds("ts"), 0.5).alias("m")).first()["m"]
     for name, part in (("a", e.where(F.unix_seconds("ts") >= mid)), ("b", e.where(F.unix_seconds("ts") < mid))):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        part.write.mode("append").parquet(f"{folder}/{name}")
     path = fresh(spark, "days")
     days = folder_stream(spark, folder + "/*", e.schema, 1).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
     start(days.select(F.col("window.start").alias("day"), "n"), "stream_late_rows", mode="update", each=lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,43 +12,56 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from orderlake.operators.gold import DURATIONS, STAGES
 
 OUT = "order_id string, " + ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{d} int" for d in DURATIONS)
-STATE = ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{s}_open double" for s in STAGES)
+STATE = ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{s}_open double" for s in STAGES) + ", seen_ms long"
 COLUMNS = ["order_id", *STAGES, *DURATIONS]
+SIXTY_DAYS = 60 * 86_400_000
 #: The durations of which an open stage may grow.
 OPEN = ["purchase_to_approval_days", "approval_to_carrier_days", "carrier_to_customer_days"]
 
 
 def days(late: pd.Timestamp | None, early: pd.Timestamp | None) -> int | None:
-    return None if late is None or early is None else (late.normalize() - early.normalize()).days
+    """Whole days of 24 hours, rounded down."""
+    return None if late is None or early is None else (late - early) // timedelta(days=1)
 
 
-def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int = 0, timeout_ms: int = 1000) -> DataFrame:
+def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int = 0, timeout_ms: int = 1000, expire_ms: int | None = None) -> DataFrame:
     """A row per order and micro-batch that touched it (update mode). ``keep``: the latest time of a stage, as in batch, or
-    the ``first``. An order whose times are all known is forgotten. With a step, every timeout adds so many seconds to the
-    stages that have begun and not ended, and emits the order again."""
+    the ``first``: the latest of the micro-batch that brought the first one. An order whose times are all known is forgotten,
+    and one without events for ``expire_ms`` (SIXTY_DAYS, say), too; with that or a step the stream doesn't end by itself, so
+    expiry is for streams that run on. With a step, every timeout adds so many seconds to the stages
+    that have begun and not ended, and emits the order again."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = len(STAGES)
-        held = list(state.get) if state.exists else [None] * n + [0.0] * n
-        known, open_ = [None if pd.isna(t) else pd.Timestamp(t) for t in held[:n]], held[n:]
+        held = list(state.get) if state.exists else [None] * n + [0.0] * n + [0]
+        known, open_, seen = [None if pd.isna(t) else pd.Timestamp(t) for t in held[:n]], held[n:-1], held[-1]
+        now = state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
+            if expire_ms is not None and now - seen >= expire_ms:
+                state.remove()
+                return
             for name in OPEN:
                 end, begin = (STAGES.index(x) for x in DURATIONS[name])
                 if known[begin] is not None and known[end] is None:
                     open_[end] += open_stage_step_seconds
         else:
+            seen, new = now, [None] * n
             for frame in frames:
                 for kind, ts in zip(frame["data_type"], frame["timestamp"], strict=True):
                     if kind in STAGES and not pd.isna(ts):
                         i, ts = STAGES.index(kind), pd.Timestamp(ts)
-                        if known[i] is None or keep == "max" and ts > known[i]:
-                            known[i], open_[i] = ts, 0.0
+                        new[i] = ts if new[i] is None else max(new[i], ts)
+            for i, ts in enumerate(new):
+                if ts is not None and (known[i] is None or keep == "max" and ts > known[i]):
+                    known[i], open_[i] = ts, 0.0
         if all(t is not None for t in known):
             state.remove()
         else:
-            state.update(tuple([None if t is None else t.to_pydatetime() for t in known] + open_))
+            state.update(tuple([None if t is None else t.to_pydatetime() for t in known] + open_ + [seen]))
             if open_stage_step_seconds:
                 state.setTimeoutDuration(timeout_ms)
+            elif expire_ms is not None:
+                state.setTimeoutDuration(max(1, expire_ms - (now - seen)))
         row = [key[0], *known]
         for name, (a, b) in DURATIONS.items():
             i, j = STAGES.index(a), STAGES.index(b)
@@ -55,5 +69,5 @@ def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int
             row.append(int(open_[i] // 86400) if found is None and open_[i] else found)
         yield pd.DataFrame([row], columns=COLUMNS, dtype=object)
 
-    mode = GroupStateTimeout.ProcessingTimeTimeout if open_stage_step_seconds else GroupStateTimeout.NoTimeout
+    mode = GroupStateTimeout.ProcessingTimeTimeout if open_stage_step_seconds or expire_ms is not None else GroupStateTimeout.NoTimeout
     return events.groupBy("order_id").applyInPandasWithState(step, OUT, STATE, "update", mode)

@@ -59,3 +59,12 @@ def test_single(spark):
 
     s = table(spark, [("x", 1, "a"), ("x", 2, "b"), ("y", 1, "c")])
     assert rows(merge.single(s, ["k"], [F.desc("a")])) == [("x", 2, "b"), ("y", 1, "c")]
+
+
+def test_latest_equals_merges_one_after_another(spark):
+    batches = [[("x", 1, None), ("y", 2, "p")], [("x", None, "q")], [("x", 3, None), ("z", None, None)]]
+    state = table(spark, [])
+    for b in batches:
+        state = merge.coalesce(state, table(spark, b), ["k"])
+    rows_of = spark.createDataFrame([(*r, n) for n, b in enumerate(batches) for r in b], "k string, a long, b string, n int")
+    assert rows(merge.latest(rows_of, ["k"], "n")) == rows(state) == rows(table(spark, [("x", 3, "q"), ("y", 2, "p"), ("z", None, None)]))

@@ -1,11 +1,12 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from orderlake.operators import gold
 from orderlake.sources.paths import fresh
-from orderlake.streaming.lead_state import OPEN, timeline
+from orderlake.streaming.lead_state import OPEN, days, timeline
 from orderlake.streaming.sources import drain, folder_stream, start, supervise
 
 SCHEMA = "order_id string, data_type string, timestamp timestamp"
@@ -74,6 +75,32 @@ def test_open_stages_grow_by_timeouts(spark):
     assert grown[0] is None and max(g or 0 for g in grown) >= 2
 
 
+def test_orders_without_events_expire(spark):
+    """The first event is forgotten before the second comes, so that the second order's row doesn't know it."""
+    folder, seen = fresh(spark, "expire"), []
+    add = lambda *row: spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    add("a", "purchase", day(0))
+    q = start(timeline(folder_stream(spark, folder, SCHEMA, 1), "first", expire_ms=1), "expire", mode="update", each=lambda b, _: seen.extend(b.collect()), seconds=1)
+    try:
+        for _ in range(30):
+            if seen and q.lastProgress and q.lastProgress["batchId"] >= 2:
+                break
+            q.awaitTermination(1)
+        add("a", "approve", day(3))
+        for _ in range(30):
+            if len(seen) > 1:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert seen[0]["purchase"] == day(0) and seen[1]["purchase"] is None and seen[1]["approve"] == day(3)
+
+
+def test_days_are_whole_and_rounded_down():
+    at = lambda h: pd.Timestamp(DAY) + pd.Timedelta(hours=h)
+    assert [days(at(h), at(20)) for h in (43, 44, 20, 19)] == [0, 1, 0, -1]
+
+
 def test_late_rows_are_dropped_at_the_watermark(spark):
     schema = "k string, ts timestamp"
     at = lambda h: DAY + dt.timedelta(hours=h)

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from orderlake.functions import scoring
-from orderlake.operators import gold, quality, shapes, silver
+from orderlake.operators import gold, jobs, quality, shapes, silver
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -194,3 +195,33 @@ def test_portfolio_at_the_cut(spark):
     df = spark.createDataFrame([(4, 1.0), (5, 1.0), (5, 0.5)], "q long, p double")
     got = [r[0] for r in df.select(quality.portfolio(F.col("q"), F.col("p"), F.lit(5), F.lit(1.0), at_cut=True)).collect()]
     assert got == ["Niche Gems", "Star Products", "Volume Drivers"]
+
+
+def test_a_replacing_commit_is_the_table(spark):
+    t = commits(spark, 2)
+    assert t.commit(spark.range(3), DAYS[3], after=2) == 3 and ids(t.read()) == [0, 1, 2]
+    with pytest.raises(AnalysisException):  # made of a state that another writer has left behind
+        t.commit(spark.range(9), DAYS[4], after=2)
+    t.commit(spark.range(50, 51), DAYS[4])
+    assert ids(t.read()) == [0, 1, 2, 50]
+
+
+def test_silver_job_reads_once_and_repeats_safely(spark):
+    source, schema = commits(spark, 3), spark.range(0).schema
+    job = jobs.SilverJob("j", {"rows": source}, snapshots.Table(spark, fresh(spark, "target"), schema), snapshots.Table(spark, fresh(spark, "marks"), snapshots.MARKS), ["id"], lambda rows: rows.where("id <> 1"))
+    assert job.run(DAYS[0]) == 2  # the first run takes the earliest commit
+    assert job.catch_up(DAYS[1]) == [6] and job.run(DAYS[2]) is None
+    job.marks = snapshots.Table(spark, fresh(spark, "lost-marks"), snapshots.MARKS)
+    assert job.catch_up(DAYS[3]) == [0, 0] and ids(job.target.read()) == [0, 2, 10, 11, 12, 20, 21, 22]
+
+
+def test_merge_into_again_after_another_writer(spark, monkeypatch):
+    t, once = commits(spark, 1), []
+
+    def how(target, source):
+        if not once:
+            once.append(t.commit(spark.range(70, 71), DAYS[1]))
+        return target.union(source)
+
+    assert jobs.merge_into(t, lambda: spark.range(90, 91), how, DAYS[2]) == 3
+    assert ids(t.read()) == [0, 1, 2, 70, 90]
