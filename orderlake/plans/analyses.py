@@ -50,6 +50,29 @@ def late_flags(lead: DataFrame) -> DataFrame:
     return lead.withColumn("delivery_flag", flag("delivered_customer", "estimated_delivery")).withColumn("shipping_flag", flag("delivered_carrier", "shipping_limit"))
 
 
+def timestamp_stats(spark, sf):
+    """Orders with all their times: lead times in days, and labels by the times themselves, not by days. Labels are fixed values."""
+    t = gather_timestamps(spark, sf).join(A.order_item(spark, sf).groupBy("order_id").agg(F.max("shipping_limit_date").alias("shipping_limit")), "order_id")
+    late_delivery = F.when(F.col("delivered_customer") <= F.col("estimated_delivery"), "on_time_delivery").otherwise("late_deilvery")
+    late_shipping = F.when(F.col("shipping_limit") < F.col("delivered_carrier"), "late_ship").otherwise("on_time_ship")
+    return t.select("order_id", F.date_diff("approved", "purchase").alias("lead_time_approve_days"), F.date_diff("delivered_carrier", "approved").alias("lead_time_carrier_days"), F.date_diff("delivered_customer", "delivered_carrier").alias("lead_time_customer_days"), F.date_diff("delivered_customer", "purchase").alias("total_delivery_days"), late_delivery.alias("is_late_delivery"), late_shipping.alias("is_late_shipping"))
+
+
+def late_rate_by_time(spark, sf):
+    """How many deliveries came after the estimated time in each band of review scores."""
+    r = A.review(spark, sf).select("order_id", F.when(F.col("review_score") <= 2, "low").when(F.col("review_score") == 3, "mid").otherwise("high").alias("band"))
+    lead = marts.lead_days(spark, sf).where("delivered_customer IS NOT NULL AND estimated_delivery IS NOT NULL").select("order_id", (F.col("delivered_customer") > F.col("estimated_delivery")).alias("is_late"))
+    return shapes.share(r.join(lead, "order_id").groupBy("band", "is_late").agg(F.count("*").alias("n")), "n", ["band"])
+
+
+def sales_log10(spark, sf):
+    """Monthly sales of the 16 categories with the most rows, on log scales."""
+    s = marts.sales(spark, sf)
+    top = s.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(16).select("category")
+    log = lambda c, n: F.round(F.log10(c), 6).alias(n)
+    return s.join(top, "category", "left_semi").select("category", "product_id", "sales_period", log("total_sales_quantity", "log_quantity"), log("total_sales_amount", "log_sales"), log("mean_sales", "log_price"))
+
+
 def sales_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("product_id", "category", "seller_id").agg(F.count("*").alias("order_count"), F.round(F.sum("unit_price"), 4).alias("total_sales"), F.round(F.avg("unit_price"), 4).alias("mean_sales"))
 
@@ -226,6 +249,7 @@ def counted(df: DataFrame, *by: str) -> DataFrame:
 
 
 QUERIES = {
+    "timestamp_stats": timestamp_stats, "late_rate_by_time": late_rate_by_time, "sales_log10": sales_log10,
     "late_flags": lambda s, d: late_flags(marts.lead_days(s, d)),
     "quarantine_nulls": lambda s, d: quality.quarantine(marts.lead_days(s, d))[1],
     "null_audit": lambda s, d: quality.null_audit(marts.lead_days(s, d)),
@@ -290,6 +314,9 @@ LEAD_COLUMNS = ["order_id", *gold.STAGES, *gold.DURATIONS]
 STATS = "SELECT product_id, category, seller_id, count(*) AS order_count, round(sum(unit_price), 4) AS total_sales, round(avg(unit_price), 4) AS mean_sales FROM g_detail GROUP BY ALL"
 ORACLE_SQL = {
     "late_flags": sql("SELECT * FROM a_late"),
+    "timestamp_stats": sql("SELECT t.order_id, date_diff('day', order_purchase_timestamp, order_approved_timestamp)::INT AS lead_time_approve_days, date_diff('day', order_approved_timestamp, order_delivered_carrier_timestamp)::INT AS lead_time_carrier_days, date_diff('day', order_delivered_carrier_timestamp, order_delivered_customer_timestamp)::INT AS lead_time_customer_days, date_diff('day', order_purchase_timestamp, order_delivered_customer_timestamp)::INT AS total_delivery_days, CASE WHEN order_delivered_customer_timestamp <= order_estimated_delivery_timestamp THEN 'on_time_delivery' ELSE 'late_deilvery' END AS is_late_delivery, CASE WHEN shipping_limit < order_delivered_carrier_timestamp THEN 'late_ship' ELSE 'on_time_ship' END AS is_late_shipping FROM b_times AS t JOIN (SELECT order_id, max(shipping_limit_date) AS shipping_limit FROM b_item GROUP BY 1) AS i ON t.order_id = i.order_id WHERE order_delivered_customer_timestamp IS NOT NULL AND order_approved_timestamp IS NOT NULL"),
+    "late_rate_by_time": sql("SELECT band, is_late, n, round(n / sum(n) OVER (PARTITION BY band), 4) AS proportion FROM (SELECT band, is_late, count(*) AS n FROM (SELECT CASE WHEN review_score <= 2 THEN 'low' WHEN review_score = 3 THEN 'mid' ELSE 'high' END AS band, delivered_customer > estimated_delivery AS is_late FROM b_review JOIN g_lead USING (order_id) WHERE delivered_customer IS NOT NULL AND estimated_delivery IS NOT NULL) GROUP BY ALL)"),
+    "sales_log10": sql("SELECT category, product_id, sales_period, round(log10(total_sales_quantity), 6) AS log_quantity, round(log10(total_sales_amount), 6) AS log_sales, round(log10(mean_sales), 6) AS log_price FROM g_sales WHERE category IN (SELECT category FROM g_sales GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 16)"),
     "quarantine_nulls": sql("SELECT * FROM g_lead WHERE " + " OR ".join(f"{c} IS NULL" for c in LEAD_COLUMNS)),
     "null_audit": sql(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS n_nulls FROM g_lead" for c in LEAD_COLUMNS)),
     "integrity_report": sql("SELECT *, round(keys_after / keys_before, 4) AS kept_share, n_nulls = 0 AND n_outside = 0 AS is_sound FROM (SELECT count(DISTINCT zip_code) AS keys_before FROM b_geo), (SELECT count(DISTINCT zip_code) AS keys_after, 0::BIGINT AS n_nulls, 0::BIGINT AS n_outside FROM s_geo)"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderlake.operators import gold, merge, shapes, silver
+from orderlake.operators import gold, merge, quality, shapes, silver
 from orderlake.plans import marts
 from orderlake.plans.twins import sql
 from orderlake.sources import adapters as A, envelope, snapshots
@@ -149,6 +149,52 @@ def stream_reviews(spark, sf):
     return drain(seen.select("review_id", "lang"), "stream_reviews")
 
 
+def bronze_stream(spark, name: str, df, key: str):
+    """A bronze table as a log's stream: every row comes twice, with the time at which the log took it in, within one hour."""
+    taken = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.xxhash64(key), F.lit(3600)))
+    rows = df.withColumn("ingest_time", taken)
+    rows.unionByName(rows).write.parquet(path := fresh(spark, f"bronze-{name}"))
+    return folder_stream(spark, path, rows.schema)
+
+
+def once(df, delay: str, *keys: str):
+    """Each key once within the watermark on the time of ingestion; its state goes with the watermark."""
+    return df.withWatermark("ingest_time", delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def geo_stream(spark, sf, delay: str = "1 day"):
+    rows = bronze_stream(spark, "geolocation", A.geolocation(spark, sf), "zip_code").where(quality.in_bounds())
+    return once(rows.select(F.col("zip_code").cast("int").alias("zip_code"), "lat", "lng", "ingest_time"), delay, "zip_code")
+
+
+def user_stream(spark, sf, delay: str = "1 day"):
+    one = lambda df, kind: bronze_stream(spark, kind, df, f"{kind}_id").select(F.lit(kind).alias("user_type"), F.col(f"{kind}_id").alias("user_id"), "zip_code", "ingest_time")
+    return once(one(A.customer(spark, sf), "customer").unionByName(one(A.seller(spark, sf), "seller")), delay, "user_type", "user_id")
+
+
+def stream_geo_coord(spark, sf):
+    return drain(geo_stream(spark, sf), "stream_geo_coord").drop("ingest_time")
+
+
+def stream_users(spark, sf):
+    return drain(user_stream(spark, sf), "stream_users").drop("ingest_time")
+
+
+def stream_product_metadata(spark, sf):
+    """Products and who sells them: an interval join on the times of ingestion."""
+    product = once(bronze_stream(spark, "product", A.product(spark, sf), "product_id").select("product_id", "category", "ingest_time").dropna(), "30 days", "product_id")
+    sold = once(bronze_stream(spark, "items", A.order_item_plain(spark, sf), "product_id").select("product_id", "seller_id", "ingest_time").dropna(), "30 days", "product_id", "seller_id")
+    near = F.expr("p.product_id = s.product_id AND p.ingest_time BETWEEN s.ingest_time - INTERVAL 30 DAYS AND s.ingest_time + INTERVAL 30 DAYS")
+    return drain(product.alias("p").join(sold.alias("s"), near).select("p.product_id", "p.category", "s.seller_id"), "stream_product_metadata")
+
+
+def stream_user_location(spark, sf):
+    """Users and coordinates joined as streams; a user without coordinates has no location."""
+    users, geo = user_stream(spark, sf, "30 days"), geo_stream(spark, sf, "30 days")
+    near = F.expr("u.zip_code = g.zip_code AND g.ingest_time BETWEEN u.ingest_time - INTERVAL 30 DAYS AND u.ingest_time + INTERVAL 30 DAYS")
+    return drain(users.alias("u").join(geo.alias("g"), near).select("u.user_type", "u.user_id", "u.zip_code", "g.lat", "g.lng"), "stream_user_location")
+
+
 def stream_late_rows(spark, sf):
     """Events by day, the newer half written before the older: how many of each day the watermark let in."""
     folder, e = fresh(spark, "events-by-age"), zoned(A.raw(spark, sf, "events"), "ts")
@@ -169,7 +215,7 @@ S_LEAD = {"t_wide": "SELECT order_id, " + ", ".join(f"max(CASE WHEN data_type =
 QUERIES = {
     "stream_source_count": stream_source_count, "stream_append": stream_append, "cdc_fanout": cdc_fanout, "stream_tumbling": stream_tumbling, "stream_dedup": stream_dedup, "stream_interval_join": stream_interval_join,
     "stream_outer_join": stream_outer_join, "stream_union_events": stream_union_events, "stream_lead_days": stream_lead_days, "stream_merge_matches_batch": stream_merge_matches_batch, "stream_chain": stream_chain,
-    "stream_reviews": stream_reviews, "stream_late_rows": stream_late_rows,
+    "stream_reviews": stream_reviews, "stream_geo_coord": stream_geo_coord, "stream_users": stream_users, "stream_product_metadata": stream_product_metadata, "stream_user_location": stream_user_location, "stream_late_rows": stream_late_rows,
 }
 ORACLE_SQL = {
     "stream_source_count": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
@@ -182,5 +228,6 @@ ORACLE_SQL = {
     "stream_lead_days": sql("SELECT * FROM t_lead", **S_LEAD),
     "stream_merge_matches_batch": sql("SELECT * FROM g_lead"),
     "stream_chain": sql("SELECT * FROM t_lead", **S_LEAD),
+    "stream_geo_coord": sql("SELECT * FROM s_geo"), "stream_users": sql("SELECT * FROM s_users"), "stream_product_metadata": sql("SELECT * FROM s_product"), "stream_user_location": sql("SELECT * FROM g_location"),
     "stream_reviews": "SELECT doc_id::VARCHAR AS review_id, lang FROM documents",
 }

@@ -32,6 +32,11 @@ def outliers(spark, sf):
     return sizes.withColumn("difference", F.abs(F.col("n_source") - F.col("n_output"))).where(F.col("difference") > LONG)
 
 
+def distinct_texts(spark, sf):
+    """The cleaned texts alone, each once, the longest first."""
+    return clean_basic(spark, sf).select("text").distinct().select("text", F.length("text").alias("n_chars")).orderBy(F.desc("n_chars"), "text")
+
+
 def score_batches(spark, sf):
     return scoring.score(messages(spark, sf).select("text").distinct(), "text", scoring.LengthModel, scoring.LABELS).select(F.md5("text").alias("text_md5"), *[F.round(x, 6).alias(x) for x in scoring.LABELS])
 
@@ -51,6 +56,8 @@ QUERIES = {
     "clean_text": clean_text,
     "clean_text_basic": clean_basic,
     "keyword_counts": lambda s, d: text.keywords(A.raw(s, d, "documents"), "text", STOP_WORDS),
+    "keyword_counts_distinct": lambda s, d: text.keywords(A.raw(s, d, "documents").select("text").distinct(), "text", STOP_WORDS),
+    "clean_text_distinct": distinct_texts,
     "text_outliers": outliers,
     "score_batches": score_batches,
     "score_join_back": score_join_back,
@@ -60,7 +67,10 @@ MELT = "SELECT review_id, 'title' AS message_type, review_comment_title AS text
 CLEANED = "regexp_replace(trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '[\r\n]', ' ', 'g'), '[`´\"“”‘’''*^]', '''', 'g'), '!', '.'), '\\s+([!?.,])', '\\1', 'g'), '\\s+', ' ', 'g')), '[.,+]+$', '')"
 SCORES = "length(text) % 7 / 7 AS negative, length(text) % 5 / 5 AS neutral, length(text) % 3 / 3 AS positive"
 ROUNDED = "round(length(text) % 7 / 7, 6) AS negative, round(length(text) % 5 / 5, 6) AS neutral, round(length(text) % 3 / 3, 6) AS positive"
+KEYWORDS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+')) AS word FROM (SELECT DISTINCT text FROM documents)) WHERE length(word) > 2 AND word NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ") GROUP BY 1 ORDER BY n DESC, word LIMIT 20"
 ORACLE_SQL = {
+    "keyword_counts_distinct": KEYWORDS,
+    "clean_text_distinct": sql(f"SELECT t AS text, length(t)::INT AS n_chars FROM (SELECT DISTINCT {CLEANED} AS t FROM t_melt) WHERE t <> ''", t_melt=MELT),
     "review_melt": sql(MELT),
     "clean_text_basic": sql(f"SELECT review_id, message_type, t AS text FROM (SELECT review_id, message_type, {CLEANED} AS t FROM t_melt) WHERE t <> ''", t_melt=MELT),
     "keyword_counts": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\\s]', '', 'g'), '\\s+')) AS word FROM documents) WHERE length(word) > 2 AND word NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ") GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
