@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens, wrappers
+from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens, trie, winnowing, wrappers
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_token_output": tokens.op9_token_output,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_decontamination": winnowing.op12_decontamination,
 }
 
 ORACLE_SQL = {
@@ -20,4 +22,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact.OP3_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op11_prefix_trie": trie.OP11_SQL,
+    "op12_decontamination": winnowing.OP12_SQL,
 }
