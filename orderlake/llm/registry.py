@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from orderlake.llm import chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens, trie, winnowing, wrappers
+from orderlake.llm import alignment, chat, exact, jaccard, language, mixing, pieces, quality, repeats, tokens, trie, winnowing, wrappers
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_decontamination": winnowing.op12_decontamination,
+    "op13_cross_tokenizer": alignment.op13_cross_tokenizer,
 }
 
 ORACLE_SQL = {

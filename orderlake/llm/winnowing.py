@@ -74,7 +74,8 @@ def hits(docs: DataFrame, prints: DataFrame, lengths: list[int], id_col: str, te
     rows = with_words(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").drop("text").withColumn("n_words", F.size("w"))
     rows = with_minima(rows)
     row, n = F.array(F.lit(None).cast("long")), F.col("n_words")
-    short = [F.transform(starts(n, k), lambda i, k=k: run_hash(i, k)) for k in lengths]
+    runs = lambda k: F.transform(starts(n, k), lambda i: run_hash(i, k))
+    short = [runs(k) for k in lengths]
     rows = rows.select("doc", "id", "n_words", "w", F.concat(row, "m", *short).alias("m"))
     each = rows.select("*", F.posexplode_outer("m").alias("pos", "v"))
     # the first place is the row's own, then come windows of ten words, then each short length
