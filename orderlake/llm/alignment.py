@@ -32,6 +32,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
@@ -48,12 +49,10 @@ from orderlake.llm.pieces import SPACE, model_path
 from orderlake.llm.vocabulary import Memory, Words, chunks
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Radix partitions of B ids; records of a split; pairs of a row of counts.
-RADIXES, SPLIT, ROW = 64, 1 << 24, 1 << 18
-#: Links and documents of a chunk.
-LINKS, DOCUMENTS = 4_000_000, 50_000
-#: Pieces of each of two generations, about 350 bytes each; characters of a part of a long text.
-REMEMBERED, LONGEST, PART = 200_000, 40, 1_000_000
+#: Radix partitions of B ids.
+RADIXES = 64
+#: Pieces of each of two generations, about 350 bytes each.
+REMEMBERED, LONGEST = 200_000, 40
 WHITE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
 #: Fixed value: where byte-level BPE splits a text before it merges.
@@ -61,6 +60,18 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 BORDER = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a task holds; no limit changes a result. Links and documents of a chunk, characters of a part of a long text, records
+    of a split, pairs of a row of counts."""
+
+    links: int = 4_000_000
+    documents: int = 50_000
+    part: int = 1_000_000
+    split: int = 1 << 24
+    row: int = 1 << 18
+
+
 def byte_of_symbol() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others, in order, for characters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -161,14 +172,6 @@ class Aligner:
             out.append([first if BORDER.search("a" + first) is None else first[1:], *rest])
         return Words(pa.array(out, pa.list_(pa.string())))
 
-    def parts(self, text: str) -> list[str]:
-        """A long text in parts between which a space is left out."""
-        out, begin = [], 0
-        while len(text) - begin > PART and (m := BORDER.search(text, begin + PART)):
-            out.append(text[begin : m.start()])
-            begin = m.end()
-        return [*out, text[begin:]]
-
     def batch(self, texts: pa.Array) -> tuple[list[tuple | None], np.ndarray, np.ndarray]:
         """Of each text (none is empty): n_a, n_b and its groups as text, or None; all links; where each text's begin and end."""
         words = self.pieces(texts)
@@ -198,6 +201,15 @@ class Aligner:
         return ((got[2], got[3], got[0]), np.frombuffer(got[1], self.type)) if got else (None, np.zeros(0, self.type))
 
 
+def parts(text: str, most: int) -> list[str]:
+    """A long text in parts between which a space is left out."""
+    out, begin = [], 0
+    while len(text) - begin > most and (m := BORDER.search(text, begin + most)):
+        out.append(text[begin : m.start()])
+        begin = m.end()
+    return [*out, text[begin:]]
+
+
 @lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One for each worker process, kept over its tasks."""
@@ -239,34 +251,31 @@ def runs(links: np.ndarray, docs: np.ndarray, n_a: int) -> Iterator[tuple[int, i
         yield r, len(rows), packed(pair[head[own]], total[own].astype("<u4"), m.astype("<u4")), packed(doc[rows], n[rows])
 
 
-def encoded(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """A row for each document (chunk, doc, id, n_a, n_b, n_groups, n_links, groups_sha256) and for each run of a
     chunk (chunk, radix, n, heads, body)."""
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        al, part, number, state = aligner(a_path, b_path), TaskContext.get().partitionId(), 0, None
-        none = lambda n, t: pa.nulls(n, t)
-        types = dict(zip(names, schema_types(id_type[0]), strict=True))
+        al, part, number, state, types = aligner(a_path, b_path), TaskContext.get().partitionId(), 0, None, {}
 
-        def record(n: int, **columns) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(columns[c], types[c]) if c in columns else none(n, types[c]) for c in names], names)
+        def record(columns: dict) -> pa.RecordBatch:
+            n = len(columns["chunk"])
+            return pa.record_batch([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk, n = part << 32 | number, len(state["rows"])
-            yield record(n, chunk=[chunk] * n, doc=range(n), **{c: [x[k] for x in state["rows"]] for k, c in enumerate(names[2:8])})
+            yield record({"chunk": [chunk] * n, "doc": range(n)} | {c: [x[k] for x in state["rows"]] for k, c in enumerate(("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"))})
             if state["n"]:
                 found = list(runs(np.concatenate(state["links"]), np.repeat(np.array(state["of"]), [len(x) for x in state["links"]]), al.n_a))
                 for at in range(0, len(found), 8):
                     some = found[at : at + 8]
-                    yield record(len(some), chunk=[chunk] * len(some), **{c: [x[k] for x in some] for k, c in enumerate(("radix", "n", "heads", "body"))})
+                    yield record({"chunk": [chunk] * len(some)} | {c: [x[k] for x in some] for k, c in enumerate(("radix", "n", "heads", "body"))})
 
         for batch in batches:
-            if id_type[0] is None:
-                id_type[0] = batch.schema.field("id").type
-                types.update(zip(names, schema_types(id_type[0]), strict=True))
+            types = {"chunk": pa.int64(), "doc": pa.int32(), "id": batch.schema.field("id").type, **dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), pa.int64()), "groups_sha256": pa.string(), "radix": pa.int32(), "n": pa.int64(), "heads": pa.binary(), "body": pa.binary()}
             for some in chunks(batch, "t", 3_000_000):
-                texts = [al.parts(t) if len(t) > PART else [t] for t in some.column("t").to_pylist()]
+                texts = [parts(t, limits.part) for t in some.column("t").to_pylist()]
                 flat = [t for p in texts for t in p if t]
                 got, links, begin = al.batch(pa.array(flat, pa.string())) if flat else ([], np.zeros(0, al.type), np.zeros(1, np.int64))
                 at = 0
@@ -286,18 +295,12 @@ def encoded(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                         state["links"].append(own)
                         state["n"] += len(own)
                         state["rows"].append((i, sum(x[0] for x in mine), sum(x[1] for x in mine), len(own), len(own), sha.hexdigest()))
-                    if state["n"] >= LINKS or len(state["rows"]) >= DOCUMENTS:
+                    if state["n"] >= limits.links or len(state["rows"]) >= limits.documents:
                         yield from flush()
                         number, state = number + 1, None
         if state is not None:
             yield from flush()
 
-    names = ["chunk", "doc", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "radix", "n", "heads", "body"]
-    id_type: list = [None]
-
-    def schema_types(kind) -> list:
-        return [pa.int64(), pa.int32(), kind or pa.int64(), *[pa.int64()] * 4, pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-
     return rows.mapInArrow(run, f"chunk long, doc int, id {dict(rows.dtypes)['id']}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, radix int, n long, heads binary, body binary")
 
 
@@ -307,7 +310,7 @@ def merged(sources: list[list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
         yield pair, sum(n for _, n in same)
 
 
-def count(rows: DataFrame, keys: list[str], n_a: int) -> DataFrame:
+def count(rows: DataFrame, keys: list[str], n_a: int, row_size: int) -> DataFrame:
     """Of each group of rows by ``keys``, the first of which is radix: its pairs' counts in order of pairs (radix, counts). Best
     is the highest count of a pair's B id in the group. A row's end is the end of a B id."""
 
@@ -322,7 +325,7 @@ def count(rows: DataFrame, keys: list[str], n_a: int) -> DataFrame:
                 pairs += [p for p, _ in own]
                 counts += [n for _, n in own]
                 best += [max(n for _, n in own)] * len(own)
-                if len(pairs) >= ROW:
+                if len(pairs) >= row_size:
                     yield row()
                     pairs, counts, best = [], [], []
             if pairs:
@@ -395,14 +398,14 @@ def together(docs: pa.Table, given: pa.Table) -> pa.Table:
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def alignment(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alignment(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     n_a = len(aligner(a_path, b_path).a_bytes)
-    found = cut(encoded(df, a_path, b_path, id_col, text_col))
+    found = cut(encoded(df, a_path, b_path, id_col, text_col, limits))
     own = found.where("radix IS NOT NULL").select("radix", "chunk", "n", "heads", "body")
-    sizes = own.groupBy("radix").agg(F.ceil(F.sum("n") / SPLIT).alias("n_splits"))  # a row for each radix
+    sizes = own.groupBy("radix").agg(F.ceil(F.sum("n") / limits.split).alias("n_splits"))  # a row for each radix
     own = own.join(F.broadcast(sizes), "radix").withColumn("split", F.pmod(F.hash("chunk"), F.col("n_splits")))
-    totals = cut(count(count(own, ["radix", "split"], n_a), ["radix"], n_a))
+    totals = cut(count(count(own, ["radix", "split"], n_a, limits.row), ["radix"], n_a, limits.row))
     totals = totals.join(F.broadcast(sizes), "radix").select("radix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_splits") - 1)).alias("split"), "counts")
     docs = found.where("doc IS NOT NULL").select("chunk", "doc", "id", *[c for c in MEASURES if c not in ("n_best", "count_sum")])
     kind = dict(docs.dtypes)["id"]

@@ -73,7 +73,9 @@ class Pieces:
         self.known = Memory(REMEMBERED, LONGEST)
 
     def agenda(self, text: str) -> list[int]:
-        """The ids of one word's symbols, by a heap."""
+        """The ids of one word's symbols, by a heap; none of no symbol."""
+        if not text:
+            return []
         score, sym, n = self.score, list(text), len(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1

@@ -16,7 +16,7 @@ def test_same_as_sql(spark, name):
     oracle.assert_same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["op1_chat_formatting", "op3_exact_dedup", "op5_mixing", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_chat_formatting", "op3_exact_dedup", "op5_mixing", "op10_quality_rules", "op12_decontamination"])
 def test_no_python_in_the_plan(spark, name):
     plan = registry.QUERIES[name](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -9,7 +9,6 @@ import zlib
 import helpers as H
 import numpy as np
 import oracle
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,8 +137,16 @@ def aligned(rows):
             continue
         ends = [dict(zip(np.cumsum([len(size[i]) for i in ids]).tolist(), ids, strict=True)) for ids, size in ((a, al.a_bytes), (b, al.b_bytes))]
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        side = lambda k, lo, hi: ",".join(str(i) for e, i in ends[k].items() if lo < e <= hi)
-        groups = ";".join(f"{side(0, lo, hi)}|{side(1, lo, hi)}" for lo, hi in zip([0, *cuts], cuts))
+        sides = []
+        for e in ends:
+            at, found = iter(e.items()), []
+            for c in cuts:
+                own = []
+                while not own or own[-1][0] < c:
+                    own.append(next(at))
+                found.append(",".join(str(i) for _, i in own))
+            sides.append(found)
+        groups = ";".join(f"{a}|{b}" for a, b in zip(*sides, strict=True))
         links = [(ends[1][c], ends[0][c]) for c in cuts]
         pairs.update(links)
         each.append((len(a), len(b), groups, links))
@@ -149,8 +156,8 @@ def aligned(rows):
     return [(0, 0, 0, 0, 0, 0, "") if x is None else (x[0], x[1], len(x[3]), len(x[3]), sum(pairs[k] == best[k[0]] for k in x[3]), sum(pairs[k] for k in x[3]), sha(x[2])) for x in each]
 
 
-def alignment_rows(spark, texts, parts=3):
-    df = alignment.alignment(H.clashing(H.docs(spark, texts)).repartition(parts), model_path(alignment.A_MODEL), model_path(alignment.B_MODEL))
+def alignment_rows(spark, texts, parts=3, limits=alignment.Limits()):
+    df = alignment.alignment(H.clashing(H.docs(spark, texts)).repartition(parts), model_path(alignment.A_MODEL), model_path(alignment.B_MODEL), limits=limits)
     return [tuple(r[c] for c in alignment.MEASURES) for r in sorted(df.collect(), key=lambda r: r["doc_id"])]
 
 
@@ -162,20 +169,12 @@ def test_alignment_equals_plain_version(spark):
     assert alignment_rows(spark, texts) == aligned(texts)
 
 
-def test_alignment_in_small_chunks_splits_and_parts(spark, monkeypatch):
+def test_alignment_in_small_chunks_splits_and_parts(spark):
     random.seed(9)
     texts = ODD[:-1] + [" ".join(random.choice(["the", "of", "it's", "x\ny", "naïve", "über", "12"]) for _ in range(random.randrange(300))) for _ in range(60)]
-    want = aligned(texts)
-    small = {"LINKS": 300, "DOCUMENTS": 7, "SPLIT": 100, "ROW": 5, "PART": 50}
-    for name, value in small.items():  # workers get the module's values with the functions that read them
-        monkeypatch.setattr(alignment, name, value)
-    al = alignment.aligner(model_path(alignment.A_MODEL), model_path(alignment.B_MODEL))
-    assert [len(al.parts(t)) > 1 for t in texts if t and len(t) > 400] and sum(len(al.parts(t)) for t in texts if t) > len(texts) + 50
-    for t in texts[1:]:
-        whole, parts = al.whole(t)[0] if t else None, al.parts(t) if t else []
-        got = al.batch(pa.array(parts))[0] if t and len(parts) > 1 else [whole]
-        assert (None if None in got else (sum(x[0] for x in got), sum(x[1] for x in got), b"".join(x[2] for x in got))) == whole
-    assert alignment_rows(spark, texts, 5) == want
+    small = alignment.Limits(links=300, documents=7, split=100, row=5, part=50)
+    assert sum(len(alignment.parts(t, small.part)) for t in texts if t) > len(texts) + 50
+    assert alignment_rows(spark, texts, 5, small) == aligned(texts)
 
 
 def test_alignment_of_nothing(spark):
