@@ -1,12 +1,12 @@
-"""Incremental jobs on snapshot tables: silver tables grow by the new keys of what their sources got since the last run, gold
-tables are merged with what the silver tables give now."""
+"""Incremental jobs on snapshot tables: silver tables grow by what their sources got since the last run, gold tables are
+merged with what the silver tables give now."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from orderlake.operators import merge
@@ -16,9 +16,17 @@ from orderlake.sources.snapshots import Table
 
 @dataclass
 class SilverJob:
-    """Reads the commits of its sources that it hasn't read, transforms them (``transform`` takes the frames by the sources'
-    names), and appends the rows of new keys. Data are written before the marks, and rows that are there already aren't
-    new, so a run that was lost between the two is made good by the next one. The first run reads the earliest commit."""
+    """Reads the commits of its sources that it hasn't read, and adds what they make new to its target. Data are written
+    before the marks, and rows that are there already aren't new, so a run that was lost between the two is made good by the
+    next one. The first run reads the earliest commit of each source. ``transform`` takes the frames by the sources' names.
+
+    ``how``: ``"rows"`` for transforms that take each row alone: the new rows of each source. ``"join"`` for joins, which may
+    drop duplicates but count nothing: the new rows of each source with all of the sources before it, and with what was read
+    before of those after it, so partners meet in whatever commits they come, and a source that is silent is read whole.
+    ``"recount"`` for transforms that sum up: keys (``touched``) of new rows are made anew from all rows of theirs, and
+    replace the target's.
+
+    As with a MERGE that only inserts, all rows of keys that the target doesn't have are taken, also several of one key."""
 
     name: str
     sources: dict[str, Table]
@@ -26,22 +34,39 @@ class SilverJob:
     marks: Table
     keys: list[str]
     transform: Callable[..., DataFrame]
+    how: str = "rows"
+    touched: tuple[str, ...] = ()
 
     def run(self, at: str) -> int | None:
-        """The number of rows that the run added, counted from the files' footers; None where the sources had nothing new."""
+        """The number of rows that the run added or changed, counted from the files' footers; None where the sources had nothing new."""
         known = {r["src"]: r["last_processed_snapshot_id"] for r in snapshots.marked(self.marks).where(F.col("app_name") == self.name).collect()}  # one for each source
-        frames, reached = {}, {}
-        for name, table in self.sources.items():
-            last = known.get(name)
-            frames[name], to = snapshots.incremental(table, last)
-            if to is not None and to != last:
-                reached[name] = to
+        to = {name: snapshots.reach(table, known.get(name)) for name, table in self.sources.items()}
+        reached = {name: n for name, n in to.items() if n is not None and n != known.get(name)}
         if not reached:
             return None
-        number = self.target.commit(merge.new_rows(self.target.read(), self.transform(**frames), self.keys), at, self.name)
+        new = {name: (t.as_of(to[name]) if known.get(name) is None else t.between(known[name], to[name])) if name in reached else t.rows([]) for name, t in self.sources.items()}
+        state = lambda name, n: self.sources[name].as_of(n) if n else self.sources[name].rows([])
+        whole = {name: state(name, to[name]) for name in self.sources}
+        if self.how == "recount":
+            number = self.recount(new, whole, at)
+        else:
+            if self.how == "rows":
+                rows = self.transform(**new)
+            else:
+                before, parts = {name: state(name, known.get(name)) for name in self.sources}, []
+                for k, name in enumerate(self.sources):
+                    if name in reached:
+                        parts.append(self.transform(**{other: new[other] if i == k else whole[other] if i < k else before[other] for i, other in enumerate(self.sources)}))
+                rows = reduce(DataFrame.unionByName, parts).distinct()
+            number = self.target.commit(merge.new_rows(self.target.read(), rows, self.keys, single=False), at, self.name)
         snapshots.mark(self.marks, self.name, reached, at)
         return self.target.between(number - 1, number).count()
 
+    def recount(self, new: dict[str, DataFrame], whole: dict[str, DataFrame], at: str) -> int:
+        keys = reduce(DataFrame.union, [df.select(*self.touched) for df in new.values()]).dropna().distinct()
+        made = self.transform(**{name: df.join(keys, list(self.touched), "left_semi") for name, df in whole.items()})
+        return merge_changes(self.target, lambda: made, self.keys, lambda t, s: merge.overwrite(t, s, self.keys), at, self.name)
+
     def catch_up(self, at: str) -> list[int]:
         """Runs until there is nothing new; the rows of each."""
         added = []
@@ -51,13 +76,36 @@ class SilverJob:
 
 
 def merge_into(target: Table, rows: Callable[[], DataFrame], how: Callable[[DataFrame, DataFrame], DataFrame], at: str, tries: int = 5) -> int:
-    """Merge a frame into a table by ``how(target, source)``, from what the table holds now; a writer that came in between
-    makes it read and merge again. Returns the commit's number."""
-    for k in range(tries):
+    """Replace a table by ``how(target, source)``, from what it holds now; a writer that came in between makes it read and merge
+    again, after a pause. Returns the commit's number."""
+
+    def once() -> int:
         number = target.last()
-        try:
-            return target.commit(how(target.as_of(number), rows()), at, after=number)
-        except AnalysisException as e:
-            if "PATH_ALREADY_EXISTS" not in str(e) or k == tries - 1:
-                raise
-    raise ValueError("tries must be positive")
+        return target.commit(how(target.as_of(number), rows()), at, after=number)
+
+    return snapshots.retried(once, tries)
+
+
+def merge_changes(target: Table, rows: Callable[[], DataFrame], on: list[str], how: Callable[[DataFrame, DataFrame], DataFrame], at: str, app: str = "", batch: int | None = None, tries: int = 5) -> int:
+    """Merge a frame into a table by its key, as ``how(target, source)`` says, and rewrite only the data files that hold one of
+    its keys. Rows that become what they were are kept, so that readers of changes see the others alone. Conflicts and the
+    result as ``merge_into``; a batch of an app is merged once."""
+
+    def once() -> int:
+        lines = target.lines()
+        if batch is not None and (done := target.done(lines, app, batch)):
+            return done
+        number = lines[-1]["commit_id"] if lines else 0
+        source = rows()
+        keys, files = source.select(*on).dropna().distinct(), target.files(number, lines)
+        at_file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1)
+        found = target.rows(files).select(*on, at_file.alias("__file")).join(keys, on, "left_semi").select("__file").distinct().collect() if files else []  # data files
+        gone = sorted({f for f in files if f.removeprefix("data/") in {r["__file"] for r in found}})
+        part = target.rows(gone)
+        mine = part.join(keys, on, "left_semi").select(*part.columns)
+        merged = how(mine, source.select(*part.columns)).select(*part.columns)
+        new = merged.exceptAll(mine)
+        kept = part.join(keys, on, "left_anti").select(*part.columns).unionByName(merged.exceptAll(new))
+        return target.rewrite(number, gone, new, kept, at, app, batch)
+
+    return snapshots.retried(once, tries)

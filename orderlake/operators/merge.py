@@ -19,14 +19,17 @@ def insert_only(target: DataFrame, source: DataFrame, on: list[str]) -> DataFram
     return target.unionByName(new_rows(target, source, on))
 
 
-def new_rows(target: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
-    """What an insert-only merge adds to its target; an append-only table needs no more."""
+def new_rows(target: DataFrame, source: DataFrame, on: list[str], single: bool = True) -> DataFrame:
+    """What an insert-only merge adds to its target; an append-only table needs no more. Without ``single``, all source rows of
+    a new key, as MERGE inserts them."""
     rest = [c for c in target.columns if c not in on]
     keyed = F.lit(True)
     for c in on:
         keyed = keyed & F.col(c).isNotNull()
     rows = source.select(*target.columns)
-    one = rows.where(keyed).groupBy(*on).agg(F.min(F.struct(*rest)).alias("__v")).select(*on, "__v.*") if rest else rows.where(keyed).distinct()
+    one = rows.where(keyed)
+    if single:
+        one = one.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__v")).select(*on, "__v.*") if rest else one.distinct()
     new = one.select(*target.columns).join(target.select(*on), on, "left_anti").select(*target.columns)
     return new.unionByName(rows.where(~keyed))
 

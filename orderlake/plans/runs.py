@@ -1,5 +1,6 @@
-"""The silver and gold tables made by incremental jobs: bronze tables come in three commits, the last of which also repeats
-the first, and the jobs run until they have read everything. What they end with equals the tables made at once."""
+"""The silver and gold tables made by incremental jobs: bronze tables come in three commits, and the jobs run until they have
+read everything. What they end with equals the tables made at once. The last commit also repeats the first, but for tables
+whose rows are counted; the sources of a join are dealt by different keys, so that partners come in different commits."""
 
 from __future__ import annotations
 
@@ -18,17 +19,18 @@ def table(spark, name: str, schema) -> snapshots.Table:
     return snapshots.Table(spark, fresh(spark, name), schema)
 
 
-def bronze(spark, name: str, df: DataFrame, key: str) -> snapshots.Table:
-    """The rows in three commits by hash of their key; the third brings the first one's rows again."""
-    t, third = table(spark, name, df.schema), F.pmod(F.xxhash64(key), F.lit(3))
-    for part in (third == 0, third == 1, third != 1):
+def bronze(spark, name: str, df: DataFrame, *key: str, again: bool = True) -> snapshots.Table:
+    """The rows in three commits by hash of a key; the third brings the first one's rows ``again``."""
+    t, third = table(spark, name, df.schema), F.pmod(F.xxhash64(*key), F.lit(3))
+    for part in (third == 0, third == 1, third != 1 if again else third == 2):
         t.commit(df.where(part), AT)
     return t
 
 
-def silver_job(spark, name: str, sources: dict[str, tuple[DataFrame, str]], keys: list[str], transform) -> jobs.SilverJob:
-    target = table(spark, name, transform(**{n: df for n, (df, _) in sources.items()}).schema)
-    return jobs.SilverJob(name, {n: bronze(spark, n, df, key) for n, (df, key) in sources.items()}, target, table(spark, "marks", snapshots.MARKS), keys, transform)
+def silver_job(spark, name: str, sources: dict[str, tuple], keys: list[str], transform, how: str = "rows", touched: tuple[str, ...] = ()) -> jobs.SilverJob:
+    target = table(spark, name, transform(**{n: df for n, (df, *_) in sources.items()}).schema)
+    tables = {n: bronze(spark, n, df, *key, again=how != "recount") for n, (df, *key) in sources.items()}
+    return jobs.SilverJob(name, tables, target, table(spark, "marks", snapshots.MARKS), keys, transform, how, touched)
 
 
 def geo_job(spark, sf):
@@ -45,17 +47,17 @@ def event_job(spark, sf):
 
 
 def product_job(spark, sf):
-    sources = {"product": (A.product(spark, sf), "product_id"), "items": (A.order_item_plain(spark, sf), "product_id")}
-    return silver_job(spark, "product_metadata", sources, ["product_id", "category", "seller_id"], silver.product_metadata)
+    sources = {"product": (A.product(spark, sf), "product_id"), "items": (A.order_item_plain(spark, sf), "order_id", "product_id", "seller_id")}
+    return silver_job(spark, "product_metadata", sources, ["product_id", "category", "seller_id"], silver.product_metadata, "join")
 
 
 def order_job(spark, sf):
-    sources = {"items": (A.order_item_plain(spark, sf), "order_id"), "payment": (A.payment(spark, sf), "order_id")}
-    return silver_job(spark, "customer_order", sources, ["order_id", "product_id", "seller_id", "customer_id", "unit_price"], silver.customer_orders)
+    sources = {"items": (A.order_item_plain(spark, sf), "order_id", "order_item_id"), "payment": (A.payment(spark, sf), "customer_id")}
+    return silver_job(spark, "customer_order", sources, ["order_id", "product_id", "seller_id", "customer_id", "unit_price"], silver.customer_orders, "recount", ("order_id",))
 
 
 def review_job(spark, sf):
-    return silver_job(spark, "review_metadata", {"review": (A.review(spark, sf), "review_id")}, ["review_id", "order_id"], silver.review_metadata)
+    return silver_job(spark, "review_metadata", {"review": (A.review(spark, sf), "review_id")}, ["review_id"], silver.review_metadata)
 
 
 def finished(job: jobs.SilverJob) -> DataFrame:
@@ -74,11 +76,11 @@ def job_runs(spark, sf):
     return rows.agg(F.count("*").alias("n_runs"), F.sum("n_rows").alias("n_rows"))
 
 
-def merged(spark, name: str, states: list, how) -> DataFrame:
-    """A gold table after a merge of each state of its sources."""
+def merged(spark, name: str, states: list, on: list[str], how) -> DataFrame:
+    """A gold table after a merge of each state of its sources, which rewrites the files that hold one of its keys."""
     t = table(spark, name, states[0].schema)
     for rows in states:
-        jobs.merge_into(t, lambda rows=rows: rows, how, AT)
+        jobs.merge_changes(t, lambda rows=rows: rows, on, lambda target, source: how(target, source, on), AT)
     return t.read()
 
 
@@ -92,31 +94,31 @@ def growing(job: jobs.SilverJob) -> list[DataFrame]:
 
 def gold_lead_days(spark, sf):
     states = [gold.order_lead_days(e) for e in growing(event_job(spark, sf))]
-    return merged(spark, "lead_days", states, lambda t, s: merge.coalesce(t, s, ["order_id"]))
+    return merged(spark, "lead_days", states, ["order_id"], merge.coalesce)
 
 
 def gold_locations(spark, sf):
     geo = marts.geo(spark, sf)
     states = [gold.user_location(u, geo) for u in growing(user_job(spark, sf))]
-    return merged(spark, "user_location", states, lambda t, s: merge.insert_only(t, s, ["user_type", "user_id"]))
+    return merged(spark, "user_location", states, ["user_type", "user_id"], merge.insert_only)
 
 
 def gold_detail(spark, sf):
     products = marts.products(spark, sf)
     states = [gold.order_detail(o, products) for o in growing(order_job(spark, sf))]
-    return merged(spark, "order_detail", states, lambda t, s: merge.conditional(t, s, ["order_id", "product_id", "seller_id", "unit_price"], ["quantity", "category"]))
+    return merged(spark, "order_detail", states, ["order_id", "product_id", "seller_id", "unit_price"], lambda t, s, on: merge.conditional(t, s, on, ["quantity", "category"]))
 
 
 def gold_sales(spark, sf):
     """Sales by month: the second merge overwrites the months and products that have grown."""
     lead, products = marts.lead_days(spark, sf), marts.products(spark, sf)
     states = [gold.monthly_sales(lead, gold.order_detail(o, products)) for o in growing(order_job(spark, sf))]
-    return merged(spark, "monthly_sales", states, lambda t, s: merge.overwrite(t, s, ["product_id", "sales_period"]))
+    return merged(spark, "monthly_sales", states, ["product_id", "sales_period"], merge.overwrite)
 
 
 def gold_reviews(spark, sf):
     states = [gold.review_answer_days(r) for r in growing(review_job(spark, sf))]
-    return merged(spark, "review_answer", states, lambda t, s: merge.insert_only(t, s, ["review_id", "order_id"]))
+    return merged(spark, "review_answer", states, ["review_id", "order_id"], merge.insert_only)
 
 
 QUERIES = {

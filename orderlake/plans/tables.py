@@ -146,7 +146,7 @@ ORACLE_SQL = {
     "snapshot_boundary": "SELECT min(l_orderkey % 3 + 1) AS earliest, max(l_orderkey % 3 + 1) AS latest FROM lineitem",
     "incremental_runs": "SELECT 1 AS run, count(*) AS n_rows, sum(l_quantity) AS quantity, 1::BIGINT AS read_to FROM lineitem WHERE l_orderkey % 3 = 0 UNION ALL SELECT 2, count(*), sum(l_quantity), 3 FROM lineitem WHERE l_orderkey % 3 > 0 UNION ALL SELECT 3, 0, 0.0, 3",
     "contract_project": sql("SELECT * FROM b_payment"),
-    "compact_table": "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity, 2::BIGINT AS n_commits FROM lineitem GROUP BY 1",
+    "compact_table": "SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity, 3::BIGINT AS n_commits FROM lineitem GROUP BY 1",
     "watermark_upsert": "SELECT * FROM (SELECT 'silver_user' AS app_name, 'items' AS src, max(l_orderkey % 3 + 1) AS last_processed_snapshot_id FROM lineitem UNION ALL SELECT 'silver_event', 'items', min(l_orderkey % 3 + 1) FROM lineitem)",
     "envelope_encode": sql("SELECT customer_id AS key, '0000000007' AS header, '{\"zip_code\":' || zip_code || '}' AS body, 'bronze.customer' AS topic FROM b_customer"),
     "envelope_decode": sql("SELECT * FROM b_payment"),

@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from orderlake.functions import scoring
-from orderlake.operators import gold, jobs, quality, shapes, silver
+from orderlake.operators import gold, jobs, merge, quality, shapes, silver
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -51,6 +53,120 @@ def test_compact_and_expire(spark):
     assert ids(t.read()) == whole and [r["commit_id"] for r in t.log().collect()] == [3]
 
 
+def test_history_around_merge_compaction_and_expiry(spark):
+    """Every state is read as it was; what rewrites moved isn't new; what expired is an error, and its files go."""
+    t = snapshots.Table(spark, fresh(spark, "history"), spark.range(0).selectExpr("id", "id AS v").schema)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), t.schema)
+    both = lambda df: sorted(map(tuple, df.collect()))
+    t.commit(rows((1, 1), (2, 2)).repartition(1), DAYS[0])
+    t.commit(rows((3, 3)), DAYS[1], "app", 4)
+    assert jobs.merge_changes(t, lambda: rows((2, 20), (3, 3), (9, 9)), ["id"], lambda a, b: merge.overwrite(a, b, ["id"]), DAYS[2]) == 3
+    assert t.compact(3, DAYS[3]) == 4
+    t.commit(rows((5, 5)), DAYS[4])
+    states = {0: [], 1: [(1, 1), (2, 2)], 2: [(1, 1), (2, 2), (3, 3)], 3: [(1, 1), (2, 20), (3, 3), (9, 9)]}
+    states[4] = states[3]
+    states[5] = sorted([*states[3], (5, 5)])
+    for n, want in states.items():
+        assert both(t.as_of(n)) == want
+    changes = {(0, 1): states[1], (1, 2): [(3, 3)], (2, 3): [(2, 20), (9, 9)], (3, 4): [], (3, 5): [(5, 5)], (1, 5): [(2, 20), (3, 3), (5, 5), (9, 9)], (5, 5): []}
+    for (a, b), want in changes.items():
+        assert both(t.between(a, b)) == want
+    for wrong in (lambda: t.as_of(6), lambda: t.between(4, 6), lambda: t.as_of(-1)):
+        with pytest.raises(snapshots.Expired):
+            wrong()
+    first = t.files(1)
+    assert set(first) & set(t.expire(3)) and not any(t.store.fs.exists(t.store.at(f"{t.path}/{f}")) for f in first)
+    for wrong in (lambda: t.as_of(2), lambda: t.as_of(0), lambda: t.between(1, 4), lambda: snapshots.incremental(t, 1)):
+        with pytest.raises(snapshots.Expired):
+            wrong()
+    assert [both(t.as_of(n)) for n in (3, 4, 5)] == [states[3], states[4], states[5]] and both(t.between(2, 5)) == [(2, 20), (5, 5), (9, 9)]
+    assert t.commit(rows((7, 7)), DAYS[4], "app", 4) == 2 and both(t.read()) == states[5]
+    again = snapshots.Table(spark, t.path, t.schema)
+    assert again.expire(5) and both(again.read()) == states[5] and len(again.lines()) == 1
+
+
+def test_lines_are_bounded_by_checkpoints(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "EVERY", 3)
+    t = commits(spark, 5)
+    for k in range(5):
+        t.commit(spark.range(100 + k, 101 + k), DAYS[k])
+    fresh_reader = snapshots.Table(spark, t.path, t.schema)
+    assert ids(fresh_reader.read()) == ids(t.read()) and len(fresh_reader.lines()) == 10 and len(fresh_reader.seen) == 2
+    t.expire(9)
+    names = [s.getPath().getName() for s in t.store.list(f"{t.path}/log")]
+    assert len([n for n in names if n.endswith(".json")]) == 2 and t.last() == 10 and len(t.lines()) == 2
+
+
+def test_expiry_removes_lost_attempts_and_torn_lines_dont_count(spark):
+    t = commits(spark, 2)
+    t.write(spark.range(3), "lost")
+    assert len(t.store.list(f"{t.path}/data")) == 3
+    t.expire(2)
+    assert len(t.store.list(f"{t.path}/data")) == 3  # young
+    t.expire(2, lost_after_ms=-60_000)
+    assert len(t.store.list(f"{t.path}/data")) == 2 and len(ids(t.read())) == 6
+    t.store.create(f"{t.path}/log/{3:020d}.json", '{"commit_id": 3, "new": [')
+    assert len(ids(t.read())) == 6 and t.last() == 2
+
+
+def test_rewrites_conflict_but_appends_pass(spark):
+    t = commits(spark, 2)
+    files = t.files()
+    t.commit(spark.range(90, 91), DAYS[2])
+    assert t.compact(2, DAYS[3]) == 4
+    with pytest.raises(snapshots.Conflict):  # its files went into the compaction
+        t.add({"committed_at": DAYS[3], "operation": "compact", "app": "", "batch": None, "new": [], "kept": [], "gone": files}, 2)
+    with pytest.raises(snapshots.Conflict):
+        t.rewrite(2, [], spark.range(1), spark.range(0), DAYS[3])
+
+
+def test_merge_rewrites_only_files_with_its_keys(spark):
+    t = commits(spark, 4)
+    before = set(t.files())
+    jobs.merge_changes(t, lambda: spark.range(11, 12).union(spark.range(77, 78)), ["id"], lambda a, b: merge.insert_only(a, b, ["id"]), DAYS[4])
+    gone = before - set(t.files())
+    assert ids(t.rows(sorted(gone))) and 11 in ids(t.rows(sorted(gone))) and len(gone) == 1
+    assert ids(t.between(4, 5)) == [77] and ids(t.read()) == sorted([k * 10 + j for k in range(4) for j in range(3)] + [77])
+
+
+def test_joins_lose_nothing_in_any_order_of_commits(spark):
+    """Random splits of both sources over commits, one of them silent at times: the jobs end at the full result."""
+    random.seed(7)
+    products = [(f"p{k}", f"c{k % 3}") for k in range(8)]
+    items = [(f"o{k % 6}", k, f"p{k % 5 if k % 4 else k % 8}", 1.0 + k % 2, f"s{k % 2}") for k in range(30)]
+    paid = [(f"o{k}", f"u{k % 3}") for k in range(6)]
+    schemas = {"product": "product_id string, category string", "items": "order_id string, order_item_id int, product_id string, price double, seller_id string", "payment": "order_id string, customer_id string"}
+    empty = lambda name: spark.createDataFrame([], schemas[name]).schema
+    for trial in range(3):
+        sources = {n: snapshots.Table(spark, fresh(spark, n), empty(n)) for n in schemas}
+        frames = {n: spark.createDataFrame(rows, schemas[n]) for n, rows in (("product", products), ("items", items), ("payment", paid))}
+        make = {
+            "products": (["product", "items"], ["product_id", "category", "seller_id"], silver.product_metadata, "join", ()),
+            "orders": (["items", "payment"], ["order_id", "product_id", "seller_id", "customer_id", "unit_price"], silver.customer_orders, "recount", ("order_id",)),
+        }
+        marks = snapshots.Table(spark, fresh(spark, "marks"), snapshots.MARKS)
+        todo = []
+        for name, rows in (("product", products), ("items", items), ("payment", paid)):
+            parts = [[] for _ in range(random.choice([1, 2, 3]))]
+            for r in rows:
+                random.choice(parts).append(r)
+            todo += [(name, p) for p in parts if p]
+        random.shuffle(todo)
+        work = {}
+        for key, (names, keys, transform, how, touched) in make.items():
+            target = snapshots.Table(spark, fresh(spark, key), transform(**{n: frames[n] for n in names}).schema)
+            work[key] = jobs.SilverJob(key, {n: sources[n] for n in names}, target, marks, keys, transform, how, touched)
+        for name, part in todo:
+            sources[name].commit(spark.createDataFrame(part, schemas[name]).coalesce(1), DAYS[0])
+            if random.random() < 0.6 or (name, part) == todo[-1]:
+                for job in work.values():
+                    job.catch_up(DAYS[1])
+        for key, (names, _, transform, *_rest) in make.items():
+            want = transform(**{n: frames[n] for n in names})
+            got = work[key].target.read().select(*want.columns)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (trial, key, todo)
+
+
 def test_compaction_keeps_batches_known(spark):
     t = commits(spark, 1)
     assert t.commit(spark.range(5), DAYS[1], "app", 7) == 2
