@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orderlake.operators import gold, merge, quality, shapes, silver
+from orderlake.operators import gold, jobs, merge, quality, shapes, silver
 from orderlake.plans import marts
 from orderlake.plans.twins import sql
 from orderlake.sources import adapters as A, envelope, snapshots
 from orderlake.sources.contracts import BRONZE
 from orderlake.sources.paths import fresh
-from orderlake.streaming.lead_state import timeline
+from orderlake.streaming.lead_state import SIXTY_DAYS, STEP_SECONDS, timeline
 from orderlake.streaming.sources import drain, folder_stream, start, table_stream, unzoned, zoned
+from orderlake.streaming.supervise import Supervisor, watched
+
+#: When the logs of these streams begin, and a day, in seconds.
+START, DAY = 1_704_067_200, 86_400
 
 
 def event_stream(spark, sf):
@@ -107,13 +111,36 @@ def stream_union_events(spark, sf):
     return unzoned(drain(stream_events(spark, sf), "stream_union_events"))
 
 
+def event_log(spark, sf):
+    """Order events as a log that takes each in at its own time: a file for each year, a year for each micro-batch, so that the
+    watermark moves on with them."""
+    rows = zoned(silver.order_events(A.order_status(spark, sf), A.estimated_delivery_date(spark, sf), A.order_item(spark, sf)), "timestamp").withColumn("ingest_time", F.col("timestamp"))
+    rows.withColumn("year", F.year("ingest_time")).write.partitionBy("year").parquet(staged := fresh(spark, "events-by-year"))
+    table, folder = spark.read.parquet(staged), fresh(spark, "event-log")
+    for r in table.select("year").distinct().orderBy("year").collect():  # years
+        table.where(F.col("year") == r["year"]).select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
+    return folder_stream(spark, folder, rows.schema, 1).withWatermark("ingest_time", "60 days")
+
+
+def last_rows(spark, updates, name: str):
+    """Of each order, its last row of an update stream."""
+    path = fresh(spark, name)
+    start(updates, name, mode="update", each=lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()
+    return shapes.best(spark.read.parquet(path), ["order_id"], [F.desc("batch")])
+
+
 def stream_lead_days(spark, sf):
-    """The stateful timeline in update mode; of each order, its last row, which is the one that knows most."""
-    path = fresh(spark, "lead-days")
-    updates = timeline(stream_events(spark, sf), "first")
-    start(updates, "stream_lead_days", mode="update", each=lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()
-    rows = spark.read.parquet(path)
-    return unzoned(shapes.best(rows, ["order_id"], [F.desc("batch")]).select("order_id", *gold.STAGES, *gold.DURATIONS))
+    """The stateful timeline in update mode, with all six times; of each order, its last row. An order without events for 60
+    days of the log's time is forgotten, so the state is what the watermark still holds."""
+    updates = timeline(event_log(spark, sf), "first", expire_ms=SIXTY_DAYS, clock="event")
+    return unzoned(last_rows(spark, updates, "stream_lead_days").select("order_id", *gold.STAGES, *gold.DURATIONS))
+
+
+def stream_open_stages(spark, sf):
+    """Undelivered orders and the seconds that timeouts have added to their open stage: two hours for each day of the log's
+    time without an event, until the order expires."""
+    updates = timeline(event_log(spark, sf), "first", STEP_SECONDS, 86_400_000, SIXTY_DAYS, "event", seconds=True)
+    return last_rows(spark, updates, "stream_open_stages").where("delivered_customer IS NULL").select("order_id", "open_seconds")
 
 
 def stream_merge_matches_batch(spark, sf):
@@ -195,16 +222,112 @@ def stream_user_location(spark, sf):
     return drain(users.alias("u").join(geo.alias("g"), near).select("u.user_type", "u.user_id", "u.zip_code", "g.lat", "g.lng"), "stream_user_location")
 
 
+def taken_in(spark, name: str, df, at):
+    """Rows as a log's stream, taken in at given times, and one row far later, which lets the watermark pass them all."""
+    rows = df.withColumn("ingest_time", at)
+    end = spark.range(1).select(*[F.lit("end" if t == "string" else 1).cast(t).alias(c) for c, t in df.dtypes], F.timestamp_seconds(F.lit(START + 60 * DAY)).alias("ingest_time"))
+    rows.unionByName(end).write.parquet(path := fresh(spark, f"bronze-{name}"))
+    return folder_stream(spark, path, rows.schema, 1000)
+
+
+def stream_customer_orders(spark, sf):
+    """Items counted in windows of five minutes, and the count's window goes on into a full outer join with payments taken in
+    within three days. Some orders' items fall in two windows; some payments are late, some missing: these come without
+    a partner and are dropped."""
+    key = F.col("order_id").cast("long")
+    minute = START + 60 * (key % 600)
+    items = taken_in(spark, "order-items", A.order_item_plain(spark, sf).drop("freight_value"), F.timestamp_seconds(minute + F.when(key % 10 == 0, 600 * (F.col("order_item_id") % 2)).otherwise(0)))
+    paid = taken_in(spark, "payments", A.payment(spark, sf).select("order_id", "customer_id").where(key % 11 != 0), F.timestamp_seconds(minute + F.when(key % 7 == 0, 4 * DAY).otherwise(300)))
+    counted = items.dropna().withWatermark("ingest_time", "3 days").groupBy(F.window("ingest_time", "5 minutes"), "order_id", "product_id", "price", "seller_id").agg(F.count("order_item_id").alias("quantity"))
+    counted = counted.select(F.window_time("window").alias("counted_at"), F.col("order_id").alias("c_order"), "product_id", "seller_id", "quantity", F.col("price").alias("unit_price"))
+    payer = once(paid, "3 days", "order_id").select("order_id", "customer_id", "ingest_time")
+    near = F.expr("c_order = order_id AND counted_at BETWEEN ingest_time - INTERVAL 3 DAYS AND ingest_time + INTERVAL 3 DAYS")
+    both = counted.join(payer, near, "full_outer").select("order_id", "customer_id", "product_id", "seller_id", "quantity", "unit_price")
+    return drain(both.dropna(), "stream_customer_orders")
+
+
+def order_detail_source(spark, sf):
+    """Order lines and products as silver streams. Every third order's lines come with one piece more first, and as they are
+    a day later, in a file of their own."""
+    orders, products = marts.orders(spark, sf), marts.products(spark, sf)
+    key, at = F.col("order_id").cast("long"), lambda s: F.timestamp_seconds(F.lit(START + s))
+    first = orders.withColumn("quantity", F.col("quantity") + F.when(key % 3 == 0, 1).otherwise(0)).withColumn("ingest_time", at(0))
+    folder = fresh(spark, "customer-order")
+    for rows in (first, orders.where(key % 3 == 0).withColumn("ingest_time", at(DAY))):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    products.withColumn("ingest_time", at(3600)).coalesce(1).write.parquet(metadata := fresh(spark, "product-metadata"))
+    o = folder_stream(spark, folder, first.schema, 1).withWatermark("ingest_time", "30 days")
+    p = folder_stream(spark, metadata, products.withColumn("ingest_time", at(0)).schema, 1).withWatermark("ingest_time", "30 days")
+    near = F.expr("o.product_id = p.product_id AND o.seller_id = p.seller_id AND o.ingest_time BETWEEN p.ingest_time - INTERVAL 30 DAYS AND p.ingest_time + INTERVAL 30 DAYS")
+    return o.alias("o").join(p.alias("p"), near).select("o.order_id", "o.customer_id", "o.seller_id", "o.product_id", "p.category", "o.quantity", "o.unit_price", F.greatest("o.ingest_time", "p.ingest_time").alias("ingest_time"))
+
+
+DETAIL_KEY = ["order_id", "product_id", "seller_id", "unit_price"]
+
+
+def detail_sink(mart: snapshots.Table, every: int = 2):
+    """Merges micro-batches into the order-detail mart, each once: lines whose quantity or category differs are replaced, in the
+    files that hold them. Every so many batches the mart is compacted and older states expire, so that a reader opens few files."""
+
+    def merge_in(batch, number):
+        batch.persist()
+        try:
+            rows = lambda: merge.single(batch, DETAIL_KEY, [F.desc("ingest_time"), F.desc("quantity")]).select(*mart.schema.names)
+            jobs.merge_changes(mart, rows, DETAIL_KEY, lambda t, s: merge.conditional(t, s, DETAIL_KEY, ["quantity", "category"]), "2024-01-01 00:00:00", "order_detail", number)
+        finally:
+            batch.unpersist()
+        if number % every == every - 1:
+            mart.expire(snapshots.retried(lambda: mart.compact(mart.last(), "2024-01-01 00:00:00")))
+
+    return merge_in
+
+
+def stream_order_detail(spark, sf):
+    """The order-detail mart, merged from micro-batches of a join of two streams."""
+    source = order_detail_source(spark, sf)
+    mart = snapshots.Table(spark, fresh(spark, "order-detail"), source.drop("ingest_time").schema)
+    start(source, "stream_order_detail", each=detail_sink(mart)).awaitTermination()
+    return mart.read()
+
+
+def cdc_topics(spark, sf):
+    """A log of two topics, each with a query of its own under one supervisor. The sellers' fails once on its first batch, is
+    started again from its checkpoint, and both end with all rows."""
+    folder = fresh(spark, "topics-log")
+    log = envelope.encode(A.customer(spark, sf), "bronze.customer", ["customer_id"]).unionByName(envelope.encode(A.seller(spark, sf), "bronze.seller", ["seller_id"]))
+    log.repartition(4, "key").write.parquet(folder)
+    tables = {t: snapshots.Table(spark, fresh(spark, t), BRONZE[t].schema) for t in ("customer", "seller")}
+    checkpoints, failed = {t: fresh(spark, f"checkpoint-{t}") for t in tables}, []
+
+    def begin(topic: str):
+        def commit(batch, number):
+            if topic == "seller" and not failed:
+                failed.append(number)
+                raise RuntimeError("killed on purpose")
+            tables[topic].commit(envelope.decode(batch, f"bronze.{topic}", BRONZE[topic]), "2024-01-01 00:00:00", f"cdc-{topic}", number)
+
+        return start(folder_stream(spark, folder, log.schema, 2).where(F.col("topic") == f"bronze.{topic}"), f"cdc-{topic}", each=commit, checkpoint=checkpoints[topic])
+
+    Supervisor(spark, {t: (lambda t=t: begin(t)) for t in tables}, report=lambda said: None).run()
+    return tables["customer"].read().select(F.lit("customer").alias("topic"), F.col("customer_id").alias("key"), "zip_code").unionByName(tables["seller"].read().select(F.lit("seller").alias("topic"), F.col("seller_id").alias("key"), "zip_code"))
+
+
 def stream_late_rows(spark, sf):
-    """Events by day, the newer half written before the older: how many of each day the watermark let in."""
+    """Events by day, the newest quarter taken in first, then the one before, then the older half, with a watermark of ten days:
+    how many of each day it let in, and how many of all the query says that it dropped. A micro-batch drops by the watermark
+    that the one before it began with, so the second quarter is whole."""
     folder, e = fresh(spark, "events-by-age"), zoned(A.raw(spark, sf, "events"), "ts")
-    mid = e.agg(F.percentile_approx(F.unix_seconds("ts"), 0.5).alias("m")).first()["m"]
-    for name, part in (("a", e.where(F.unix_seconds("ts") >= mid)), ("b", e.where(F.unix_seconds("ts") < mid))):
-        part.write.mode("append").parquet(f"{folder}/{name}")
-    path = fresh(spark, "days")
-    days = folder_stream(spark, folder + "/*", e.schema, 1).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    start(days.select(F.col("window.start").alias("day"), "n"), "stream_late_rows", mode="update", each=lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).awaitTermination()
-    return unzoned(spark.read.schema("day timestamp, n long, batch int").parquet(path).groupBy("day").agg(F.max("n").alias("n_let_in")))
+    at = F.unix_micros("ts")
+    lo, hi = e.agg(F.min(at), F.max(at)).first()
+    mid, late = (lo + hi) // 2, (lo + 3 * hi) // 4
+    for name, part in (("a", at >= late), ("b", (at >= mid) & (at < late)), ("c", at < mid)):
+        e.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    seen = folder_stream(spark, folder + "/*", e.schema, 1).withWatermark("ts", "10 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts")
+    path = fresh(spark, "let-in")
+    watch = watched(spark, lambda: start(seen, "stream_late_rows", path).awaitTermination())
+    day = lambda df, n: unzoned(df.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias(n)))
+    rows = day(e, "n_rows").join(day(spark.read.schema(seen.schema).parquet(path), "n_let_in"), "day", "left")
+    return rows.select("day", "n_rows", F.coalesce("n_let_in", F.lit(0)).alias("n_let_in"), F.lit(watch.dropped["stream_late_rows"]).cast("long").alias("n_dropped_of_all"))
 
 
 CLOSED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
@@ -216,6 +339,7 @@ QUERIES = {
     "stream_source_count": stream_source_count, "stream_append": stream_append, "cdc_fanout": cdc_fanout, "stream_tumbling": stream_tumbling, "stream_dedup": stream_dedup, "stream_interval_join": stream_interval_join,
     "stream_outer_join": stream_outer_join, "stream_union_events": stream_union_events, "stream_lead_days": stream_lead_days, "stream_merge_matches_batch": stream_merge_matches_batch, "stream_chain": stream_chain,
     "stream_reviews": stream_reviews, "stream_geo_coord": stream_geo_coord, "stream_users": stream_users, "stream_product_metadata": stream_product_metadata, "stream_user_location": stream_user_location, "stream_late_rows": stream_late_rows,
+    "stream_customer_orders": stream_customer_orders, "stream_order_detail": stream_order_detail, "stream_open_stages": stream_open_stages, "cdc_topics": cdc_topics,
 }
 ORACLE_SQL = {
     "stream_source_count": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
@@ -225,7 +349,21 @@ ORACLE_SQL = {
     "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_interval_join": sql("SELECT p_id, c_id, p_ts, c_ts FROM t_p JOIN t_c ON p_user = c_user AND c_ts BETWEEN p_ts - INTERVAL 3 DAY AND p_ts + INTERVAL 3 DAY", **SIDES),
     "stream_union_events": sql(STREAM_EVENTS),
-    "stream_lead_days": sql("SELECT * FROM t_lead", **S_LEAD),
+    "stream_lead_days": sql("SELECT * FROM g_lead"),
+    "stream_order_detail": sql("SELECT * FROM g_detail"),
+    "stream_customer_orders": sql(
+        "SELECT order_id, customer_id, product_id, seller_id, quantity, price AS unit_price FROM t_counted JOIN t_paid USING (order_id) WHERE counted_at BETWEEN paid_at - INTERVAL 3 DAY AND paid_at + INTERVAL 3 DAY",
+        t_counted=f"SELECT order_id, product_id, price, seller_id, w + INTERVAL 5 MINUTE - INTERVAL 1 MICROSECOND AS counted_at, count(*) AS quantity FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, make_timestamp(1000000 * ({START} + 60 * (order_id::BIGINT % 600) + CASE WHEN order_id::BIGINT % 10 = 0 THEN 600 * (order_item_id % 2) ELSE 0 END))) AS w FROM b_item) GROUP BY order_id, product_id, price, seller_id, w",
+        t_paid=f"SELECT order_id, customer_id, make_timestamp(1000000 * ({START} + 60 * (order_id::BIGINT % 600) + CASE WHEN order_id::BIGINT % 7 = 0 THEN {4 * DAY} ELSE 300 END)) AS paid_at FROM b_payment WHERE order_id::BIGINT % 11 <> 0",
+    ),
+    "stream_open_stages": sql(
+        f"SELECT order_id, greatest(0, least(60, floor((epoch((SELECT max(timestamp) FROM s_events)) - epoch(seen)) / {DAY}) - 60))::BIGINT * 7200 AS open_seconds FROM t_seen JOIN g_lead USING (order_id) WHERE delivered_customer IS NULL",
+        t_seen="SELECT order_id, max(timestamp) AS seen FROM s_events GROUP BY order_id",
+    ),
+    "cdc_topics": sql("SELECT 'customer' AS topic, customer_id AS key, zip_code FROM b_customer UNION ALL SELECT 'seller', seller_id, zip_code FROM b_seller"),
+    "stream_late_rows": """WITH m AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS mid, epoch_us(date_trunc('milliseconds', max(ts))) - 864000000000 AS wm FROM events),
+l AS (SELECT ts, epoch_us(ts) >= mid OR epoch_us(ts) > wm AS let_in FROM events, m)
+SELECT date_trunc('day', ts) AS day, count(*) AS n_rows, count(*) FILTER (let_in) AS n_let_in, (SELECT count(*) FROM l WHERE NOT let_in) AS n_dropped_of_all FROM l GROUP BY 1""",
     "stream_merge_matches_batch": sql("SELECT * FROM g_lead"),
     "stream_chain": sql("SELECT * FROM t_lead", **S_LEAD),
     "stream_geo_coord": sql("SELECT * FROM s_geo"), "stream_users": sql("SELECT * FROM s_users"), "stream_product_metadata": sql("SELECT * FROM s_product"), "stream_user_location": sql("SELECT * FROM g_location"),

@@ -6,15 +6,17 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orderlake.operators.gold import DURATIONS, STAGES
 
 OUT = "order_id string, " + ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{d} int" for d in DURATIONS)
-STATE = ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{s}_open double" for s in STAGES) + ", seen_ms long"
+STATE = ", ".join(f"{s} timestamp" for s in STAGES) + ", " + ", ".join(f"{s}_open double" for s in STAGES) + ", seen_ms long, ticks long"
 COLUMNS = ["order_id", *STAGES, *DURATIONS]
 SIXTY_DAYS = 60 * 86_400_000
+#: What a timeout adds to the stages that are open.
+STEP_SECONDS = 7200
 #: The durations of which an open stage may grow.
 OPEN = ["purchase_to_approval_days", "approval_to_carrier_days", "carrier_to_customer_days"]
 
@@ -24,29 +26,47 @@ def days(late: pd.Timestamp | None, early: pd.Timestamp | None) -> int | None:
     return None if late is None or early is None else (late - early) // timedelta(days=1)
 
 
-def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int = 0, timeout_ms: int = 1000, expire_ms: int | None = None) -> DataFrame:
+def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int = 0, timeout_ms: int = 1000, expire_ms: int | None = None, clock: str = "processing", seconds: bool = False) -> DataFrame:
     """A row per order and micro-batch that touched it (update mode). ``keep``: the latest time of a stage, as in batch, or
-    the ``first``: the latest of the micro-batch that brought the first one. An order whose times are all known is forgotten,
-    and one without events for ``expire_ms`` (SIXTY_DAYS, say), too; with that or a step the stream doesn't end by itself, so
-    expiry is for streams that run on. With a step, every timeout adds so many seconds to the stages
-    that have begun and not ended, and emits the order again."""
+    the ``first``: the latest of the micro-batch that brought the first one. An order whose times are all known stays as it
+    is, so that a repeated event changes nothing with ``first``.
+
+    With a step, every timeout adds so many seconds to the stages that have begun and not ended, and emits the order again.
+    An order without events for ``expire_ms`` (SIXTY_DAYS, say) is forgotten. The clock of both is the processing time, with
+    which a stream doesn't end by itself, or the ``event`` time: the watermark on ``ingest_time``, so that state is bounded
+    by it, timeouts are due every ``timeout_ms`` from the order's last event on, up to its expiry, however many fall into a
+    micro-batch, and a stream over what there is ends. ``seconds`` adds the seconds of open stages, ``open_seconds``."""
+    by_event = clock == "event"
+    if by_event:
+        events = events.withColumn("ingest_ms", F.unix_millis("ingest_time"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = len(STAGES)
-        held = list(state.get) if state.exists else [None] * n + [0.0] * n + [0]
-        known, open_, seen = [None if pd.isna(t) else pd.Timestamp(t) for t in held[:n]], held[n:-1], held[-1]
-        now = state.getCurrentProcessingTimeMs()
-        if state.hasTimedOut:
-            if expire_ms is not None and now - seen >= expire_ms:
-                state.remove()
-                return
+        held = list(state.get) if state.exists else [None] * n + [0.0] * n + [0, 0]
+        known, open_, seen, ticks = [None if pd.isna(t) else pd.Timestamp(t) for t in held[:n]], held[n:-2], held[-2], held[-1]
+        now = state.getCurrentWatermarkMs() if by_event else state.getCurrentProcessingTimeMs()
+        until = now if expire_ms is None else min(now, seen + expire_ms)
+
+        def grow(times: int) -> None:
             for name in OPEN:
                 end, begin = (STAGES.index(x) for x in DURATIONS[name])
                 if known[begin] is not None and known[end] is None:
-                    open_[end] += open_stage_step_seconds
+                    open_[end] += times * open_stage_step_seconds
+
+        if state.hasTimedOut:
+            over = expire_ms is not None and now - seen >= expire_ms
+            if over and not (by_event and open_stage_step_seconds):
+                state.remove()
+                return
+            if open_stage_step_seconds:
+                due = (until - seen) // timeout_ms if by_event else ticks + 1
+                grow(due - ticks)
+                ticks = due
         else:
-            seen, new = now, [None] * n
+            seen, new, over, ticks = seen if by_event else now, [None] * n, False, 0
             for frame in frames:
+                if by_event:
+                    seen = max(seen, int(frame["ingest_ms"].max()))
                 for kind, ts in zip(frame["data_type"], frame["timestamp"], strict=True):
                     if kind in STAGES and not pd.isna(ts):
                         i, ts = STAGES.index(kind), pd.Timestamp(ts)
@@ -54,11 +74,16 @@ def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int
             for i, ts in enumerate(new):
                 if ts is not None and (known[i] is None or keep == "max" and ts > known[i]):
                     known[i], open_[i] = ts, 0.0
-        if all(t is not None for t in known):
+        if over:
             state.remove()
         else:
-            state.update(tuple([None if t is None else t.to_pydatetime() for t in known] + open_ + [seen]))
-            if open_stage_step_seconds:
+            state.update(tuple([None if t is None else t.to_pydatetime() for t in known] + open_ + [seen, ticks]))
+            waits = open_stage_step_seconds and any(t is None for t in known)
+            if by_event:
+                due = [seen + expire_ms] * (expire_ms is not None) + [seen + (ticks + 1) * timeout_ms] * bool(waits)
+                if due:  # it times out when the watermark is beyond what is set
+                    state.setTimeoutTimestamp(max(min(due) - 1, now + 1))
+            elif waits:
                 state.setTimeoutDuration(timeout_ms)
             elif expire_ms is not None:
                 state.setTimeoutDuration(max(1, expire_ms - (now - seen)))
@@ -67,7 +92,8 @@ def timeline(events: DataFrame, keep: str = "max", open_stage_step_seconds: int
             i, j = STAGES.index(a), STAGES.index(b)
             found = days(known[i], known[j])
             row.append(int(open_[i] // 86400) if found is None and open_[i] else found)
-        yield pd.DataFrame([row], columns=COLUMNS, dtype=object)
+        yield pd.DataFrame([row + [int(sum(s for s, t in zip(open_, known, strict=True) if t is None))] * seconds], columns=COLUMNS + ["open_seconds"] * seconds, dtype=object)
 
-    mode = GroupStateTimeout.ProcessingTimeTimeout if open_stage_step_seconds or expire_ms is not None else GroupStateTimeout.NoTimeout
-    return events.groupBy("order_id").applyInPandasWithState(step, OUT, STATE, "update", mode)
+    timed = open_stage_step_seconds or expire_ms is not None
+    mode = GroupStateTimeout.NoTimeout if not timed else GroupStateTimeout.EventTimeTimeout if by_event else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("order_id").applyInPandasWithState(step, OUT + ", open_seconds long" * seconds, STATE, "update", mode)

@@ -42,11 +42,11 @@ def unzoned(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
 
 
-def start(df: DataFrame, name: str, path: str | None = None, mode: str = "append", each=None, seconds: int | None = None, console: bool = False) -> StreamingQuery:
+def start(df: DataFrame, name: str, path: str | None = None, mode: str = "append", each=None, seconds: int | None = None, console: bool = False, checkpoint: str | None = None) -> StreamingQuery:
     """A named, checkpointed query: to Parquet, to a function on micro-batches, or to the console. Without ``seconds`` it takes
-    what there is and stops."""
+    what there is and stops. With the ``checkpoint`` of one that failed it goes on where that one was."""
     spark = df.sparkSession
-    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", fresh(spark, f"checkpoint-{name}"))
+    writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint or fresh(spark, f"checkpoint-{name}"))
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     if each:
         return writer.foreachBatch(each).start()

@@ -5,9 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlake.operators import gold
+from orderlake.plans import streams
+from orderlake.sources import snapshots
 from orderlake.sources.paths import fresh
-from orderlake.streaming.lead_state import OPEN, days, timeline
+from orderlake.streaming.lead_state import OPEN, SIXTY_DAYS, STEP_SECONDS, days, timeline
 from orderlake.streaming.sources import drain, folder_stream, start, supervise
+from orderlake.streaming.supervise import Supervisor, watched
 
 SCHEMA = "order_id string, data_type string, timestamp timestamp"
 DAY = dt.datetime(2024, 1, 1)
@@ -54,10 +57,100 @@ def test_timeline_takes_later_or_first(spark):
     assert last_states(spark, timeline(files(spark, *batches), "first"), "first")["a"][-1]["purchase"] == day(1)
 
 
-def test_complete_orders_are_forgotten(spark):
+def test_an_event_after_completion_changes_nothing(spark):
     full = [("a", s, day(i)) for i, s in enumerate(gold.STAGES)]
-    seen = last_states(spark, timeline(files(spark, full, [("a", "purchase", day(5))])), "forgotten")
-    assert seen["a"][-1]["approve"] is None and seen["a"][-1]["purchase"] == day(5)
+    seen = last_states(spark, timeline(files(spark, full, [("a", "approve", day(50))], [("a", "purchase", day(9))]), "first"), "complete")
+    assert len(seen["a"]) == 3 and seen["a"][0] == seen["a"][1] == seen["a"][2] and seen["a"][0]["delivered_customer"] == day(5)
+
+
+LOGGED = SCHEMA + ", ingest_time timestamp"
+
+
+def logged(spark, *batches):
+    """Events that the log takes in at their own time; a mark lets the watermark move."""
+    return files(spark, *[[(o, k, t, t) for o, k, t in b] for b in batches], schema=LOGGED).withWatermark("ingest_time", "60 days")
+
+
+def test_state_ends_behind_the_watermark(spark):
+    """Orders expire 60 days after their last event, complete or not; what came before is forgotten, and no state is left of them."""
+    orders = [(f"o{k}", s, day(k)) for k in range(5) for s in ("purchase", "approve")] + [("full", s, day(i)) for i, s in enumerate(gold.STAGES)]
+    stream = logged(spark, orders, [("mark", "purchase", day(100))], [("mark", "approve", day(300))], [("mark", "shipping_limit", day(301))])
+    said = {}
+    watch = watched(spark, lambda: said.update(last_states(spark, timeline(stream, "first", expire_ms=SIXTY_DAYS, clock="event"), "expired")))
+    assert max(watch.state_rows["expired"]) >= 7 and watch.state_rows["expired"][-1] == 1  # the mark's own
+    assert said["full"][-1]["customer_delivery_delay_days"] == 1 and len(said["full"]) == 1
+
+
+@pytest.mark.parametrize("until,ticks", [(61, 1), (67, 7), (100, 40), (400, 60)])
+def test_timeouts_are_as_many_as_the_clock_says(spark, until, ticks):
+    """Each day of the log's time adds two hours to the open stage, up to the expiry, in however many micro-batches it passes."""
+    marks = [[("mark", "purchase", day(n))] for n in ([until] if until != 100 else [70, 80, 100])]
+    updates = timeline(logged(spark, [("a", "purchase", day(0)), ("b", "purchase", day(0)), ("b", "approve", day(0))], *marks), "first", STEP_SECONDS, 86_400_000, SIXTY_DAYS, "event", seconds=True)
+    seen = last_states(spark, updates, f"ticks_{until}")
+    assert seen["a"][-1]["open_seconds"] == ticks * 7200 and seen["a"][-1]["purchase_to_approval_days"] == (ticks * 7200 // 86400 or 0)
+    assert seen["b"][-1]["open_seconds"] == ticks * 7200 and seen["b"][-1]["approval_to_carrier_days"] == ticks * 7200 // 86400
+
+
+def test_a_query_goes_on_after_failures(spark):
+    """Two topics: one fails in the middle of a batch, after its commit, and comes back from its checkpoint; nothing is twice."""
+    folders, tables, left, said = {}, {}, {"one": 2, "two": 0}, []
+    for t in left:
+        folders[t], tables[t] = fresh(spark, t), snapshots.Table(spark, fresh(spark, f"table-{t}"), spark.range(0).schema)
+        for k in range(3):
+            spark.range(10 * k, 10 * k + 4).coalesce(1).write.mode("append").parquet(folders[t])
+    checkpoints = {t: fresh(spark, "checkpoint") for t in left}
+
+    def begin(topic):
+        def sink(batch, number):
+            tables[topic].commit(batch, "2024-01-01 00:00:00", topic, number)
+            if number == 1 and left[topic]:
+                left[topic] -= 1
+                raise RuntimeError("killed")
+
+        return start(folder_stream(spark, folders[topic], "id long", 1), f"topic-{topic}", each=sink, checkpoint=checkpoints[topic])
+
+    boss = Supervisor(spark, {t: (lambda t=t: begin(t)) for t in left}, report=said.append)
+    boss.run()
+    for t in tables.values():
+        assert sorted(r["id"] for r in t.read().collect()) == [k * 10 + j for k in range(3) for j in range(4)]
+    assert boss.failures == {"one": 2} and any("failed 2 times" in x for x in said)
+
+
+def test_a_query_that_fails_too_often_stops_all(spark):
+    def begin():
+        def sink(batch, number):
+            raise RuntimeError("always")
+
+        return start(files(spark, [("a", "purchase", day(0))]), "hopeless", each=sink)
+
+    with pytest.raises(Exception, match="always"):
+        Supervisor(spark, {"x": begin}, restarts=1, report=lambda s: None).run()
+    assert not spark.streams.active
+
+
+def test_order_detail_merges_once_and_is_compacted(spark):
+    """A batch is merged, then the query dies; it comes back, another writer comes in between, and the mart has each line once."""
+    schema = "order_id string, customer_id string, seller_id string, product_id string, category string, quantity long, unit_price double, ingest_time timestamp"
+    line = lambda o, n, d, c="c": (o, "u", "s", "p", c, n, 1.0, day(d))
+    folder = fresh(spark, "lines")
+    for rows in ([line("a", 1, 0), line("b", 1, 0)], [line("a", 2, 1), line("a", 3, 2), line("b", 1, 1)], [line("c", 5, 3)], [line("c", 5, 4, "other")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    mart = snapshots.Table(spark, fresh(spark, "mart"), spark.createDataFrame([], schema).drop("ingest_time").schema)
+    sink, state = streams.detail_sink(mart), {"dies": True, "meets": True}
+
+    def each(batch, number):
+        if number == 2 and state.pop("meets", False):
+            mart.commit(spark.createDataFrame([("z", "u", "s", "p", "c", 9, 1.0)], mart.schema), "2024-01-01 00:00:00")
+        sink(batch, number)
+        if number == 1 and state.pop("dies", False):
+            raise RuntimeError("killed after its merge")
+
+    checkpoint = fresh(spark, "checkpoint")
+    begin = lambda: start(folder_stream(spark, folder, schema, 1), "detail", each=each, checkpoint=checkpoint)
+    Supervisor(spark, {"detail": begin}, report=lambda s: None).run()
+    got = {r["order_id"]: (r["quantity"], r["category"]) for r in mart.read().collect()}
+    assert got == {"a": (3, "c"), "b": (1, "c"), "c": (5, "other"), "z": (9, "c")} and mart.read().count() == 4
+    assert len(mart.lines()) == 1 and len(mart.files()) == 1
 
 
 def test_open_stages_grow_by_timeouts(spark):
