@@ -44,14 +44,3 @@ def combine(sentiment: DataFrame, translation: DataFrame, key: str, label: str)
     one = sentiment.groupBy(key).agg(F.count_distinct(label).alias("__n"), F.min(label).alias(label))
     checked = one.withColumn(label, F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("conflicting labels: "), F.col(key))).cast("string")).otherwise(F.col(label))).drop("__n")
     return translation.join(checked, key)
-
-
-class LengthModel:
-    """A stand-in for a model: scores by the length of the text."""
-
-    def __call__(self, texts: list[str]) -> pd.DataFrame:
-        n = pd.Series([len(t) for t in texts], dtype="float64")
-        return pd.DataFrame({"negative": (n % 7) / 7, "neutral": (n % 5) / 5, "positive": (n % 3) / 3})
-
-
-LABELS = ["negative", "neutral", "positive"]

@@ -78,6 +78,11 @@ def preprocess(review: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
     return rows.dropDuplicates()
 
 
+def texts(rows: DataFrame, column: str = "text") -> DataFrame:
+    """The texts alone, each once, the longest first."""
+    return rows.select(column).distinct().orderBy(F.desc(F.length(column)), column)
+
+
 def keywords(df: DataFrame, column: str, stop_words: list[str], top: int = 20) -> DataFrame:
     """The most frequent words of a-z, of three letters or more, but the stop words."""
     words = F.split(F.regexp_replace(F.lower(column), "[^a-z\\s]", ""), "\\s+")

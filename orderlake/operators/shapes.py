@@ -50,6 +50,11 @@ def gaps(df: DataFrame, ts: str, unique: str, bucket: str = "day") -> DataFrame:
     return joined.where("prev IS NOT NULL").select(F.col("u").alias(unique), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev").cast("timestamp"))).alias("gap_micros"))
 
 
+def together(frames: list[DataFrame]) -> DataFrame:
+    """What several workers have made, by name; columns that some lack are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def date_range(columns: list[tuple[DataFrame, str]]) -> DataFrame:
     """The least and greatest of many time columns: one aggregate each, then one over their few rows."""
     each = [df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")) for df, c in columns]

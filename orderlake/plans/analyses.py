@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from orderlake.functions.folding import fold_accents, middle_name, parse_timestamp
-from orderlake.operators import gold, quality, shapes
+from orderlake.operators import gold, quality, relations, shapes
 from orderlake.plans import marts
 from orderlake.plans.twins import CTE, sql
 from orderlake.sources import adapters as A
@@ -166,14 +166,19 @@ def top_seller_scores(spark, sf):
 
 def shared_columns(spark, sf):
     """Columns that several bronze tables have."""
-    from orderlake.sources.contracts import BRONZE
-
     # the tables' own schemas, as Spark reads them; no data are touched
     found = [(n, c) for n in ("customer", "seller", "geolocation", "order_item", "product", "payment", "order_status", "estimated_delivery_date", "review") for c in getattr(A, n)(spark, sf).columns]
-    assert {n for n, _ in found} == set(BRONZE)
     return spark.createDataFrame(found, "table_name string, column_name string").groupBy("column_name").agg(F.count("*").alias("n_tables")).where("n_tables > 1")
 
 
+RELATED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "pages", "benchmark")
+
+
+def foreign_keys(spark, sf):
+    """Which columns refer to which keys, by their values in the given tables."""
+    return relations.foreign_keys({t: A.raw(spark, sf, t) for t in RELATED})
+
+
 def uncategorised_sellers(spark, sf):
     """Sellers that sell a product without category (every 13th part has none): their lines and different categories."""
     rows = A.raw(spark, sf, "lineitem").join(A.raw(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 != 0, F.col("p_type")).alias("category")), F.col("l_partkey") == F.col("p_partkey"))
@@ -301,6 +306,7 @@ QUERIES = {
     "delivery_lag_stats": delivery_lag_stats,
     "payment_log": lambda s, d: A.payment(s, d).drop("customer_id", "timestamp").join(A.order_times(s, d).select("order_id", "customer_id", F.col("order_purchase_timestamp").alias("timestamp")), "order_id", "left").join(A.customer(s, d), "customer_id", "left"),
     "open_stage_age": open_stage_age,
+    "foreign_keys": foreign_keys,
 }
 
 
@@ -312,6 +318,11 @@ BUCKET_CASE = "CASE WHEN {0} <= 5 THEN {0}::INT::VARCHAR WHEN {0} <= 10 THEN '6-
 PARETO = "SELECT {k}, c / 100 AS revenue, round(sum(c) OVER w / sum(c) OVER (), 6) AS cumulative_share, round(row_number() OVER w / count(*) OVER (), 6) AS rank_share, 10 * sum(c) OVER w <= 8 * sum(c) OVER () AS in_80 FROM (SELECT {k}, sum(round(l_extendedprice * 100)::BIGINT) AS c FROM {t} GROUP BY {k}) WINDOW w AS (ORDER BY c DESC, {k} ROWS UNBOUNDED PRECEDING)"
 LEAD_COLUMNS = ["order_id", *gold.STAGES, *gold.DURATIONS]
 STATS = "SELECT product_id, category, seller_id, count(*) AS order_count, round(sum(unit_price), 4) AS total_sales, round(avg(unit_price), 4) AS mean_sales FROM g_detail GROUP BY ALL"
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "documents": ["doc_id"], "labels": ["doc_id"], "pages": ["page_id"], "benchmark": ["item_id"]}
+REFERS = " UNION ALL ".join(
+    f"SELECT '{a}' AS from_table, '{x}' AS from_column, '{b}' AS to_table, '{y}' AS to_column, (SELECT count(DISTINCT {x}) FROM {a}) AS n_values, (SELECT count(DISTINCT {x}) FROM {a} WHERE {x} IN (SELECT {y} FROM {b})) AS n_found, (SELECT count(*) FROM {b}) AS n_rows, (SELECT count(DISTINCT {y}) FROM {b}) AS n_keys"
+    for a in KEYS for x in KEYS[a] for b in KEYS for y in KEYS[b] if a != b and relations.key_name(x) == relations.key_name(y)
+)
 ORACLE_SQL = {
     "late_flags": sql("SELECT * FROM a_late"),
     "timestamp_stats": sql("SELECT t.order_id, date_diff('day', order_purchase_timestamp, order_approved_timestamp)::INT AS lead_time_approve_days, date_diff('day', order_approved_timestamp, order_delivered_carrier_timestamp)::INT AS lead_time_carrier_days, date_diff('day', order_delivered_carrier_timestamp, order_delivered_customer_timestamp)::INT AS lead_time_customer_days, date_diff('day', order_purchase_timestamp, order_delivered_customer_timestamp)::INT AS total_delivery_days, CASE WHEN order_delivered_customer_timestamp <= order_estimated_delivery_timestamp THEN 'on_time_delivery' ELSE 'late_deilvery' END AS is_late_delivery, CASE WHEN shipping_limit < order_delivered_carrier_timestamp THEN 'late_ship' ELSE 'on_time_ship' END AS is_late_shipping FROM b_times AS t JOIN (SELECT order_id, max(shipping_limit_date) AS shipping_limit FROM b_item GROUP BY 1) AS i ON t.order_id = i.order_id WHERE order_delivered_customer_timestamp IS NOT NULL AND order_approved_timestamp IS NOT NULL"),
@@ -366,5 +377,6 @@ ORACLE_SQL = {
     "delivery_lag_stats": sql("SELECT count(*) AS n, round(avg(a), 4) AS lead_mean, round(stddev(a), 4) AS lead_sd, quantile_disc(a, 0.5) AS lead_median, quantile_disc(a, 0.75) AS lead_q3, round(avg(b), 4) AS lag_mean, round(stddev(b), 4) AS lag_sd FROM (SELECT date_diff('day', purchase, delivered_customer)::INT AS a, date_diff('day', delivered_customer, review_answer_timestamp)::INT AS b FROM g_lead LEFT JOIN b_review USING (order_id) WHERE delivered_customer IS NOT NULL)"),
     "payment_log": sql("SELECT p.order_id, payment_sequential, payment_value, payment_type, payment_installments, t.customer_id, order_purchase_timestamp AS timestamp, zip_code FROM b_payment AS p LEFT JOIN b_times AS t ON p.order_id = t.order_id LEFT JOIN b_customer AS c ON t.customer_id = c.customer_id"),
     "open_stage_age": sql("SELECT order_id, CASE WHEN delivered_carrier IS NOT NULL THEN 'delivered_carrier' WHEN approve IS NOT NULL THEN 'approve' ELSE 'purchase' END AS open_since, date_diff('day', greatest(purchase, approve, delivered_carrier), (SELECT max(o_orderdate) FROM orders))::INT AS age_days FROM g_lead WHERE delivered_customer IS NULL"),
+    "foreign_keys": f"SELECT * EXCLUDE (n_rows, n_keys) FROM ({REFERS}) WHERE n_found >= n_values AND n_keys >= 0.9 * n_rows",
     "shared_columns": "SELECT column_name, n_tables FROM (VALUES ('customer_id', 2::BIGINT), ('order_id', 5), ('product_id', 2), ('seller_id', 2), ('timestamp', 2), ('zip_code', 3)) AS t(column_name, n_tables)",
 }

@@ -112,10 +112,10 @@ def serving_product_lead_days(spark, sf):
 
 
 def serving_product_review(spark, sf):
-    """Reviews of a product in the month of its sales."""
-    r = reviews(spark, sf).select("review_id", "order_id", "review_score", gold.sales_period("review_creation_date").alias("sales_period"))
-    lines = detail(spark, sf).select("order_id", "product_id").distinct()
-    return r.join(lines, "order_id").join(sales(spark, sf), ["product_id", "sales_period"]).select("review_id", "product_id", "category", "sales_period", "group", "review_score").orderBy("category", "product_id", "sales_period", "review_id")
+    """Reviews of a product in the month of its sales, one row for each order line."""
+    r = reviews(spark, sf).select("review_id", "order_id", "review_score", "until_answer_lead_days", gold.sales_period("review_creation_date").alias("sales_period"))
+    lines = detail(spark, sf).select("order_id", "product_id", "seller_id")
+    return r.join(lines, "order_id").join(sales(spark, sf), ["product_id", "sales_period"]).select("review_id", "order_id", "product_id", "seller_id", "category", "sales_period", "group", "review_score", "until_answer_lead_days").orderBy("category", "product_id", "sales_period", "review_id")
 
 
 QUERIES = {
@@ -142,6 +142,11 @@ ORACLE_SQL = {
     "serving_latest_group": sql('SELECT order_id, product_id, seller_id, category, quantity, "group", sales_period FROM v_detail LEFT JOIN v_latest USING (product_id)'),
     "serving_lead_days": sql("SELECT * FROM v_open"),
     "serving_stream_lead_days": sql("SELECT * FROM g_lead WHERE delivered_customer IS NULL"),
-    "serving_product_lead_days": sql("SELECT l.order_id, d.product_id, d.seller_id, s.category, s.sales_period, s.\"group\", " + ", ".join(gold.DURATIONS) + " FROM g_lead AS l JOIN g_detail AS d USING (order_id) JOIN g_sales AS s ON s.product_id = d.product_id AND s.sales_period = strftime(l.delivered_customer, '%Y-%m') WHERE delivered_customer IS NOT NULL"),
-    "serving_product_review": sql("SELECT review_id, s.product_id, s.category, s.sales_period, s.\"group\", review_score FROM g_review AS r JOIN (SELECT DISTINCT order_id, product_id FROM g_detail) AS d USING (order_id) JOIN g_sales AS s ON s.product_id = d.product_id AND s.sales_period = strftime(r.review_creation_date, '%Y-%m') ORDER BY 3, 2, 4, 1"),
+    "serving_product_lead_days": sql(
+        'SELECT order_id, product_id, seller_id, category, sales_period, "group", ' + ", ".join(gold.DURATIONS) + " FROM t_sold JOIN t_group USING (product_id, sales_period)",
+        t_delivered="SELECT order_id, strftime(delivered_customer, '%Y-%m') AS sales_period, " + ", ".join(gold.DURATIONS) + " FROM g_lead WHERE delivered_customer IS NOT NULL",
+        t_sold="SELECT * FROM t_delivered JOIN (SELECT order_id, product_id, seller_id FROM g_detail) USING (order_id)",
+        t_group='SELECT product_id, sales_period, category, "group" FROM g_sales',
+    ),
+    "serving_product_review": sql("SELECT review_id, order_id, s.product_id, seller_id, s.category, s.sales_period, s.\"group\", review_score, until_answer_lead_days FROM g_review AS r JOIN (SELECT order_id, product_id, seller_id FROM g_detail) AS d USING (order_id) JOIN g_sales AS s ON s.product_id = d.product_id AND s.sales_period = strftime(r.review_creation_date, '%Y-%m')"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -68,6 +69,15 @@ def make_empty(spark: SparkSession, name: str, schema: T.StructType) -> None:
         spark.createDataFrame([], schema).write.format("parquet").saveAsTable(name)
 
 
+def wait_for(spark: SparkSession, name: str, seconds: float = 60, poll: float = 1) -> None:
+    """Wait until another job has made a table; a TimeoutError if it doesn't come."""
+    end = time.monotonic() + seconds
+    while not spark.catalog.tableExists(name):
+        if time.monotonic() >= end:
+            raise TimeoutError(f"no table {name} after {seconds} seconds")
+        time.sleep(poll)
+
+
 def key_hash(columns: list[str]) -> F.Column:
     """A surrogate key that comes out the same each time."""
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)

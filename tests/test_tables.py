@@ -1,11 +1,14 @@
 import random
 
+import oracle
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from orderlake.functions import scoring
-from orderlake.operators import gold, jobs, merge, quality, shapes, silver
+from orderlake.functions import bayes, scoring
+from orderlake.operators import gold, jobs, merge, quality, relations, shapes, silver
+from orderlake.plans import texts
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -266,11 +269,51 @@ def test_running_over_partitions(spark):
 
 
 def test_scores_stay_with_their_rows(spark):
+    class Lengths:
+        def __call__(self, texts):
+            return pd.DataFrame({"n": [float(len(t)) for t in texts]})
+
     df = spark.createDataFrame([(i, "x" * (i % 11)) for i in range(200)] + [(999, None)], "i int, t string")
-    got = scoring.score_distinct(df, "t", scoring.LengthModel, scoring.LABELS, chunk=3)
-    rows = {r["i"]: (r["t"], r["negative"]) for r in got.collect()}
+    got = scoring.score_distinct(df, "t", Lengths, ["n"], chunk=3)
+    rows = {r["i"]: (r["t"], r["n"]) for r in got.collect()}
     assert len(rows) == 201 and rows[999] == (None, None)
-    assert all(abs(n - len(t) % 7 / 7) < 1e-9 for t, n in rows.values() if t is not None)
+    assert all(n == len(t) for t, n in rows.values() if t is not None)
+
+
+def test_held_out_accuracy(spark):
+    """The fitted model tells more held-out documents right than the most frequent label would."""
+    rows = texts.held_out_accuracy(spark, "/root/testdata/sf0.01").collect()
+    right, n = sum(r["n_right"] for r in rows), sum(r["n_rows"] for r in rows)
+    assert n > 80 and right / n >= 0.85 > max(r["n_rows"] for r in rows) / n
+    model = texts.judge(spark, oracle.DATA)()
+    assert model(["", "plain words", None]).shape == (3, 3) and abs(model(["a"]).sum(axis=1)[0] - 1) < 1e-9
+
+
+def test_a_model_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, t string, k string")
+    assert bayes.fit(none, "t", "k", ["a", "b"], "id")(["x"]).iloc[0].tolist() == [0.5, 0.5]
+
+
+def test_foreign_keys_are_counted(spark):
+    a = spark.createDataFrame([(i, i % 7) for i in range(50)], "a_itemkey long, a_ownerkey long")
+    b = spark.createDataFrame([(i, f"n{i}") for i in range(7)], "b_ownerkey long, name string")
+    c = spark.createDataFrame([(i % 3,) for i in range(9)], "c_ownerkey long")  # no key: its values repeat
+    few = spark.createDataFrame([(i,) for i in range(45)], "d_itemkey long")
+    got = {tuple(r) for r in relations.foreign_keys({"a": a, "b": b, "c": c, "few": few}, 0.9).collect()}
+    assert got == {("a", "a_ownerkey", "b", "b_ownerkey", 7, 7), ("c", "c_ownerkey", "b", "b_ownerkey", 3, 3), ("few", "d_itemkey", "a", "a_itemkey", 45, 45), ("a", "a_itemkey", "few", "d_itemkey", 50, 45)}
+    assert relations.foreign_keys({"b": b}).count() == 0
+
+
+def test_waiting_for_a_table(spark):
+    with pytest.raises(TimeoutError):
+        files.wait_for(spark, "never_made", 0.1, 0.05)
+    spark.range(3).createOrReplaceTempView("made_already")
+    files.wait_for(spark, "made_already", 0)
+
+
+def test_outputs_of_workers_come_together(spark):
+    rows = shapes.together([spark.createDataFrame([(1, "a")], "i int, x string"), spark.createDataFrame([(2, 0.5)], "i int, y double")]).orderBy("i").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", None), (2, None, 0.5)]
 
 
 def test_conflicting_labels_fail(spark):
