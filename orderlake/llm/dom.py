@@ -98,6 +98,8 @@ def parse(text: str) -> Node:
                     here = stack[-1][1]
         if tag in BLOCK:
             key, aside = judged(tag, m[3] or m[6] or "")
+            if tag == "header" and any(t == "article" for t, _ in stack):  # an article's own heading
+                aside = judged("div", m[3] or m[6] or "")[1]
             child = Node(tag, key, aside, here)
             here.parts.append(child)
             if tag not in VOID:

@@ -120,3 +120,13 @@ b AS (SELECT *, ((n_words < 50)::INT * 1 + (100 * n_repeat_words > 50 * n_words)
   + (100 * n_dup_lines > 50 * n_lines)::INT * 8 + (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT * 16)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy costs: documents that fail it, and documents that would stay without it."""
+    return ablations(ledger(table(spark, sf_dir, "documents")), "web-2")
+
+
+ABLATIONS_SQL = OP10_SQL[: OP10_SQL.rindex("SELECT doc_id, n_words")] + """SELECT 'web-2' AS policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_regained
+FROM b, (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16)) AS r(rule, bit) GROUP BY rule
+"""

@@ -16,6 +16,7 @@ QUERIES = {
     "op11_prefix_trie": trie.op11_prefix_trie,
     "op12_decontamination": winnowing.op12_decontamination,
     "op13_cross_tokenizer": alignment.op13_cross_tokenizer,
+    "quality_ablations": quality.quality_ablations,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op10_quality_rules": quality.OP10_SQL,
     "op11_prefix_trie": trie.OP11_SQL,
     "op12_decontamination": winnowing.OP12_SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }

@@ -13,6 +13,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps, 16 bytes each.
+KEPT = 1 << 22
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,14 +28,17 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE modulo 2**64 and of its inverse."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    """Powers of BASE modulo 2**64 and of its inverse. Those for slices of common size are kept, those for a longer text aren't."""
+    if "up" in _powers and len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    made, size = {}, max(n, 1 << 20)
+    for name, b in (("up", BASE), ("down", pow(BASE, -1, 2**64))):
+        steps = np.full(size, b, np.uint64)
+        steps[0] = 1
+        made[name] = np.cumprod(steps)
+    if size <= KEPT:
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:

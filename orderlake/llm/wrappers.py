@@ -9,7 +9,8 @@ parts that their element, role, class or id marks as something else. What was ne
 further nodes beside the content root with its label, is content. Statistics are over different pages, told apart by
 their longer texts, so that a group of copies, however large, doesn't make an article template.
 
-A host of fewer than ``LEAST`` pages, or a page that doesn't have the content root, is judged by its own marks alone.
+Any two pages of a host make a wrapper. A host's only page, or a page that doesn't have the content root, is judged by its own
+marks alone.
 
 References are one row per host; they are broadcast after a check of their size, else joined by host and a salt.
 
@@ -30,7 +31,7 @@ from orderlake.llm import dom
 from orderlake.llm.common import cut, table
 from orderlake.llm.vocabulary import chunks
 
-LEAST = 5
+LEAST = 2
 #: Different texts in a hundred pages of a node that is template.
 CONSTANT_PERCENT = 2
 #: The share of a host's slot text that the content root holds, in percent.

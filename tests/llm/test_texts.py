@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import helpers as H
@@ -289,3 +290,43 @@ def test_pipeline_by_hand(spark):
     assert got == +want
     for name, stage in c.STAGES[:-1]:
         assert set(stage(spark, H.clashing(H.docs(spark, [])), oracle.DATA).columns) >= set(c.COLUMNS), name
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, missing doc_ids, clashing columns, through all stages."""
+    import corpus_pipeline as c
+    from orderlake.llm.common import cut
+
+    good = " ".join(f"word{i} of{i * 7}" for i in range(60))
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good + " more"), (5, H.LONG), (6, good.upper()), (7, good + " end"), (8, "too short"), (9, H.LONG.replace("word5 ", "other "))]
+    d = H.clashing(H.docs(spark, rows)).withColumn("source", F.when(F.col("doc_id") == 5, None).otherwise(F.col("source")))
+    stays = {"quality rules": [3, 3, 5, 6, 7, 9, None], "exact dedup": [3, 3, 5, 7, 9, None], "n-gram Jaccard join": [3, 3, 5, None]}
+    for name, stage in c.STAGES[:-1]:
+        d = cut(stage(spark, d, oracle.DATA))
+        assert d.columns == c.COLUMNS
+        got = [r["doc_id"] for r in d.collect()]
+        if name in stays:
+            assert sorted(got, key=lambda x: (x is None, x or 0)) == stays[name], name
+        else:
+            assert set(got) <= {3, 5, None} and got.count(3) % 2 == 0
+    assert c.STAGES[-1][1](spark, d, oracle.DATA).count() == d.count()
+
+
+def stripped(page):
+    """Without what names the parts: article, main, class, id and role."""
+    return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(article|main)\b", r"<\1div", page, flags=re.I), flags=re.I)
+
+
+def test_two_pages_of_a_host_make_a_wrapper(spark):
+    """On hosts of two pages or more, the texts are those of the pages without any names."""
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    several = pages.join(pages.groupBy(wrappers.host().alias("h")).count().where("count > 1"), wrappers.host() == F.col("h")).select("page_id", "url", "html")
+    rows = several.collect()
+    bare = spark.createDataFrame([(r["page_id"], r["url"], stripped(r["html"])) for r in rows], several.schema)
+    assert len(rows) > 200 and H.collected(wrappers.extract(bare), "page_id", "text") == H.collected(wrappers.extract(several), "page_id", "text")
+
+
+def test_an_articles_own_header_is_kept():
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Headline</h1></header><p>x y</p><footer>tags</footer></article><article class='comment'><header>Bob</header></article></body>"
+    assert wrappers.main_text(page, None, None) == "Headline\nx y"
+    assert wrappers.main_text(page.replace("<article><header", "<article><header class='share'"), None, None) == "x y"
