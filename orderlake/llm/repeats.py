@@ -7,10 +7,11 @@
    and one of each repeated context, are left to compare where a string is anchor in several contexts.
 3. Those contexts are read from the texts and dealt by their anchor's string. Aligned on their anchors and cut in blocks
    of ``STRIDE`` bytes, they make the symbols of a text, whose suffix array puts suffixes that share ``FULL`` blocks side
-   by side; every repeated window holds so many. Among such neighbours, windows are compared by their own hashes.
+   by side; every repeated window holds so many. Among such neighbours, windows are put in order by their own hashes, and
+   those side by side are repeated where they have ``WINDOW`` bytes in common.
 4. A document's spans are joined and its bytes outside them kept.
 
-All hashes have 64 bits, and windows are held equal on two of them, independent of each other.
+All hashes have 64 bits. Whole contexts are held equal on two of them, independent of each other, windows on their bytes.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing; every row is a text of its own, also those
 that repeat an id or have none (rows are told apart by a 64-bit hash of id and text, which repeated rows share); a cut inside a character leaves its other bytes,
@@ -162,6 +163,21 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.dropDuplicates(["id"]).join(lists, "id").mapInArrow(run, "anchor long, id long, place int, left int, bytes binary")
 
 
+def common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    """Whether rows a and b have a window's bytes in common from a start on; bytes are compared once for each pair of rows."""
+    pair, which = np.unique(a * len(rows) + b, return_inverse=True)
+    order, out = np.argsort(which, kind="stable"), np.zeros(len(a), bool)
+    ends = np.searchsorted(which[order], np.arange(0, len(pair) + at_once, at_once))
+    for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        some = pair[k * at_once : (k + 1) * at_once]
+        differ = np.zeros((len(some), SPAN + 1), np.int16)
+        np.cumsum(rows[some // len(rows)] != rows[some % len(rows)], axis=1, out=differ[:, 1:])
+        mine = order[lo:hi]
+        r, s = which[mine] - k * at_once, start[mine]
+        out[mine] = differ[r, s + WINDOW] == differ[r, s]
+    return out
+
+
 def repeated_windows(anchor: np.ndarray, left: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first and last start (from LEFT before the anchor) of the windows that another row of the same anchor has at
     the same place."""
@@ -208,6 +224,8 @@ def repeated_windows(anchor: np.ndarray, left: np.ndarray, texts: list[bytes]) -
     sort = np.lexsort((h2, h1, starts, anchor[row]))
     row, starts, h1, h2 = row[sort], starts[sort], h1[sort], h2[sort]
     equal = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1]) & (starts[1:] == starts[:-1]) & (anchor[row[1:]] == anchor[row[:-1]])
+    near = np.flatnonzero(equal)
+    equal[near] = common(rows, row[near], row[near + 1], starts[near])
     hit = np.zeros(len(row), bool)
     hit[1:] |= equal
     hit[:-1] |= equal
