@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from orderlake.operators import gold, quality, silver
 from orderlake.plans.twins import CTE, sql
 from orderlake.sources import adapters as A
+from orderlake.sources.paths import written
 
 CTE |= {
     "s_geo": "SELECT DISTINCT zip_code, lat, lng FROM b_geo WHERE lat BETWEEN -33.69111 AND 2.81972 AND lng BETWEEN -72.89583 AND -34.80861",
@@ -73,7 +74,7 @@ def part_of(df: DataFrame, which: str, key: str = "order_id") -> DataFrame:
 
 def serving_locations(spark, sf):
     """Where the buyers and sellers of each order are, batch first."""
-    d = detail(spark, sf)
+    d = written(detail(spark, sf), "detail")
     both = gold.batch_first(part_of(d, "batch"), part_of(d, "stream"), ["order_id", "product_id", "seller_id"])
     who = both.select("order_id", F.lit("customer").alias("user_type"), F.col("customer_id").alias("user_id")).unionByName(both.select("order_id", F.lit("seller").alias("user_type"), F.col("seller_id").alias("user_id"))).distinct()
     where = locations(spark, sf)
@@ -88,7 +89,7 @@ def stream_locations(spark, sf):
 
 def serving_latest_group(spark, sf):
     """Order lines, batch first, with their product's group of the latest month; ties of months are kept."""
-    d = detail(spark, sf)
+    d = written(detail(spark, sf), "detail")
     both = gold.batch_first(part_of(d, "batch"), part_of(d, "stream"), ["order_id", "product_id", "seller_id"])
     ranked = sales(spark, sf, lines=d).withColumn("rnk", F.rank().over(W.partitionBy("product_id").orderBy(F.desc("sales_period")))).where("rnk = 1").select("product_id", "group", "sales_period")
     return both.join(ranked, "product_id", "left").select("order_id", "product_id", "seller_id", "category", "quantity", "group", "sales_period")
@@ -96,7 +97,7 @@ def serving_latest_group(spark, sf):
 
 def serving_lead_days(spark, sf):
     """Orders not delivered yet, batch first."""
-    lead = lead_days(spark, sf)
+    lead = written(lead_days(spark, sf), "lead-days")
     return gold.open_orders(part_of(lead, "batch"), part_of(lead, "stream"))
 
 
@@ -105,7 +106,7 @@ def stream_undelivered(spark, sf):
 
 
 def serving_product_lead_days(spark, sf):
-    lead, lines = lead_days(spark, sf), detail(spark, sf)
+    lead, lines = written(lead_days(spark, sf), "lead-days"), written(detail(spark, sf), "detail")
     sold = sales(spark, sf, lead, lines)
     lead = lead.where("delivered_customer IS NOT NULL").withColumn("sales_period", gold.sales_period("delivered_customer"))
     return lead.join(lines.select("order_id", "product_id", "seller_id"), "order_id").join(sold.select("product_id", "sales_period", "group", "category"), ["product_id", "sales_period"]).select("order_id", "product_id", "seller_id", "category", "sales_period", "group", *gold.DURATIONS)

@@ -144,19 +144,30 @@ def stream_open_stages(spark, sf):
 
 
 def stream_merge_matches_batch(spark, sf):
-    """Micro-batches of order events merged into the lead-days mart. Each is committed once, as the rows that it changes; the
-    reader merges them, so that no micro-batch rewrites the mart, and a restart finds everything in the table's log."""
+    """Micro-batches of order events merged into the lead-days mart, each once: what a batch knows of an order fills in the
+    order's row, in the files that hold it. Every so many batches the mart is compacted, and older states expire."""
     folder = fresh(spark, "event-files")
     events = zoned(silver.order_events(A.order_status(spark, sf), A.estimated_delivery_date(spark, sf), A.order_item(spark, sf)), "timestamp")
     events.write.parquet(folder)
     wide = lambda rows: gold.order_lead_days(rows).select("order_id", *gold.STAGES)
-    mart = snapshots.Table(spark, fresh(spark, "mart"), wide(events).withColumn("batch", F.lit(0).cast("long")).schema)
+    mart = snapshots.Table(spark, fresh(spark, "mart"), wide(events).schema)
 
     def merge_in(batch, number):
-        mart.commit(wide(batch).withColumn("batch", F.lit(number)), "2024-01-01 00:00:00", "stream_merge", number)
+        batch.persist()
+        try:
+            jobs.merge_changes(mart, lambda: wide(batch), ["order_id"], lambda t, s: merge.coalesce(t, s, ["order_id"]), "2024-01-01 00:00:00", "stream_merge", number)
+        finally:
+            batch.unpersist()
+        if number % 4 == 3:
+            tidied(mart)
 
     start(folder_stream(spark, folder, events.schema, 2), "stream_merge", each=merge_in).awaitTermination()
-    return unzoned(gold.durations(merge.latest(mart.read(), ["order_id"], "batch")))
+    return unzoned(gold.durations(mart.read()))
+
+
+def tidied(mart: snapshots.Table) -> None:
+    """A mart in few files, without its older states: what its readers open stays bounded while a stream runs."""
+    mart.expire(snapshots.retried(lambda: mart.compact(mart.last(), "2024-01-01 00:00:00")))
 
 
 def stream_chain(spark, sf):
@@ -277,7 +288,7 @@ def detail_sink(mart: snapshots.Table, every: int = 2):
         finally:
             batch.unpersist()
         if number % every == every - 1:
-            mart.expire(snapshots.retried(lambda: mart.compact(mart.last(), "2024-01-01 00:00:00")))
+            tidied(mart)
 
     return merge_in
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{os.urandom(8).hex()}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame by way of a table in the shared folder, for one that several parts of a plan read: it is made once."""
+    df.write.parquet(path := fresh(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
