@@ -195,3 +195,15 @@ def test_split_of_contexts(spark, monkeypatch):
     texts = texts_with_repeats(3)
     got = H.collected(repeats.removed(H.docs(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == H.repeats(list(enumerate(texts)))
+
+
+def test_bytes_decide_between_neighbours():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(97, 100, (120, repeats.SPAN)).astype(np.uint8)
+    for i in range(1, 120, 2):
+        rows[i] = rows[i - 1]
+        rows[i, rng.integers(0, repeats.SPAN)] = 50
+    a, starts = np.repeat(np.arange(119), 169), np.tile(np.arange(169), 119)
+    want = [(rows[x, s : s + 200] == rows[x + 1, s : s + 200]).all() for x, s in zip(a, starts)]
+    assert any(want) and repeats.common(rows, a, a + 1, starts, 50).tolist() == want
+    assert not len(repeats.common(rows, a[:0], a[:0], starts[:0]))
