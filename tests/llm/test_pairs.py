@@ -3,6 +3,7 @@
 import random
 
 import helpers as H
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -49,7 +50,7 @@ def test_chain_across_a_group(spark):
 
 def test_forests_in_blocks(monkeypatch):
     """A tile of near sets gives a pair while one is open, fewer than it has sets for a forest, however it is cut in blocks."""
-    import numpy as np
+
 
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
@@ -106,7 +107,7 @@ def test_classes_odd_rows(spark):
 
 
 def test_bound_is_never_below(spark):
-    import numpy as np
+
 
     rng = np.random.default_rng(4)
     for _ in range(300):
