@@ -9,7 +9,7 @@ from orderlake.plans import streams
 from orderlake.sources import snapshots
 from orderlake.sources.paths import fresh
 from orderlake.streaming.lead_state import OPEN, SIXTY_DAYS, STEP_SECONDS, days, timeline
-from orderlake.streaming.sources import drain, folder_stream, start, supervise
+from orderlake.streaming.sources import drain, folder_stream, log_stream, start, supervise
 from orderlake.streaming.supervise import Supervisor, watched
 
 SCHEMA = "order_id string, data_type string, timestamp timestamp"
@@ -217,5 +217,30 @@ def test_supervisor_reports_and_raises(spark):
         supervise(spark, [bad], 1, said.append)
 
 
+def test_log_source_asks_for_what_it_must(spark):
+    """The Kafka reader's options, taken down by a stand-in, as the package isn't here: all topics, from the start, so many
+    offsets at a time, and lost data don't stop it."""
+
+    class Reader:
+        def __init__(self):
+            self.kind, self.options = None, {}
+
+        def format(self, kind):
+            self.kind = kind
+            return self
+
+        def option(self, name, value):
+            self.options[name] = value
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(b"k", b"v", "t", 3)], "key binary, value binary, topic string, offset long")
+
+    reader = Reader()
+    rows = log_stream(type("Session", (), {"readStream": reader}), "host:1", ["a", "b"], 7)
+    assert reader.kind == "kafka" and rows.columns == ["key", "value", "topic"]
+    assert reader.options == {"kafka.bootstrap.servers": "host:1", "subscribe": "a,b", "startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": 7}
+
+
 def test_console(spark):
     start(files(spark, [("a", "purchase", day(0))]), "console_out", console=True).awaitTermination()
