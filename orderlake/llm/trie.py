@@ -10,7 +10,7 @@ Each node belongs to its smallest member, and what a conversation owns is the en
 sums over members of what each owns, less what the owner has above, and a second ROLLUP, over owners alone, gives them
 without a pass for each depth.
 
-Turn numbers are ranked in segments of 64 and their totals, so a long conversation is dealt over many tasks. Identifiers of
+Turn numbers are ranked, and blocks summed up, in segments of 64 and their totals, so a long conversation is dealt over many tasks. Identifiers of
 members that end at a node are joined in stretches of 512 and digested one stretch after another.
 
 Defined results: null role or text counts as empty; null turns come first; turns with equal numbers go by their
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from orderlake.llm.common import cut, table
 
-#: Columns of a block; turn numbers of a segment; identifiers of a stretch.
+#: Columns of a block; turn numbers, or blocks, of a segment; identifiers of a stretch.
 WIDTH, SEGMENT, STRETCH = 8, 64, 512
 WORD = r"[^\x20\x09-\x0D]+"
 NODE = ["depth", "x", "y"]
@@ -82,13 +82,20 @@ def blocks(turns: DataFrame, convs: DataFrame) -> DataFrame:
         x, y = part(F.col("b") * WIDTH + j + 1, c)
         sums = [sums[0].bitwiseXOR(x), sums[1].bitwiseXOR(y), sums[2] + F.coalesce(F.col(f"{c}.w"), F.lit(0))]
     rows = rows.withColumns({"px": sums[0], "py": sums[1], "pw": sums[2]})
-    along = W.partitionBy("conv_id").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("conv_id")
-    before = lambda f, c: F.coalesce(f(c).over(along), F.lit(0).cast("long"))
-    return rows.select(
-        "conv_id", "b", *COLUMNS, before(F.bit_xor, "px").alias("kx"), before(F.bit_xor, "py").alias("ky"), before(F.sum, "pw").alias("before"),
-        F.sum("pw").over(whole).alias("total"), F.coalesce(F.sum("k").over(whole), F.lit(0)).alias("n"), F.bit_xor("px").over(whole).alias("ex"), F.bit_xor("py").over(whole).alias("ey"),
+    # running sums in two levels: within segments of blocks, and over the segments' totals
+    rows = rows.withColumn("s", F.floor(F.col("b") / SEGMENT))
+    sums = rows.groupBy(F.col("conv_id").alias("c"), "s").agg(F.bit_xor("px").alias("sx"), F.bit_xor("py").alias("sy"), F.sum("pw").alias("sw"), F.sum("k").alias("sk"))
+    inside = W.partitionBy("conv_id", "s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    along, whole = W.partitionBy("c").orderBy("s").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("c")
+    zero = F.lit(0).cast("long")
+    before = lambda f, c, w: F.coalesce(f(c).over(w), zero)
+    sums = sums.select(
+        "c", F.col("s").alias("cs"), before(F.bit_xor, "sx", along).alias("bx"), before(F.bit_xor, "sy", along).alias("by"), before(F.sum, "sw", along).alias("bw"),
+        F.bit_xor("sx").over(whole).alias("ex"), F.bit_xor("sy").over(whole).alias("ey"), F.sum("sw").over(whole).alias("total"), F.coalesce(F.sum("sk").over(whole), zero).alias("n"),
     )
+    rows = rows.withColumns({"ix": before(F.bit_xor, "px", inside), "iy": before(F.bit_xor, "py", inside), "iw": before(F.sum, "pw", inside)})
+    rows = rows.join(sums, (F.col("conv_id") == F.col("c")) & (F.col("s") == F.col("cs")))
+    return rows.select("conv_id", "b", *COLUMNS, F.col("ix").bitwiseXOR(F.col("bx")).alias("kx"), F.col("iy").bitwiseXOR(F.col("by")).alias("ky"), (F.col("iw") + F.col("bw")).alias("before"), "total", "n", "ex", "ey")
 
 
 def rolled(rows: DataFrame, sums: str) -> DataFrame:

@@ -70,6 +70,25 @@ def test_trie_equals_plain_version(spark):
     assert found(spark, rows) == trie_of(conversations(rows))
 
 
+def test_trie_of_very_long_conversations(spark):
+    """Over several segments of blocks: two that part late, and one that ends in between."""
+    rows = [(c, t, "user", f"turn {t}" if t < 1100 or c == 0 else f"other {t}") for c in (0, 1) for t in range(1300)] + [(2, t, "user", f"turn {t}") for t in range(900)]
+    got = found(spark, rows)
+    own = {c: [("user", x[3]) for x in rows if x[0] == c] for c in (0, 1, 2)}
+    members = collections.defaultdict(list)
+    key = {c: ["" for _ in t] for c, t in own.items()}
+    for c, t in own.items():
+        h = hashlib.sha256()
+        for d, x in enumerate(t):
+            h.update(repr(x).encode())
+            key[c][d] = h.hexdigest()
+        for d in range(len(t) + 1):
+            members[d, key[c][d - 1] if d else ""].append(c)
+    assert sorted((x[0], x[1], x[3]) for x in got) == sorted((min(m), d, len(m)) for (d, _), m in members.items())
+    root = next(x for x in got if x[1] == 0)
+    assert root[4:7] == (1, 2, sum((len(m) - 1) * 2 for (d, _), m in members.items() if d))
+
+
 def test_trie_of_copies_and_of_nothing(spark):
     rows = [(c, t, "user", f"turn {t}") for c in range(1200) for t in range(5)] + [(5, 4, "user", "turn 4")]
     got = found(spark, rows)
