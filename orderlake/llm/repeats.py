@@ -9,9 +9,12 @@
    of ``STRIDE`` bytes, they make the symbols of a text, whose suffix array puts suffixes that share ``FULL`` blocks side
    by side; every repeated window holds so many. Among such neighbours, windows are put in order by their own hashes, and
    those side by side are repeated where they have ``WINDOW`` bytes in common.
+   An anchor with very many contexts, as at the edges of a passage that many documents share, isn't left to one task: its
+   windows are dealt by their two hashes instead, and those that are counted twice are repeated.
 4. A document's spans are joined and its bytes outside them kept.
 
-All hashes have 64 bits. Whole contexts are held equal on two of them, independent of each other, windows on their bytes.
+All hashes have 64 bits. Whole contexts, and windows of anchors with very many, are held equal on two of them,
+independent of each other, other windows on their bytes.
 
 Defined results: a null text counts as empty; texts under 200 bytes lose nothing; every row is a text of its own, also those
 that repeat an id or have none (rows are told apart by a 64-bit hash of id and text, which repeated rows share); a cut inside a character leaves its other bytes,
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orderlake.llm.anchors import LEFT, OTHER, WINDOW, anchors, spans, sums
-from orderlake.llm.common import cut, table
+from orderlake.llm.common import among, cut, table
 from orderlake.llm.jaccard import utf8
 from orderlake.llm.vocabulary import chunks
 from orderlake.llm.shingles import BYTES, mix
@@ -40,6 +43,8 @@ SPAN = LEFT + WINDOW
 BLOCKS, FULL = SPAN // STRIDE, (WINDOW - STRIDE + 1) // STRIDE
 #: Contexts of one suffix array, unless one anchor has more.
 AT_ONCE = 4096
+#: Contexts of an anchor beyond which its windows are dealt over tasks by their own hashes.
+MANY = 16_384
 
 
 def anchored(docs: DataFrame) -> DataFrame:
@@ -163,6 +168,16 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.dropDuplicates(["id"]).join(lists, "id").mapInArrow(run, "anchor long, id long, place int, left int, bytes binary")
 
 
+def laid_out(left: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts as rows of SPAN bytes, their anchors at LEFT, and where each begins and ends in its row."""
+    rows = np.zeros((len(texts), SPAN), np.uint8)
+    begin = LEFT - left
+    end = begin + np.array([len(t) for t in texts], np.int64)
+    column = np.arange(SPAN)
+    rows[(column >= begin[:, None]) & (column < end[:, None])] = np.frombuffer(b"".join(texts), np.uint8)
+    return rows, begin, end
+
+
 def common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, start: np.ndarray, at_once: int = 8192) -> np.ndarray:
     """Whether rows a and b have a window's bytes in common from a start on; bytes are compared once for each pair of rows."""
     pair, which = np.unique(a * len(rows) + b, return_inverse=True)
@@ -182,12 +197,7 @@ def repeated_windows(anchor: np.ndarray, left: np.ndarray, texts: list[bytes]) -
     """Row, first and last start (from LEFT before the anchor) of the windows that another row of the same anchor has at
     the same place."""
     n, none = len(texts), np.zeros(0, np.int64)
-    rows = np.zeros((n, SPAN), np.uint8)
-    begin = LEFT - left
-    length = np.array([len(t) for t in texts], np.int64)
-    end = begin + length
-    column = np.arange(SPAN)
-    rows[(column >= begin[:, None]) & (column < end[:, None])] = np.frombuffer(b"".join(texts), np.uint8)
+    rows, begin, end = laid_out(left, texts)
     flat = rows.reshape(-1)
     one = sums(flat, BYTES)
     base = np.arange(n)[:, None] * SPAN
@@ -262,6 +272,34 @@ def compared(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "id long, lo long, hi long")
 
 
+def windows(found: DataFrame) -> DataFrame:
+    """anchor, start, h1, h2, id, place: every window of contexts, with its two hashes and its place in the context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "bytes", 400_000):
+                rows, begin, end = laid_out(part.column("left").to_numpy().astype(np.int64), part.column("bytes").to_pylist())
+                starts = np.arange(LEFT + 1)
+                row, start = np.nonzero((starts >= begin[:, None]) & (starts + WINDOW <= end[:, None]))
+                flat, at = rows.reshape(-1), row * SPAN + start
+                hashes = [spans(sums(flat, values), at, at + WINDOW).view(np.int64) for values in (BYTES, OTHER)]
+                some = part.select(["anchor", "id", "place"]).take(pa.array(row))
+                yield pa.record_batch([some.column("anchor"), pa.array(start.astype(np.int32)), *map(pa.array, hashes), some.column("id"), some.column("place")], ["anchor", "start", "h1", "h2", "id", "place"])
+
+    return found.select("anchor", "id", "place", "left", "bytes").mapInArrow(run, "anchor long, start int, h1 long, h2 long, id long, place int")
+
+
+def dealt(found: DataFrame) -> DataFrame:
+    """As ``compared``, for anchors with very many contexts: windows are counted by their hashes, each task's own first, and
+    those that are there twice come back to their contexts by a join that Spark can split."""
+    each = windows(found)
+    keys = ["anchor", "start", "h1", "h2"]
+    twice = each.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    own = each.join(twice, keys, "left_semi").groupBy("id", "place").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    lo = F.col("place").cast("long") - LEFT
+    return own.select("id", (lo + F.col("a")).alias("lo"), (lo + F.col("b") + WINDOW).alias("hi"))
+
+
 def joined(spans_: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     """The union of spans, within 0 to n, as maximal runs."""
     out: list[list[int]] = []
@@ -274,20 +312,27 @@ def joined(spans_: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """One row per input row: id, spans (array of lo, hi in bytes; maximal runs to remove), bytes (the whole text)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.xxhash64(F.col(id_col), t).alias("id"), F.col(id_col).cast("long").alias("doc"), t.alias("t"))
     found = cut(sorted_out(anchored(docs.drop("doc"))))
     wholes = found.where("whole").select("id", (F.col("place") - LEFT).cast("long").alias("lo"), (F.col("place") + WINDOW).cast("long").alias("hi"))
-    some = cut(compared(contexts(docs.drop("doc"), found.where("anchor IS NOT NULL").select("anchor", "id", "place"))))
+    wanted, texts = found.where("anchor IS NOT NULL").select("anchor", "id", "place"), docs.drop("doc")
+    often = cut(wanted.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > many).select("anchor"))
+    if often.isEmpty():
+        some = cut(compared(contexts(texts, wanted)))
+    else:
+        hot = cut(wanted.join(often, "anchor", "left_semi"))
+        some = compared(contexts(texts, wanted.join(often, "anchor", "left_anti")))
+        some = cut(some.unionByName(dealt(cut(contexts(among(texts, hot), hot)))))
     lists = wholes.unionByName(some).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     return docs.join(lists, "id", "left").select(F.col("doc").alias("id"), "t", "found")
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    rows = repeats(df, id_col, text_col)
+    rows = repeats(df, id_col, text_col, many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -208,3 +208,15 @@ def test_bytes_decide_between_neighbours():
     want = [(rows[x, s : s + 200] == rows[x + 1, s : s + 200]).all() for x, s in zip(a, starts)]
     assert any(want) and repeats.common(rows, a, a + 1, starts, 50).tolist() == want
     assert not len(repeats.common(rows, a[:0], a[:0], starts[:0]))
+
+
+@pytest.mark.parametrize("many", [0, 5, 10**6])
+def test_anchors_with_many_contexts_are_dealt_by_windows(spark, many):
+    """A passage with other neighbours in every text: its edges' anchors have a context for each of them."""
+    rng = random.Random(11)
+    word = lambda n: " ".join(f"{rng.randrange(10**9):x}" for _ in range(n))
+    passage, other = word(60), word(30)
+    texts = [f"{word(40)} {passage} {word(40)}" for _ in range(25)] + [f"{word(10)} {passage[:300]} {word(30)} {other}" for _ in range(8)] + [other, passage[:199], passage[:200], word(50), None, f"{other} é {passage}"]
+    rows = list(enumerate(texts))
+    got = repeats.removed(H.clashing(H.docs(spark, texts)).repartition(5), many=many)
+    assert H.collected(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.repeats(rows)
