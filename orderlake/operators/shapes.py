@@ -21,6 +21,12 @@ def several(df: DataFrame, key: list[str], value: str, out: str = "n_values") ->
     return df.groupBy(*key).agg(F.count_distinct(value).alias(out)).where(F.col(out) > 1)
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double rounded as a double: scaled first, and then to a whole number, halves away from zero. ``round`` with places goes by the
+    decimal digits that a double prints, so that ties fall otherwise than in SQL engines that scale."""
+    return F.round(c * F.lit(10.0**places), 0) / F.lit(10.0**places)
+
+
 def best(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")

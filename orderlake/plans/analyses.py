@@ -277,7 +277,7 @@ QUERIES = {
     "quantity_pivot": quantity_pivot,
     "dedup_subset": lambda s, d: shapes.best(A.order_item_plain(s, d), ["order_id", "product_id"], [F.asc("order_item_id"), F.asc("freight_value"), F.asc("seller_id")]),
     "dedup_full_row": lambda s, d: A.order_item_plain(s, d).select("order_id", "product_id", "seller_id", "price").dropDuplicates(),
-    "price_variants": lambda s, d: shapes.several(A.raw(s, d, "lineitem").select("l_partkey", F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("p")), ["l_partkey"], "p", "n_prices"),
+    "price_variants": lambda s, d: shapes.several(A.raw(s, d, "lineitem").select("l_partkey", shapes.rounded(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("p")), ["l_partkey"], "p", "n_prices"),
     "label_conflicts": lambda s, d: shapes.several(A.raw(s, d, "labels").join(A.raw(s, d, "documents"), "doc_id"), ["source"], "quality", "n_labels"),
     "multi_review_orders": lambda s, d: shapes.several(A.review(s, d).withColumn("order_id", (F.col("order_id").cast("long") / 3).cast("long")), ["order_id"], "review_id", "n_reviews"),
     "late_rate_by_score": late_rate_by_score,

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import oracle
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlake.functions import bayes, scoring
 from orderlake.operators import gold, jobs, merge, quality, relations, shapes, silver
-from orderlake.plans import texts
+from orderlake.plans import analyses, texts
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -384,3 +385,12 @@ def test_merge_into_again_after_another_writer(spark, monkeypatch):
 
     assert jobs.merge_into(t, lambda: spark.range(90, 91), how, DAYS[2]) == 3
     assert ids(t.read()) == [0, 1, 2, 70, 90]
+
+
+def test_prices_are_rounded_as_in_sql(spark, tmp_path):
+    """77710.15 / 14 and 5550.73 are one price in SQL, which scales doubles before it rounds; by their digits they were two."""
+    rows = [(1, 77710.15, 14.0), (1, 5550.73, 1.0), (2, 74953.18, 4.0), (2, 18738.30, 1.0), (3, -77710.15, 14.0), (3, -5550.73, 1.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_extendedprice double, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    want = con.sql(analyses.ORACLE_SQL["price_variants"].replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
+    assert [tuple(r) for r in analyses.QUERIES["price_variants"](spark, str(tmp_path)).collect()] == want == [(2, 2)]
