@@ -91,6 +91,18 @@ def test_timeouts_are_as_many_as_the_clock_says(spark, until, ticks):
     assert seen["b"][-1]["open_seconds"] == ticks * 7200 and seen["b"][-1]["approval_to_carrier_days"] == ticks * 7200 // 86400
 
 
+def test_orders_of_a_bucket_keep_their_own_clocks(spark):
+    """Orders share states, as many as there are buckets; each has its own timeouts and expiry, also where others of its bucket have events."""
+    orders = [(f"o{k}", "purchase", day(k)) for k in range(10)]
+    stream = logged(spark, orders, [("mark", "purchase", day(75))], [("mark", "approve", day(300))])
+    said = {}
+    updates = timeline(stream, "first", STEP_SECONDS, 86_400_000, SIXTY_DAYS, "event", seconds=True, buckets=1)
+    watch = watched(spark, lambda: said.update(last_states(spark, updates, "shared")))
+    assert max(watch.state_rows["shared"]) == 1
+    assert all([r["open_seconds"] for r in said[f"o{k}"]] == [0, (15 - k) * 7200, 60 * 7200] for k in range(10))
+    assert said["mark"][-1]["purchase_to_approval_days"] == 225
+
+
 def test_a_query_goes_on_after_failures(spark):
     """Two topics: one fails in the middle of a batch, after its commit, and comes back from its checkpoint; nothing is twice."""
     folders, tables, left, said = {}, {}, {"one": 2, "two": 0}, []
