@@ -112,14 +112,26 @@ def stream_union_events(spark, sf):
 
 
 def event_log(spark, sf):
-    """Order events as a log that takes each in at its own time: a file for each year, a year for each micro-batch, so that the
-    watermark moves on with them."""
+    """Order events as a log that takes each in at its own time: so many files for each year, a year for each micro-batch, so that
+    the watermark moves on with them."""
     rows = zoned(silver.order_events(A.order_status(spark, sf), A.estimated_delivery_date(spark, sf), A.order_item(spark, sf)), "timestamp").withColumn("ingest_time", F.col("timestamp"))
     rows.withColumn("year", F.year("ingest_time")).write.partitionBy("year").parquet(staged := fresh(spark, "events-by-year"))
     table, folder = spark.read.parquet(staged), fresh(spark, "event-log")
-    for r in table.select("year").distinct().orderBy("year").collect():  # years
-        table.where(F.col("year") == r["year"]).select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
-    return folder_stream(spark, folder, rows.schema, 1).withWatermark("ingest_time", "60 days")
+    years = table.where("year IS NOT NULL").groupBy("year").agg(F.count("*").alias("n")).orderBy("year").collect()  # years
+    files = files_each([r["n"] for r in years])
+    for r in years:
+        table.where(F.col("year") == r["year"]).select(*rows.columns).repartition(files).write.mode("append").parquet(folder)
+    return folder_stream(spark, folder, rows.schema, files).withWatermark("ingest_time", "60 days")
+
+
+#: Rows of a file of the logs that queries here write, and the fewest of them.
+FILE_ROWS, FEWEST = 500_000, 1000
+
+
+def files_each(sizes: list[int]) -> int:
+    """Into how many files each of several micro-batches of these sizes is dealt, the same for all, so that a trigger of that many files
+    is one micro-batch: as many as the largest needs, but no more than leave the smallest so many rows a file that none is empty."""
+    return max(1, min(-(-max(sizes, default=0) // FILE_ROWS), min(sizes, default=0) // FEWEST))
 
 
 def last_rows(spark, updates, name: str):

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import oracle
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,15 @@ def test_log_source_asks_for_what_it_must(spark):
 
 def test_console(spark):
     start(files(spark, [("a", "purchase", day(0))]), "console_out", console=True).awaitTermination()
+
+
+def test_a_year_of_the_log_is_one_micro_batch_in_any_number_of_files(spark, monkeypatch):
+    assert streams.files_each([10_000_000, 3_000_000]) == 20 and streams.files_each([9_000_000, 3500]) == 3 and streams.files_each([500, 20]) == 1
+    monkeypatch.setattr(streams, "FILE_ROWS", 300)
+    monkeypatch.setattr(streams, "FEWEST", 100)
+    years = []
+    start(streams.event_log(spark, oracle.DATA), "years", each=lambda b, _: years.append((b.select(F.spark_partition_id()).distinct().count(), [r[0] for r in b.select(F.year("ingest_time")).distinct().collect()]))).awaitTermination()
+    assert all(len(y) == 1 for _, y in years if y) and len([y for _, y in years if y]) == len({y[0] for _, y in years if y}) >= 7
+    monkeypatch.undo()
+    monkeypatch.setattr(streams, "FEWEST", 100)
+    oracle.assert_same(spark, streams.stream_open_stages, streams.ORACLE_SQL["stream_open_stages"])
