@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from orderlake.operators import merge
@@ -88,24 +89,41 @@ def merge_into(target: Table, rows: Callable[[], DataFrame], how: Callable[[Data
 
 def merge_changes(target: Table, rows: Callable[[], DataFrame], on: list[str], how: Callable[[DataFrame, DataFrame], DataFrame], at: str, app: str = "", batch: int | None = None, tries: int = 5) -> int:
     """Merge a frame into a table by its key, as ``how(target, source)`` says, and rewrite only the data files that hold one of
-    its keys. Rows that become what they were are kept, so that readers of changes see the others alone. Conflicts and the
-    result as ``merge_into``; a batch of an app is merged once."""
+    its keys. Rows that become what they were are kept, so that readers of changes see the others alone. The source, the rows of
+    the files, and what each row becomes are made once and held on disk meanwhile. Conflicts and the result as ``merge_into``; a batch of
+    an app is merged once."""
 
     def once() -> int:
         lines = target.lines()
         if batch is not None and (done := target.done(lines, app, batch)):
             return done
         number = lines[-1]["commit_id"] if lines else 0
-        source = rows()
-        keys, files = source.select(*on).dropna().distinct(), target.files(number, lines)
-        at_file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1)
-        found = target.rows(files).select(*on, at_file.alias("__file")).join(keys, on, "left_semi").select("__file").distinct().collect() if files else []  # data files
-        gone = sorted({f for f in files if f.removeprefix("data/") in {r["__file"] for r in found}})
-        part = target.rows(gone)
-        mine = part.join(keys, on, "left_semi").select(*part.columns)
-        merged = how(mine, source.select(*part.columns)).select(*part.columns)
-        new = merged.exceptAll(mine)
-        kept = part.join(keys, on, "left_anti").select(*part.columns).unionByName(merged.exceptAll(new))
-        return target.rewrite(number, gone, new, kept, at, app, batch)
+        files, names, held = target.files(number, lines), target.schema.names, []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(df.persist(StorageLevel.DISK_ONLY))
+            return held[-1]
+
+        try:
+            if not files:
+                return target.rewrite(number, [], how(target.rows([]), hold(rows().select(*names))), target.rows([]), at, app, batch)
+            source = hold(rows().select(*names))
+            keys = source.select(*on).dropna().distinct()
+            at_file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1)
+            found = {r["__file"] for r in target.rows(files).select(*on, at_file.alias("__file")).join(keys, on, "left_semi").select("__file").distinct().collect()}  # data files
+            gone = sorted(f for f in files if f.removeprefix("data/") in found)
+            if not gone:
+                return target.rewrite(number, [], how(target.rows([]), source), target.rows([]), at, app, batch)
+            part = hold(target.rows(gone).join(keys.withColumn("__hit", F.lit(True)), on, "left").select(*names, F.col("__hit").isNotNull().alias("__hit")))
+            mine = part.where("__hit").select(*names)
+            one = lambda df, m, t: df.select(*names, F.lit(m).alias("__m"), F.lit(t).alias("__t"))
+            counted = one(how(mine, source).select(*names), 1, 0).unionByName(one(mine, 0, 1)).groupBy(*names).agg(F.sum("__m").alias("__m"), F.sum("__t").alias("__t"))
+            became = hold(counted.where("__m > 0"))  # rows after the merge, how often, and how often before
+            times = lambda n: became.where(n > 0).select(*names, F.explode(F.sequence(F.lit(1), n)).alias("__i")).select(*names)
+            new, kept = times(F.col("__m") - F.col("__t")), times(F.least("__m", "__t"))
+            return target.rewrite(number, gone, new, part.where("NOT __hit").select(*names).unionByName(kept), at, app, batch)
+        finally:
+            for df in held:
+                df.unpersist()
 
     return snapshots.retried(once, tries)

@@ -394,3 +394,20 @@ def test_prices_are_rounded_as_in_sql(spark, tmp_path):
     con = duckdb.connect()
     want = con.sql(analyses.ORACLE_SQL["price_variants"].replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'")).fetchall()
     assert [tuple(r) for r in analyses.QUERIES["price_variants"](spark, str(tmp_path)).collect()] == want == [(2, 2)]
+
+
+def test_a_merge_makes_its_source_once(spark):
+    """Rows of the source, as many of one key and value as they were, and no more work than one pass over it."""
+    t, made = snapshots.Table(spark, fresh(spark, "once"), spark.createDataFrame([], "id long, v long").schema), spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        made.add(1)
+        return x
+
+    t.commit(spark.createDataFrame([(1, 1), (2, 2), (2, 2), (3, 3), (None, 7)], "id long, v long"), DAYS[0])
+    source = spark.range(2, 6).select("id", seen.asNondeterministic()(F.when(F.col("id") == 3, 3).otherwise(9)).alias("v"))
+    jobs.merge_changes(t, lambda: source, ["id"], lambda a, b: merge.overwrite(a, b, ["id"]), DAYS[1])
+    assert sorted(map(tuple, t.read().collect()), key=repr) == [(1, 1), (2, 9), (2, 9), (3, 3), (4, 9), (5, 9), (None, 7)]
+    assert sorted(map(tuple, t.between(1, 2).collect())) == [(2, 9), (2, 9), (4, 9), (5, 9)]
+    assert made.value == 4
