@@ -27,9 +27,10 @@ def new_rows(target: DataFrame, source: DataFrame, on: list[str], single: bool =
     for c in on:
         keyed = keyed & F.col(c).isNotNull()
     rows = source.select(*target.columns)
+    if not single:  # null keys meet nothing here
+        return rows.join(target.select(*on), on, "left_anti").select(*target.columns)
     one = rows.where(keyed)
-    if single:
-        one = one.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__v")).select(*on, "__v.*") if rest else one.distinct()
+    one = one.groupBy(*on).agg(F.min(F.struct(*rest)).alias("__v")).select(*on, "__v.*") if rest else one.distinct()
     new = one.select(*target.columns).join(target.select(*on), on, "left_anti").select(*target.columns)
     return new.unionByName(rows.where(~keyed))
 
