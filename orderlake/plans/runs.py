@@ -10,7 +10,7 @@ from orderlake.operators import gold, jobs, merge, silver
 from orderlake.plans import marts
 from orderlake.plans.twins import sql
 from orderlake.sources import adapters as A, snapshots
-from orderlake.sources.paths import fresh
+from orderlake.sources.paths import fresh, written
 
 AT = "2024-01-01 00:00:00"
 
@@ -104,14 +104,14 @@ def gold_locations(spark, sf):
 
 
 def gold_detail(spark, sf):
-    products = marts.products(spark, sf)
+    products = written(marts.products(spark, sf), "products")
     states = [gold.order_detail(o, products) for o in growing(order_job(spark, sf))]
     return merged(spark, "order_detail", states, ["order_id", "product_id", "seller_id", "unit_price"], lambda t, s, on: merge.conditional(t, s, on, ["quantity", "category"]))
 
 
 def gold_sales(spark, sf):
     """Sales by month: the second merge overwrites the months and products that have grown."""
-    lead, products = marts.lead_days(spark, sf), marts.products(spark, sf)
+    lead, products = written(marts.lead_days(spark, sf), "lead-days"), written(marts.products(spark, sf), "products")
     states = [gold.monthly_sales(lead, gold.order_detail(o, products)) for o in growing(order_job(spark, sf))]
     return merged(spark, "monthly_sales", states, ["product_id", "sales_period"], merge.overwrite)
 
