@@ -157,10 +157,12 @@ def stream_open_stages(spark, sf):
 
 def stream_merge_matches_batch(spark, sf):
     """Micro-batches of order events merged into the lead-days mart, each once: what a batch knows of an order fills in the
-    order's row, in the files that hold it. Every so many batches the mart is compacted, and older states expire."""
+    order's row, in the files that hold it. Every so many batches the mart is compacted, and older states expire. A batch takes two
+    files in, or an eighth of a longer log, as each merge rewrites the files of all orders that are in it."""
     folder = fresh(spark, "event-files")
     events = zoned(silver.order_events(A.order_status(spark, sf), A.estimated_delivery_date(spark, sf), A.order_item(spark, sf)), "timestamp")
     events.write.parquet(folder)
+    files = sum(s.getPath().getName().startswith("part-") for s in snapshots.Store(spark, folder).list(folder))
     wide = lambda rows: gold.order_lead_days(rows).select("order_id", *gold.STAGES)
     mart = snapshots.Table(spark, fresh(spark, "mart"), wide(events).schema)
 
@@ -173,7 +175,7 @@ def stream_merge_matches_batch(spark, sf):
         if number % 4 == 3:
             tidied(mart)
 
-    start(folder_stream(spark, folder, events.schema, 2), "stream_merge", each=merge_in).awaitTermination()
+    start(folder_stream(spark, folder, events.schema, max(2, -(-files // 8))), "stream_merge", each=merge_in).awaitTermination()
     return unzoned(gold.durations(mart.read()))
 
 
