@@ -9,7 +9,7 @@ from orderlake.plans import marts
 from orderlake.plans.twins import sql
 from orderlake.sources import adapters as A, envelope, snapshots
 from orderlake.sources.contracts import BRONZE
-from orderlake.sources.paths import fresh
+from orderlake.sources.paths import fresh, written
 from orderlake.streaming.lead_state import SIXTY_DAYS, STEP_SECONDS, timeline
 from orderlake.streaming.sources import drain, folder_stream, start, table_stream, unzoned, zoned
 from orderlake.streaming.supervise import Supervisor, watched
@@ -273,15 +273,16 @@ def stream_customer_orders(spark, sf):
 
 def order_detail_source(spark, sf):
     """Order lines and products as silver streams. Every third order's lines come with one piece more first, and as they are
-    a day later, in a file of their own."""
-    orders, products = marts.orders(spark, sf), marts.products(spark, sf)
+    a day later, in a micro-batch of their own."""
+    orders, products = written(marts.orders(spark, sf), "orders"), marts.products(spark, sf)
     key, at = F.col("order_id").cast("long"), lambda s: F.timestamp_seconds(F.lit(START + s))
     first = orders.withColumn("quantity", F.col("quantity") + F.when(key % 3 == 0, 1).otherwise(0)).withColumn("ingest_time", at(0))
-    folder = fresh(spark, "customer-order")
-    for rows in (first, orders.where(key % 3 == 0).withColumn("ingest_time", at(DAY))):
-        rows.coalesce(1).write.mode("append").parquet(folder)
+    folder, parts = fresh(spark, "customer-order"), [first, orders.where(key % 3 == 0).withColumn("ingest_time", at(DAY))]
+    files = files_each([rows.count() for rows in parts])
+    for rows in parts:
+        rows.repartition(files).write.mode("append").parquet(folder)
     products.withColumn("ingest_time", at(3600)).coalesce(1).write.parquet(metadata := fresh(spark, "product-metadata"))
-    o = folder_stream(spark, folder, first.schema, 1).withWatermark("ingest_time", "30 days")
+    o = folder_stream(spark, folder, first.schema, files).withWatermark("ingest_time", "30 days")
     p = folder_stream(spark, metadata, products.withColumn("ingest_time", at(0)).schema, 1).withWatermark("ingest_time", "30 days")
     near = F.expr("o.product_id = p.product_id AND o.seller_id = p.seller_id AND o.ingest_time BETWEEN p.ingest_time - INTERVAL 30 DAYS AND p.ingest_time + INTERVAL 30 DAYS")
     return o.alias("o").join(p.alias("p"), near).select("o.order_id", "o.customer_id", "o.seller_id", "o.product_id", "p.category", "o.quantity", "o.unit_price", F.greatest("o.ingest_time", "p.ingest_time").alias("ingest_time"))
