@@ -411,3 +411,16 @@ def test_a_merge_makes_its_source_once(spark):
     assert sorted(map(tuple, t.read().collect()), key=repr) == [(1, 1), (2, 9), (2, 9), (3, 3), (4, 9), (5, 9), (None, 7)]
     assert sorted(map(tuple, t.between(1, 2).collect())) == [(2, 9), (2, 9), (4, 9), (5, 9)]
     assert made.value == 4
+
+
+def test_what_a_model_is_fitted_on_is_found_by_hashes(spark):
+    """The first by hash, as an ordered limit gives them, without gathering rows in one task; of equal ones no more than asked for."""
+    rows = spark.range(5000).select(F.when(F.col("id") > 3, F.col("id")).alias("id"), F.lit("text").alias("t"))
+    for most in (0, 1, 3, 4, 5, 37, 1000, 4999, 5000, 6000):
+        want = sorted(r["id"] or -1 for r in rows.orderBy(F.md5(F.col("id").cast("string"))).limit(most).collect())
+        found = bayes.least(rows, "id", most)
+        assert sorted(r["id"] or -1 for r in found.collect()) == want
+        if most > 4:
+            assert "Limit" not in found._jdf.queryExecution().toString() and "TakeOrdered" not in found._jdf.queryExecution().toString()
+    twice = rows.union(rows)
+    assert bayes.least(twice, "id", 1001).count() == 1001
