@@ -19,3 +19,10 @@ def test_corrections(spark):
     fixes = spark.createDataFrame([("1", "title", "good"), ("2", "title", " ")], "review_id string, message_type string, fixed string")
     for most in (10, 0):
         assert [tuple(r) for r in text.corrected(df, fixes, ["review_id", "message_type"], "text", most).collect()] == [("1", "title", "good")]
+
+
+def test_texts_are_cleaned_once(spark):
+    """What is left of a text is asked after the steps, which stand in the plan once."""
+    df = text.clean_rows(spark.createDataFrame([("a  b!!! ",), ("!",), (None,)], "t string").repartition(2), "t")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and [r["t"] for r in df.collect()] == ["a b"]
