@@ -45,6 +45,16 @@ def running(df: DataFrame, order: list[Column], value: str, buckets: int = 64) -
     return here.join(F.broadcast(before), "__p").withColumn("running", F.col("__s") + F.col("__before")).withColumn("row", F.col("__n") + F.col("__rows")).drop("__p", "__s", "__n", "__before", "__rows")
 
 
+#: Rows of a partition of what is dealt by its keys.
+PART_ROWS = 250_000
+
+
+def dealt(df: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys over partitions that grow in number with a table, so that what a task sorts or hashes stays as small. The
+    table's rows are counted from its files; keys alone decide, so rows of equal keys are together."""
+    return df.repartition(max(1, -(-table.count() // PART_ROWS)), *keys)
+
+
 def gaps(df: DataFrame, ts: str, unique: str, bucket: str = "day") -> DataFrame:
     """Seconds from each event to the one before, over the whole log, in two passes: within buckets of time, and from a
     bucket's first event to the last one before it. One row per bucket is all that is ever ordered whole."""

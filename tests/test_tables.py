@@ -424,3 +424,14 @@ def test_what_a_model_is_fitted_on_is_found_by_hashes(spark):
             assert "Limit" not in found._jdf.queryExecution().toString() and "TakeOrdered" not in found._jdf.queryExecution().toString()
     twice = rows.union(rows)
     assert bayes.least(twice, "id", 1001).count() == 1001
+
+
+def test_revenue_is_made_in_parts_that_stay_small(spark, monkeypatch):
+    """The join and the distinct count of orders work on what is dealt by order, over more parts where there are more lines."""
+    monkeypatch.setattr(shapes, "PART_ROWS", 500)
+    oracle.assert_same(spark, analyses.QUERIES["category_revenue"], analyses.ORACLE_SQL["category_revenue"])
+    n = -(-spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").count() // 500)
+    plan = analyses.QUERIES["category_revenue"](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert n > 10 and "Aggregate" in plan[0]
+    join, parts = next(k for k, x in enumerate(plan) if "Join" in x), [k for k, x in enumerate(plan) if "RepartitionByExpression [l_orderkey#" in x and x.endswith(f", {n}")]
+    assert len(parts) == 2 and join < min(parts)
