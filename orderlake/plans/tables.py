@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from orderlake.operators import merge
+from orderlake.operators import merge, shapes
 from orderlake.plans import marts
 from orderlake.plans.twins import CTE, sql
 from orderlake.sources import adapters as A, envelope, files, snapshots
@@ -47,7 +47,8 @@ def compacted(spark, sf):
     t = items_table(spark, sf)
     t.compact(2, "2024-01-04 00:00:00", files=2)
     commits = t.log().agg(F.count("*").alias("n_commits"))
-    return t.read().groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")).crossJoin(F.broadcast(commits))  # one row
+    rows = t.read()
+    return shapes.dealt(rows, rows, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")).crossJoin(F.broadcast(commits))  # one row
 
 
 def watermark_upsert(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlake.functions import bayes, scoring
 from orderlake.operators import gold, jobs, merge, quality, relations, shapes, silver
-from orderlake.plans import analyses, texts
+from orderlake.plans import analyses, tables, texts
 from orderlake.sources import contracts, envelope, files, snapshots
 from orderlake.sources.paths import fresh
 
@@ -435,3 +435,22 @@ def test_revenue_is_made_in_parts_that_stay_small(spark, monkeypatch):
     assert n > 10 and "Aggregate" in plan[0]
     join, parts = next(k for k, x in enumerate(plan) if "Join" in x), [k for k, x in enumerate(plan) if "RepartitionByExpression [l_orderkey#" in x and x.endswith(f", {n}")]
     assert len(parts) == 2 and join < min(parts)
+
+
+def test_what_is_compacted_has_as_many_files_as_its_bytes_fill(spark, monkeypatch):
+    """A number of files is the fewest: where these would be too large there are more, so that no task writes a share that grows."""
+    t = commits(spark, 3)
+    before, sizes = ids(t.read()), [t.store.size(f"{t.path}/{f}") for f in t.files(2)]
+    monkeypatch.setattr(snapshots, "FILE_BYTES", sum(sizes) // 3)
+    rest = len(t.files()) - len(sizes)
+    t.compact(2, DAYS[4], files=2)
+    compacted = t.lines()[-1]
+    assert len(compacted["gone"]) == len(sizes) and len(t.files()) - rest == len(compacted["kept"]) > 2 and ids(t.read()) == before
+
+
+def test_lines_of_compacted_orders_are_counted_in_parts_that_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "PART_ROWS", 500)
+    oracle.assert_same(spark, tables.QUERIES["compact_table"], tables.ORACLE_SQL["compact_table"])
+    n = -(-spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").count() // 500)
+    plan = tables.QUERIES["compact_table"](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert n > 10 and any("RepartitionByExpression [l_orderkey#" in x and x.endswith(f", {n}") for x in plan)
