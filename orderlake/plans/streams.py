@@ -268,7 +268,7 @@ def stream_customer_orders(spark, sf):
     payer = once(paid, "3 days", "order_id").select("order_id", "customer_id", "ingest_time")
     near = F.expr("c_order = order_id AND counted_at BETWEEN ingest_time - INTERVAL 3 DAYS AND ingest_time + INTERVAL 3 DAYS")
     both = counted.join(payer, near, "full_outer").select("order_id", "customer_id", "product_id", "seller_id", "quantity", "unit_price")
-    return drain(both.dropna(), "stream_customer_orders")
+    return drain(both.dropna(), "stream_customer_orders", rows=A.raw(spark, sf, "lineitem").count())
 
 
 def order_detail_source(spark, sf):

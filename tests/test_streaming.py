@@ -9,6 +9,7 @@ from orderlake.operators import gold
 from orderlake.plans import streams
 from orderlake.sources import snapshots
 from orderlake.sources.paths import fresh
+from orderlake.streaming import sources
 from orderlake.streaming.lead_state import OPEN, SIXTY_DAYS, STEP_SECONDS, days, timeline
 from orderlake.streaming.sources import drain, folder_stream, log_stream, start, supervise
 from orderlake.streaming.supervise import Supervisor, watched
@@ -269,3 +270,20 @@ def test_a_year_of_the_log_is_one_micro_batch_in_any_number_of_files(spark, monk
     monkeypatch.undo()
     monkeypatch.setattr(streams, "FEWEST", 100)
     oracle.assert_same(spark, streams.stream_open_stages, streams.ORACLE_SQL["stream_open_stages"])
+
+
+def test_a_log_has_its_state_in_partitions_by_its_rows(spark, monkeypatch):
+    """No more of them than its rows ask for, but as many as there are cores; the session's number is as it was."""
+    monkeypatch.setattr(sources, "STATE_ROWS", 100)
+    before = spark.conf.get(sources.PARTS)
+    spark.conf.set(sources.PARTS, "40")
+    try:
+        spark.range(50).write.parquet(path := fresh(spark, "rows"))
+        for rows, want in ((50, spark.sparkContext.defaultParallelism), (850, 9), (None, 40)):
+            counted = sources.folder_stream(spark, path, spark.range(0).schema).groupBy("id").count()
+            query = sources.start(counted, f"rows_{want}", mode="complete", each=lambda df, _: df.count(), rows=rows)
+            query.awaitTermination()
+            assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] == want
+            assert spark.conf.get(sources.PARTS) == "40"
+    finally:
+        spark.conf.set(sources.PARTS, before)
