@@ -454,3 +454,11 @@ def test_lines_of_compacted_orders_are_counted_in_parts_that_stay_small(spark, m
     n = -(-spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").count() // 500)
     plan = tables.QUERIES["compact_table"](spark, oracle.DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert n > 10 and any("RepartitionByExpression [l_orderkey#" in x and x.endswith(f", {n}") for x in plan)
+
+
+@pytest.mark.parametrize("name", ["argmax_label"])
+def test_a_model_is_fitted_on_all_labelled_documents(spark, monkeypatch, name):
+    """Neither the query nor its SQL takes the first so many by hash."""
+    monkeypatch.setattr(bayes, "least", lambda rows, order, most: rows.limit(5))
+    assert "LIMIT" not in texts.ORACLE_SQL[name]
+    oracle.assert_same(spark, texts.QUERIES[name], texts.ORACLE_SQL[name])
