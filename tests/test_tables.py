@@ -456,7 +456,7 @@ def test_lines_of_compacted_orders_are_counted_in_parts_that_stay_small(spark, m
     assert n > 10 and any("RepartitionByExpression [l_orderkey#" in x and x.endswith(f", {n}") for x in plan)
 
 
-@pytest.mark.parametrize("name", ["argmax_label"])
+@pytest.mark.parametrize("name", ["argmax_label", "held_out_accuracy"])
 def test_a_model_is_fitted_on_all_labelled_documents(spark, monkeypatch, name):
     """Neither the query nor its SQL takes the first so many by hash."""
     monkeypatch.setattr(bayes, "least", lambda rows, order, most: rows.limit(5))
