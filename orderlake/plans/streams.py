@@ -11,6 +11,7 @@ from orderlake.sources import adapters as A, envelope, snapshots
 from orderlake.sources.contracts import BRONZE
 from orderlake.sources.paths import fresh, written
 from orderlake.streaming.lead_state import SIXTY_DAYS, STEP_SECONDS, timeline
+from orderlake.streaming.packed import counts, pack
 from orderlake.streaming.sources import drain, folder_stream, start, table_stream, unzoned, zoned
 from orderlake.streaming.supervise import Supervisor, watched
 
@@ -255,19 +256,26 @@ def taken_in(spark, name: str, df, at):
     return folder_stream(spark, path, rows.schema, 1000)
 
 
+#: Into how many packs the orders of a window are dealt.
+BUCKETS = 16
+
+
 def stream_customer_orders(spark, sf):
-    """Items counted in windows of five minutes, and the count's window goes on into a full outer join with payments taken in
-    within three days. Some orders' items fall in two windows; some payments are late, some missing: these come without
-    a partner and are dropped."""
+    """Items counted in windows of five minutes, whose state is packs of many orders' items that are counted as the window closes. The
+    count's window goes on, an order's lines in one row, into a full outer join with payments taken in within three days. Some
+    orders' items fall in two windows; some payments are late, some missing: these come without a partner and are dropped."""
     key = F.col("order_id").cast("long")
     minute = START + 60 * (key % 600)
     items = taken_in(spark, "order-items", A.order_item_plain(spark, sf).drop("freight_value"), F.timestamp_seconds(minute + F.when(key % 10 == 0, 600 * (F.col("order_item_id") % 2)).otherwise(0)))
     paid = taken_in(spark, "payments", A.payment(spark, sf).select("order_id", "customer_id").where(key % 11 != 0), F.timestamp_seconds(minute + F.when(key % 7 == 0, 4 * DAY).otherwise(300)))
-    counted = items.dropna().withWatermark("ingest_time", "3 days").groupBy(F.window("ingest_time", "5 minutes"), "order_id", "product_id", "price", "seller_id").agg(F.count("order_item_id").alias("quantity"))
-    counted = counted.select(F.window_time("window").alias("counted_at"), F.col("order_id").alias("c_order"), "product_id", "seller_id", "quantity", F.col("price").alias("unit_price"))
+    slot = F.timestamp_seconds(F.unix_seconds("ingest_time") - F.pmod(F.unix_seconds("ingest_time"), F.lit(300)))
+    lines = items.dropna().select(slot.alias("slot"), F.pmod(F.xxhash64("order_id"), F.lit(BUCKETS)).alias("bucket"), "order_id", "product_id", "seller_id", F.col("price").alias("unit_price"))
+    packs = pack(lines, ["slot", "bucket"], 1_000_000).withWatermark("slot", "3 days").groupBy(F.window("slot", "5 minutes"), "bucket").agg(F.collect_list("packed").alias("packed"))
+    counted = packs.select(F.window_time("window").alias("counted_at"), F.explode(counts("order_id string", "product_id string, seller_id string, unit_price double")("packed")).alias("order"))
+    counted = counted.select("counted_at", F.col("order.order_id").alias("c_order"), "order.lines")
     payer = once(paid, "3 days", "order_id").select("order_id", "customer_id", "ingest_time")
     near = F.expr("c_order = order_id AND counted_at BETWEEN ingest_time - INTERVAL 3 DAYS AND ingest_time + INTERVAL 3 DAYS")
-    both = counted.join(payer, near, "full_outer").select("order_id", "customer_id", "product_id", "seller_id", "quantity", "unit_price")
+    both = counted.join(payer, near, "full_outer").select("order_id", "customer_id", F.explode_outer("lines").alias("line")).select("order_id", "customer_id", "line.product_id", "line.seller_id", "line.quantity", "line.unit_price")
     return drain(both.dropna(), "stream_customer_orders", rows=A.raw(spark, sf, "lineitem").count())
 
 

@@ -287,3 +287,19 @@ def test_a_log_has_its_state_in_partitions_by_its_rows(spark, monkeypatch):
             assert spark.conf.get(sources.PARTS) == "40"
     finally:
         spark.conf.set(sources.PARTS, before)
+
+
+def test_what_a_window_holds_are_packs(spark, monkeypatch):
+    """Its state has a row for each window and bucket, not for each line, and the rows are the SQL's."""
+    seen, begin = [], streams.drain
+
+    def watch(df, name, **kwargs):
+        out = []
+        seen.append(watched(spark, lambda: out.append(begin(df, name, **kwargs))))
+        return out[0]
+
+    monkeypatch.setattr(streams, "drain", watch)
+    monkeypatch.setattr(streams, "BUCKETS", 2)
+    oracle.assert_same(spark, streams.stream_customer_orders, streams.ORACLE_SQL["stream_customer_orders"])
+    lines, orders = (spark.read.parquet(f"{oracle.DATA}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert lines > 2 * orders > 0 and max(seen[0].state_rows["stream_customer_orders"]) < 2 * orders + 500
