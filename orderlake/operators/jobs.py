@@ -87,9 +87,20 @@ def merge_into(target: Table, rows: Callable[[], DataFrame], how: Callable[[Data
     return snapshots.retried(once, tries)
 
 
+#: Rows of a source for each file of its target from which on every file is taken to hold one of its keys, and none is searched.
+EACH = 10_000
+
+
+def hit(target: Table, files: list[str], keys: DataFrame, on: list[str]) -> list[str]:
+    """The data files that hold one of the keys."""
+    at_file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1)
+    found = {r["__file"] for r in target.rows(files).select(*on, at_file.alias("__file")).join(keys, on, "left_semi").select("__file").distinct().collect()}  # data files
+    return sorted(f for f in files if f.removeprefix("data/") in found)
+
+
 def merge_changes(target: Table, rows: Callable[[], DataFrame], on: list[str], how: Callable[[DataFrame, DataFrame], DataFrame], at: str, app: str = "", batch: int | None = None, tries: int = 5) -> int:
     """Merge a frame into a table by its key, as ``how(target, source)`` says, and rewrite only the data files that hold one of
-    its keys. Rows that become what they were are kept, so that readers of changes see the others alone. The source, the rows of
+    its keys, or all where there are ``EACH`` source rows for each of them. Rows that become what they were are kept, so that readers of changes see the others alone. The source, the rows of
     the files, and what each row becomes are made once and held on disk meanwhile. Conflicts and the result as ``merge_into``; a batch of
     an app is merged once."""
 
@@ -109,9 +120,7 @@ def merge_changes(target: Table, rows: Callable[[], DataFrame], on: list[str], h
                 return target.rewrite(number, [], how(target.rows([]), hold(rows().select(*names))), target.rows([]), at, app, batch)
             source = hold(rows().select(*names))
             keys = source.select(*on).dropna().distinct()
-            at_file = F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1)
-            found = {r["__file"] for r in target.rows(files).select(*on, at_file.alias("__file")).join(keys, on, "left_semi").select("__file").distinct().collect()}  # data files
-            gone = sorted(f for f in files if f.removeprefix("data/") in found)
+            gone = files if source.count() >= EACH * len(files) else hit(target, files, keys, on)
             if not gone:
                 return target.rewrite(number, [], how(target.rows([]), source), target.rows([]), at, app, batch)
             part = hold(target.rows(gone).join(keys.withColumn("__hit", F.lit(True)), on, "left").select(*names, F.col("__hit").isNotNull().alias("__hit")))

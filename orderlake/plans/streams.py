@@ -9,10 +9,10 @@ from orderlake.plans import marts
 from orderlake.plans.twins import sql
 from orderlake.sources import adapters as A, envelope, snapshots
 from orderlake.sources.contracts import BRONZE
-from orderlake.sources.paths import fresh, written
+from orderlake.sources.paths import CLEANED, configured, fresh
 from orderlake.streaming.lead_state import SIXTY_DAYS, STEP_SECONDS, timeline
-from orderlake.streaming.packed import counts, pack
-from orderlake.streaming.sources import drain, folder_stream, start, table_stream, unzoned, zoned
+from orderlake.streaming.packed import counts, pack, unpack
+from orderlake.streaming.sources import PARTS, drain, folder_stream, start, table_stream, unzoned, zoned
 from orderlake.streaming.supervise import Supervisor, watched
 
 #: When the logs of these streams begin, and a day, in seconds.
@@ -181,8 +181,24 @@ def stream_merge_matches_batch(spark, sf):
 
 
 def tidied(mart: snapshots.Table) -> None:
-    """A mart in few files, without its older states: what its readers open stays bounded while a stream runs."""
-    mart.expire(snapshots.retried(lambda: mart.compact(mart.last(), "2024-01-01 00:00:00")))
+    """A mart in few files, without its older states: what its readers open stays bounded while a stream runs. One of several full
+    files is left as it is while it has no more than ``MANY`` for each of these."""
+    files = mart.files()
+    fewest = -(-sum(mart.store.size(f"{mart.path}/{f}") for f in files) // snapshots.FILE_BYTES)
+    if 1 < fewest and len(files) <= MANY * fewest:
+        mart.expire(mart.last())
+    else:
+        mart.expire(snapshots.retried(lambda: mart.compact(mart.last(), "2024-01-01 00:00:00")))
+
+
+#: Files of a mart for each that its bytes fill, up to which it isn't compacted.
+MANY = 16
+
+
+def as_batch(stream, session):
+    """What is done with a micro-batch is planned as other batches are: adaptively, over as many partitions as the session has, and
+    shuffles go as their actions end. The stream's own settings come back for the next micro-batch."""
+    return configured(stream, {PARTS: session.conf.get(PARTS), "spark.sql.adaptive.enabled": session.conf.get("spark.sql.adaptive.enabled"), **CLEANED})
 
 
 def stream_chain(spark, sf):
@@ -281,19 +297,21 @@ def stream_customer_orders(spark, sf):
 
 def order_detail_source(spark, sf):
     """Order lines and products as silver streams. Every third order's lines come with one piece more first, and as they are
-    a day later, in a micro-batch of their own."""
-    orders, products = written(marts.orders(spark, sf), "orders"), marts.products(spark, sf)
-    key, at = F.col("order_id").cast("long"), lambda s: F.timestamp_seconds(F.lit(START + s))
-    first = orders.withColumn("quantity", F.col("quantity") + F.when(key % 3 == 0, 1).otherwise(0)).withColumn("ingest_time", at(0))
-    folder, parts = fresh(spark, "customer-order"), [first, orders.where(key % 3 == 0).withColumn("ingest_time", at(DAY))]
-    files = files_each([rows.count() for rows in parts])
-    for rows in parts:
-        rows.repartition(files).write.mode("append").parquet(folder)
-    products.withColumn("ingest_time", at(3600)).coalesce(1).write.parquet(metadata := fresh(spark, "product-metadata"))
-    o = folder_stream(spark, folder, first.schema, files).withWatermark("ingest_time", "30 days")
-    p = folder_stream(spark, metadata, products.withColumn("ingest_time", at(0)).schema, 1).withWatermark("ingest_time", "30 days")
+    a day later, in a micro-batch of their own. What the join holds of the lines are packs of many with one product and seller."""
+    order, third, at = F.col("order_id"), F.col("order_id").cast("long") % 3 == 0, lambda s: F.timestamp_seconds(F.lit(START + s))
+    orders = silver.customer_orders(A.order_item_plain(spark, sf).repartition(order), A.payment(spark, sf).select("order_id", "customer_id").repartition(order))  # dealt once, for counts and join
+    first = orders.withColumn("quantity", F.col("quantity") + F.when(third, 1).otherwise(0)).withColumn("ingest_time", at(0))
+    products = marts.products(spark, sf).withColumn("ingest_time", at(3600))
+    first.write.parquet(folder := fresh(spark, "customer-order"))
+    files = max(1, sum(s.getPath().getName().startswith("part-") for s in snapshots.Store(spark, folder).list(folder)))
+    again = spark.read.schema(first.schema).parquet(folder).where(third).withColumn("quantity", F.col("quantity") - 1).withColumn("ingest_time", at(DAY))
+    again.coalesce(files).write.mode("append").parquet(folder)  # no more files than the first micro-batch has
+    products.coalesce(1).write.parquet(metadata := fresh(spark, "product-metadata"))
+    o = pack(folder_stream(spark, folder, first.schema, files), ["product_id", "seller_id", "ingest_time"]).withWatermark("ingest_time", "30 days")
+    p = folder_stream(spark, metadata, products.schema, 1).withWatermark("ingest_time", "30 days")
     near = F.expr("o.product_id = p.product_id AND o.seller_id = p.seller_id AND o.ingest_time BETWEEN p.ingest_time - INTERVAL 30 DAYS AND p.ingest_time + INTERVAL 30 DAYS")
-    return o.alias("o").join(p.alias("p"), near).select("o.order_id", "o.customer_id", "o.seller_id", "o.product_id", "p.category", "o.quantity", "o.unit_price", F.greatest("o.ingest_time", "p.ingest_time").alias("ingest_time"))
+    both = o.alias("o").join(p.alias("p"), near).select("o.seller_id", "o.product_id", "p.category", F.greatest("o.ingest_time", "p.ingest_time").alias("ingest_time"), "o.packed")
+    return unpack(both, "order_id string, customer_id string, quantity bigint, unit_price double").select("order_id", "customer_id", "seller_id", "product_id", "category", "quantity", "unit_price", "ingest_time")
 
 
 DETAIL_KEY = ["order_id", "product_id", "seller_id", "unit_price"]
@@ -304,6 +322,10 @@ def detail_sink(mart: snapshots.Table, every: int = 2):
     files that hold them. Every so many batches the mart is compacted and older states expire, so that a reader opens few files."""
 
     def merge_in(batch, number):
+        with as_batch(batch.sparkSession, mart.spark):
+            merged(batch, number)
+
+    def merged(batch, number):
         batch.persist()
         try:
             rows = lambda: merge.single(batch, DETAIL_KEY, [F.desc("ingest_time"), F.desc("quantity")]).select(*mart.schema.names)
@@ -320,7 +342,7 @@ def stream_order_detail(spark, sf):
     """The order-detail mart, merged from micro-batches of a join of two streams."""
     source = order_detail_source(spark, sf)
     mart = snapshots.Table(spark, fresh(spark, "order-detail"), source.drop("ingest_time").schema)
-    start(source, "stream_order_detail", each=detail_sink(mart)).awaitTermination()
+    start(source, "stream_order_detail", each=detail_sink(mart), rows=0).awaitTermination()  # its state has few rows
     return mart.read()
 
 

@@ -303,3 +303,9 @@ def test_what_a_window_holds_are_packs(spark, monkeypatch):
     oracle.assert_same(spark, streams.stream_customer_orders, streams.ORACLE_SQL["stream_customer_orders"])
     lines, orders = (spark.read.parquet(f"{oracle.DATA}/{t}.parquet").count() for t in ("lineitem", "orders"))
     assert lines > 2 * orders > 0 and max(seen[0].state_rows["stream_customer_orders"]) < 2 * orders + 500
+
+
+def test_what_a_join_holds_of_order_lines_are_packs(spark):
+    """Its state has a row for each pack, not for each line, and the rows are the SQL's."""
+    watch = watched(spark, lambda: oracle.assert_same(spark, streams.stream_order_detail, streams.ORACLE_SQL["stream_order_detail"]))
+    assert max(watch.state_rows["stream_order_detail"]) < spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").count() / 4
